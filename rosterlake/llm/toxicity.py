@@ -1,16 +1,14 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features of a document are its distinct words (letters, lower case) and their stems of four and five letters, as 64-bit
-hashes; those count that the sample has in at least LEAST documents and whose share in one of its classes is TIMES that in the other and lies APART standard
-errors or more from it. The model has one weight vector for all grades and an ascending threshold for each:
-P(grade >= j) = sigmoid(w.x - theta_j); the expected severity is the sum of these over j. It rejects a document when
-P(grade >= 1) reaches one half.
+hashes. Those count that the sample has in at least LEAST documents, in one of its classes TIMES as often as in the
+other, and APART standard errors or more apart. The model has one weight vector for all grades and an ascending threshold
+for each: P(grade >= j) = sigmoid(w.x - theta_j); the expected severity is the sum of these over j. It rejects a document
+when P(grade >= 1) reaches one half.
 
 It is fitted on a bounded sample: at most SAMPLE labelled documents of each class, those with the smallest hash of their
-id. Labels tell toxic from not; the grades 1 to GRADES of toxic documents are equal parts of their order by the share of
-words that the sample's toxic documents use more than e times as often as its others. Counts are not capped or cut: a
-word that stands in the text at all is a feature, and whole texts are read. Scoring passes over all documents once,
-without a shuffle.
+id. Labels tell toxic from not; the grades 1 to GRADES of toxic documents are equal parts of their order by the number of
+features that speak for toxic. Whole texts are read. Scoring passes over all documents once, without a shuffle.
 
 Nulls: null or empty texts have severity 0 and grade 0; null labels are no labels; null ids are scored. A document with
 labels of both kinds counts as toxic. Repeated rows are scored alike. Without labels of both classes nothing is rejected.
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, GRADES, LEAST, APART, TIMES = 4000, 3, 3, 4.0, 12
+SAMPLE, GRADES, LEAST, APART, TIMES = 4000, 3, 3, 6.0, 12
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -73,7 +71,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "toxic int, features binary")
 
 
-def fit(toxic: np.ndarray, rows: list[np.ndarray], grades: int = GRADES, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model | None:
+def fit(toxic: np.ndarray, rows: list[np.ndarray], grades: int = GRADES, rounds: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Model | None:
     """Full-batch gradient steps (Adam) on the likelihood of the observed grades; both classes weigh alike."""
     if not len(toxic) or toxic.all() or not toxic.any():
         return None
@@ -81,18 +79,16 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], grades: int = GRADES, rounds:
     names, flat = np.unique(np.concatenate(rows), return_inverse=True)
     bad, good = np.bincount(flat[toxic[at]], minlength=len(names)), np.bincount(flat[~toxic[at]], minlength=len(names))
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
-    share = np.bincount(at, odds[flat] > 1, n) / np.maximum(1, np.bincount(at, minlength=n))
-    grade = np.zeros(n, np.int64)
-    order = np.flatnonzero(toxic)[np.argsort(share[toxic], kind="stable")]
-    grade[order] = 1 + np.arange(len(order)) * grades // len(order)
-    grades = int(grade.max())
-
     both = (bad + good + 1) / (n + 2)
     apart = np.abs(bad / toxic.sum() - good / (~toxic).sum()) / np.sqrt(both * (1 - both) * (1 / toxic.sum() + 1 / (~toxic).sum()))
     used = (bad + good >= LEAST) & (np.abs(odds) >= np.log(TIMES)) & (apart >= APART)
     number = np.cumsum(used) - 1
-    at, flat, names = at[used[flat]], number[flat[used[flat]]], names[used]
+    at, flat, names, odds = at[used[flat]], number[flat[used[flat]]], names[used], odds[used]
     size, each = len(names), np.arange(n)
+    grade = np.zeros(n, np.int64)
+    order = np.flatnonzero(toxic)[np.argsort(np.bincount(at, odds[flat] > 0, n)[toxic], kind="stable")]
+    grade[order] = 1 + np.arange(len(order)) * grades // len(order)
+    grades = int(grade.max())
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     w, theta = np.zeros(size), np.arange(grades, dtype=float)
     m, v, mt, vt = np.zeros(size), np.zeros(size), np.zeros(grades), np.zeros(grades)
@@ -109,8 +105,8 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], grades: int = GRADES, rounds:
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
         a, b = 1 - 0.9**step, 1 - 0.99**step
-        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-4)
-        theta -= rate * (mt / a) / (np.sqrt(vt / b) + 1e-4)
+        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
+        theta -= rate * (mt / a) / (np.sqrt(vt / b) + 1e-8)
         theta = np.maximum.accumulate(theta)
     strong = np.abs(w) > 1e-3
     return Model(dict(zip(names[strong].tolist(), w[strong].tolist())), theta)
