@@ -9,16 +9,23 @@ Token-combination prefixes. All shingles have one order: by zone (the low part o
 rare before frequent, then by hash. A set that may lack `tau` of its shingles in a partner is given a prefix; a rare
 shingle in it is a signature of its own and counts 1. Frequent shingles fall into groups by hash, and all pairs of a
 group's shingles in the prefix are signatures (2-token combinations); a group counts its shingles less one, so the prefix
-is extended until the counts come to tau + 1. By the pigeonhole principle two linked sets share a signature. Orders and
+is extended until the counts come to tau + l. By the pigeonhole principle two linked sets share l signatures or more. Orders and
 groups depend on the shingle and on a level, the number of bits of the larger set's size; a set signs at its own level
 and at that of its largest partner. A shingle is frequent when more documents hold it than max(16, documents / 20000):
 those of the low zone are counted over all documents, packed, and there are at most 20000 times the mean set size of
 them. How shingles are classed never changes the result, only the number of candidates.
 
-Verification in two rounds, with whole sets. First every class meets the class with which it shares most signatures.
-Then, in each bucket (classes with one signature), classes that are already connected need no further test: only pairs
-from different components are tested. So a group of near copies costs a few tests for each member, not all pairs, and no
-connection between different texts is lost.
+The join runs twice. The first run looks at the low zone of all documents and only keeps the classes with l signatures or
+more that another class has too; the second run has the whole sets of these classes, counts their shingles and orders them
+all rare before frequent. There, r of a set's shingles are rare, and two sets differ by at least r + r' - 2 s shingles if
+they share s rare signatures and both prefixes hold all rare ones; linked sets differ by at most
+(den - num) / (den + num) of their summed sizes.
+- Pairs with a rare signature in common: their buckets (the classes of one signature) are small by definition.
+- Pairs with only frequent signatures in common, groups of near copies: each bucket elects as its hub the class that has
+  most company in all buckets. Each class is compared with its hubs. Then only pairs that are not connected yet are
+  compared, of one hub, for which r + r' and the difference of their distances to the hub in frequent shingles (the
+  triangle inequality) come to no more than the limit. So a group of near copies costs a few comparisons for each member, not all pairs, and no
+  connection between different texts is lost.
 
 Nulls: a null text has no words; rows with a null id take part, but name no component. Rows of equal ids are documents of
 their own. An empty table gives no rows.
@@ -31,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -71,50 +78,57 @@ def set_key(s: np.ndarray) -> int:
 class Plan:
     """What follows from the threshold num / den."""
 
-    def __init__(self, size: int, num: int, den: int):
+    def __init__(self, size: int, num: int, den: int, whole: bool = False):
         self.size, self.num, self.den = size, num, den
         lack = 1 - num / den
-        self.zone = U(int(min(1.0, 1.4 * lack + 0.05) * 2.0**64) - 1) if 1.4 * lack + 0.05 < 1 else U(2**64 - 1)
+        share = 1.8 * lack + 0.02
+        self.zone = U(2**64 - 1) if whole or share >= 1 else U(int(share * 2.0**64) - 1)
         self.groups = 0.35 * lack  # groups for each shingle of the smallest set of a level
 
     def tau(self, n: int) -> int:
         return n * (self.den - self.num) // self.den
 
+    def least(self, n):
+        """Signatures that linked sets share at least, of the smaller one's n shingles; n may be a column."""
+        return F.floor(n * (2 * (self.den - self.num)) / (5 * self.den)) + 1 if isinstance(n, Column) else n * 2 * (self.den - self.num) // (5 * self.den) + 1
+
     def stored(self, s: np.ndarray) -> np.ndarray:
         """The start of a set's order that is enough for its prefix, whatever is frequent."""
         low = int(np.searchsorted(s, self.zone, "right"))
         n = len(s)
-        return s[: max(low, min(n, self.tau(n) + 2 + int(2 * self.groups * n) + 1))]
+        return s[: max(low, min(n, self.tau(n) + self.least(n) + int(2 * self.groups * n) + 2))]
 
     def levels(self, n: int) -> list[int]:
         return sorted({n.bit_length(), (n * self.den // self.num).bit_length()})
 
-    def signatures(self, tokens: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
-        need = self.tau(n) + 1
+    def signatures(self, tokens: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, bool]:
+        """Signatures, whether each is of frequent shingles, the number of rare shingles, and whether the prefix ends among them."""
+        need = self.tau(n) + self.least(n)
         low = int(np.searchsorted(tokens, self.zone, "right"))
         zone, rest = tokens[:low], tokens[low:]
         often = isin(zone, frequent)
         rare, often = zone[~often], zone[often]
-        out = []
+        out, kinds = [], []
         for level in self.levels(n):
             salt = U(level * 0x1234567)
+            parts, count = [(rare[:need], None, False)], min(need, len(rare))
             if level <= SHORT_LEVEL:
-                singles, pairs = np.concatenate([rare, often, rest])[:need], []
-            else:
-                singles, pairs, count = rare[:need], [], min(need, len(rare))
-                if count < need and len(often):
-                    g = mixed(often ^ U(0x5851F42D4C957F2D)) % U(max(1, int(self.groups * (1 << (level - 1)))))
-                    first = np.zeros(len(often), bool)
-                    first[np.unique(g, return_index=True)[1]] = True
-                    reached = np.cumsum(~first)
-                    cut = int(np.searchsorted(reached, need - count)) + 1
-                    count += int(reached[min(cut, len(often)) - 1])
-                    pairs = list(grouped_pairs(often[:cut], g[:cut]))
-                if count < need:
-                    singles = np.concatenate([singles, rest[: need - count]])
-            out.append(mixed(singles ^ salt))
-            out += [mixed(mixed(a ^ salt) + b * U(3)) for a, b in pairs]
-        return np.unique(np.concatenate(out))
+                parts.append((often[: need - count], None, True))
+                count += len(parts[-1][0])
+            elif count < need and len(often):
+                g = mixed(often ^ U(0x5851F42D4C957F2D)) % U(max(1, int(self.groups * (1 << (level - 1)))))
+                first = np.zeros(len(often), bool)
+                first[np.unique(g, return_index=True)[1]] = True
+                reached = np.cumsum(~first)
+                cut = int(np.searchsorted(reached, need - count)) + 1
+                count += int(reached[min(cut, len(often)) - 1])
+                parts += [(a, b, True) for a, b in grouped_pairs(often[:cut], g[:cut])]
+            if count < need:
+                parts.append((rest[: need - count], None, False))
+            for x, y, kind in parts:
+                out.append(mixed(x ^ salt) if y is None else mixed(mixed(x ^ salt) + y * U(3)))
+                kinds.append(np.full(len(x), kind))
+        return np.concatenate(out), np.concatenate(kinds), len(rare), len(rare) >= need
 
 
 def grouped_pairs(tokens: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -203,33 +217,42 @@ def frequent_tokens(sketches: DataFrame, plan: Plan) -> np.ndarray:
 
 
 def signed(sketches: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
-    """sig, cls of each class; copies within a task are signed once."""
+    """sig, cls, n, r, kind (0 rare, 1 frequent), closed of each class; copies within a task are signed once."""
+    schema = "sig long, cls long, n long, r long, kind int, closed boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for k in range(0, len(batch), 500):
-                sigs, owners = [], []
+                out = []
                 for cls, n, raw in zip(*(batch.slice(k, 500).column(c).to_pylist() for c in ("cls", "n", "tokens"))):
                     if cls in seen:
                         continue
                     if len(seen) < 500_000:
                         seen.add(cls)
-                    sigs.append(plan.signatures(as_u64(raw), n, frequent))
-                    owners.append(np.full(len(sigs[-1]), cls, np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "cls"])
+                    sigs, kinds, rare, closed = plan.signatures(as_u64(raw), n, frequent)
+                    m = len(sigs)
+                    out.append((sigs.view(np.int64), np.full(m, cls), np.full(m, n), np.full(m, rare), kinds.astype(np.int32), np.full(m, closed)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], [x.split(" ")[0] for x in schema.split(", ")])
 
-    return sketches.where("cls IS NOT NULL").select("cls", "n", "tokens").mapInArrow(run, "sig long, cls long")
+    return sketches.where("cls IS NOT NULL").select("cls", "n", "tokens").mapInArrow(run, schema)
 
 
-def buckets_of(signatures: DataFrame) -> DataFrame:
-    """sig, cls, hub (the smallest class) of signatures that two classes or more have."""
+def shared_rows(signatures: DataFrame) -> DataFrame:
+    """signatures that two classes or more have, a row for each class, with the number of classes (repeats included)."""
     order = Window.partitionBy("sig").orderBy("cls")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = signatures.select("sig", "cls", F.first("cls").over(whole).alias("hub"), F.last("cls").over(whole).alias("last"), F.lag("cls").over(order).alias("before"))
-    rows = rows.where("hub < last AND (before IS NULL OR before < cls)").select("sig", "cls", "hub")
-    return common.written(rows, "buckets")
+    rows = signatures.select("*", F.first("cls").over(whole).alias("low"), F.last("cls").over(whole).alias("high"), F.count(F.lit(1)).over(whole).alias("size"), F.lag("cls").over(order).alias("before"))
+    return rows.where("low < high AND (before IS NULL OR before < cls)").drop("low", "high", "before")
+
+
+def involved(sketches: DataFrame, plan: Plan) -> DataFrame:
+    """cls: the classes with as many signatures in common with others as a link needs."""
+    rows = shared_rows(signed(sketches, plan, frequent_tokens(sketches, plan)).select("sig", "cls", "n"))
+    counts = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"))
+    # A partner may be smaller by the threshold, and then links need fewer.
+    return common.written(counts.where(F.col("shared") >= plan.least(F.floor(F.col("n") * plan.num / plan.den))).select("cls"), "involved")
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
@@ -267,7 +290,7 @@ def in_bloom(bloom: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, sketches: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """cls, tokens array<long>: the whole set of each of the classes, from one of its documents' texts.
+    """cls, n, tokens: the whole set of each of the classes, from one of its documents' texts.
 
     A Bloom filter spares other texts the work and the shuffle; what it lets through by mistake goes in the join.
     """
@@ -281,20 +304,27 @@ def whole_sets(docs: DataFrame, sketches: DataFrame, classes: DataFrame, plan: P
             wanted = ~named | in_bloom(bloom, batch.column("doc_id").fill_null(0).to_numpy())
             sets = [s for t in batch.filter(pa.array(wanted)).column("text").to_pylist() if len(s := shingles(t, plan.size))]
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["cls", "n", "tokens"])
 
-    found = docs.mapInArrow(run, "cls long, tokens array<long>")
+    found = docs.mapInArrow(run, "cls long, n long, tokens binary")
     found = found.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
     return common.written(found, "whole-sets", "none")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """pairs (a, b) whose sets are alike enough."""
+def compared(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """a, b, apart (shingles that only one of them has), linked of pairs (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [[as_u64(x) for x in batch.column(c).to_pylist()] for c in ("ta", "tb")]
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*tokens)], np.int64)
+            total = np.array([len(x) + len(y) for x, y in zip(*tokens)], np.int64)
+            out = [batch.column("a"), batch.column("b"), pa.array(total - 2 * both), pa.array(plan.den * both >= plan.num * (total - both))]
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "apart", "linked"])
+
     left, right = (sets.select(F.col("cls").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "ta"), ("b", "tb")))
-    both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    alike = plan.den * F.col("both") >= plan.num * (F.col("na") + F.col("nb") - F.col("both"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
-    return common.written(rows.where(alike).select("a", "b"), "links")
+    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return common.written(rows.mapInArrow(run, "a long, b long, apart long, linked boolean"), "compared")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -319,18 +349,48 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return roots
 
 
-def across(buckets: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of classes in one bucket that are not connected yet and not tested."""
-    parts = buckets.join(roots, buckets["cls"] == roots["node"], "left").select("sig", "cls", F.coalesce("root", "cls").alias("part"))
-    split = parts.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
-    parts = common.written(parts.join(split, "sig"), "open-buckets")
-    heads = parts.select("sig", "part").distinct()
-    one, two = heads.select("sig", F.col("part").alias("p")), heads.select("sig", F.col("part").alias("q"))
-    meet = one.join(two, "sig").where("p < q")
-    a, b = parts.select("sig", F.col("part").alias("p"), F.col("cls").alias("u")), parts.select("sig", F.col("part").alias("q"), F.col("cls").alias("v"))
-    pairs = meet.join(a, ["sig", "p"]).join(b, ["sig", "q"])
-    pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    return common.written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+def near_in_size(plan: Plan, m: Column, n: Column) -> Column:
+    return plan.den * F.least(m, n) >= plan.num * F.greatest(m, n)
+
+
+def limit(plan: Plan, m: Column, n: Column) -> Column:
+    """The most shingles by which linked sets of m and n shingles differ."""
+    return F.floor((m + n) * (plan.den - plan.num) / (plan.den + plan.num) + 1e-9)
+
+
+def pairs_by_rare(rows: DataFrame, plan: Plan) -> DataFrame:
+    """a, b with rare signatures in common, enough for a link."""
+    rows = rows.where("kind = 0")
+    a = rows.select("sig", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("closed").alias("ended"))
+    b = rows.select("sig", F.col("cls").alias("b"), "n", "r", "closed")
+    met = a.join(b, "sig").where((F.col("a") < F.col("b")) & near_in_size(plan, F.col("m"), F.col("n")))
+    met = met.groupBy("a", "b", "m", "n", "q", "r", "ended", "closed").agg(F.count(F.lit(1)).alias("shared"))
+    enough = F.when(F.col("ended") | F.col("closed"), F.col("shared") >= plan.least(F.least("m", "n"))).otherwise(F.col("q") + F.col("r") - 2 * F.col("shared") <= limit(plan, F.col("m"), F.col("n")))
+    return met.where(enough).select("a", "b")
+
+
+def hub_members(rows: DataFrame) -> DataFrame:
+    """hub, hub_r, cls, n, r: the hubs of each class with frequent signatures in common with others."""
+    rows = rows.where("kind = 1")
+    weight = rows.groupBy("cls").agg(F.sum("size").alias("weight")).withColumnRenamed("cls", "c")
+    order = Window.partitionBy("sig").orderBy(F.desc("weight"), "cls")
+    return rows.join(weight, rows["cls"] == weight["c"]).select("cls", "n", "r", F.first("cls").over(order).alias("hub"), F.first("r").over(order).alias("hub_r")).groupBy("hub", "hub_r", "cls").agg(F.min("n").alias("n"), F.min("r").alias("r"))
+
+
+def pairs_by_hub(members: DataFrame, stars: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
+    """a, b of one hub that are not connected yet and may be linked without a rare signature in common.
+
+    A member's distance to the hub in frequent shingles is low + 2 s, where s, at most `some`, rare ones are common.
+    """
+    near = members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "apart"), ["hub", "cls"])
+    near = near.where(F.col("r") <= limit(plan, F.col("n"), F.col("n") * plan.den / plan.num))
+    near = near.join(roots, near["cls"] == roots["node"], "left").select("hub", "cls", "n", "r", (F.col("apart") - F.col("r") - F.col("hub_r")).alias("low"), F.least("r", "hub_r").alias("some"), F.coalesce("root", "cls").alias("part"))
+    near = common.written(near, "near-hubs")
+    x = near.select("hub", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("low").alias("u"), F.col("some").alias("s"), F.col("part").alias("p"))
+    y = near.select("hub", F.col("cls").alias("b"), "n", "r", F.col("low").alias("v"), F.col("some").alias("t"), F.col("part").alias("o"))
+    most = limit(plan, F.col("m"), F.col("n"))
+    fits = (F.col("a") < F.col("b")) & (F.col("p") != F.col("o")) & (F.col("q") + F.col("r") + F.greatest(F.lit(0), F.col("u") - F.col("v") - 2 * F.col("t"), F.col("v") - F.col("u") - 2 * F.col("s")) <= most) & near_in_size(plan, F.col("m"), F.col("n"))
+    return x.join(y, (x["hub"] == y["hub"]) & fits).select("a", "b").distinct()
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,13 +398,15 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     plan = Plan(size, num, den)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = common.written(sketched(docs, plan), "sketches", "none")
-    buckets = buckets_of(signed(sketches, plan, frequent_tokens(sketches, plan)))
-    best = buckets.where("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("n")).groupBy("cls").agg(F.max_by("hub", F.struct("n", F.col("hub"))).alias("hub"))
-    first = common.written(best.select(F.col("hub").alias("a"), F.col("cls").alias("b")), "pairs")
-    sets = whole_sets(docs, sketches, buckets.select("cls").distinct(), plan)
-    links = verified(first, sets, plan)
-    more = across(buckets, components(links), first)
-    links = links.unionByName(verified(more, sets, plan))
+    sets = whole_sets(docs, sketches, involved(sketches, plan), plan)
+    whole = Plan(size, num, den, whole=True)
+    rows = common.written(shared_rows(signed(sets, whole, frequent_tokens(sets, whole))), "shared")
+    members = common.written(hub_members(rows), "members")
+    stars = members.where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    first = compared(stars.union(pairs_by_rare(rows, plan)).distinct(), sets, plan)
+    links = first.where("linked").select("a", "b")
+    more = common.written(pairs_by_hub(members, first, components(links), plan), "pairs")
+    links = links.unionByName(compared(more, sets, plan).where("linked").select("a", "b"))
     roots = components(links)
 
     smallest = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("m"))
