@@ -1,0 +1 @@
+"""Data quality, lake ingestion and workforce analytics on Spark DataFrames."""

@@ -1,0 +1,3 @@
+"""Generic operators on DataFrames."""
+from .core import *  # noqa: F403
+from .upsert import upsert  # noqa: F401

@@ -1,0 +1 @@
+"""Rules and jobs put together from the operators."""

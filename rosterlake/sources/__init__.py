@@ -1,0 +1 @@
+"""Tables, raw batches, manifests and sinks."""

@@ -1,0 +1,2 @@
+"""Checks and aggregates on streams."""
+from .checks import *  # noqa: F403
