@@ -1,2 +1,207 @@
-def bindings():
-    return {}, {}
+"""Sources, sinks, raw batches, lake jobs and streams on the given tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .. import streaming
+from ..plans import derive, lake, operational, raw_batch
+from ..plans.rules import run_rules
+from ..sources import lake as sources
+from ..sources import sinks
+from . import views
+
+AS_OF = date(2024, 6, 30)
+c = F.col
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of this run in the cluster's shared folder; a local one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{root.rstrip('/')}/lake-{uuid.uuid4().hex}"
+
+
+def extracted(spark: SparkSession, sf_dir: str, table: str) -> tuple[str, dict]:
+    """A raw batch of one table."""
+    root = scratch(spark)
+    return root, sinks.extract_batch(spark, sources.FileSource(spark, sf_dir), root, [table], "warehouse", "public")
+
+
+def s1_scan(spark, sf_dir) -> DataFrame:
+    return sources.FileSource(spark, sf_dir).read("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
+
+
+def s2_tables(spark, sf_dir) -> DataFrame:
+    return sources.FileSource(spark, sf_dir).tables().where(c("table_name").isin("orders", "customer", "lineitem"))
+
+
+def s3_s7_latest(spark, sf_dir) -> DataFrame:
+    """Two batches; the rows of the newest one."""
+    root, _ = extracted(spark, sf_dir, "nation")
+    source = sources.FileSource(spark, sf_dir)
+    sinks.extract_table(source, root, "nation", "second", "warehouse", "public")
+    rows, batch = sources.read_latest(spark, f"{root}/nation")
+    return rows.select("n_nationkey", "n_name", c("batch_id").cast("string").alias("batch_id"), F.lit(batch.file_count > 0).alias("has_files"))
+
+
+def s8_manifest(spark, sf_dir) -> DataFrame:
+    root, manifest = extracted(spark, sf_dir, "orders")
+    return sources.manifest_tables(sources.read_manifest(spark, f"{root}/_manifests", manifest["batch_id"])).select("table_name", "row_count", "column_count")
+
+
+def k1_k3_extract(spark, sf_dir) -> DataFrame:
+    root, _ = extracted(spark, sf_dir, "customer")
+    rows = spark.read.parquet(f"{root}/customer")
+    return rows.groupBy("_source_system", "_source_table").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_batch_id").alias("batches"), F.count("_extracted_at_utc").alias("stamped"))
+
+
+def k6_publish(spark, sf_dir) -> DataFrame:
+    """Extract, validate, publish, and read what arrived."""
+    root, manifest = extracted(spark, sf_dir, "part")
+    row = sources.read_manifest(spark, f"{root}/_manifests").first()
+    results = raw_batch.validate_batch(spark, root, row, "warehouse", "public", ["part"], sources.FileSource(spark, sf_dir))
+    target = scratch(spark)
+    sinks.publish_batch(spark, root, target, manifest, results)
+    return spark.read.parquet(f"{target}/raw/part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+def k8_report(spark, sf_dir) -> DataFrame:
+    t = views.tables(spark, sf_dir, "employees")
+    rules = [r for r in operational.operational_rules(AS_OF) if r.needs == ("employees",)]
+    path = scratch(spark)
+    sinks.write_report(run_rules(rules, t), path)
+    return spark.read.schema("check_name string, passed boolean, record_count long, severity string").option("header", True).csv(f"{path}/csv")
+
+
+def v_results(spark, sf_dir) -> DataFrame:
+    """A batch whose manifest says one row too many."""
+    root, manifest = extracted(spark, sf_dir, "supplier")
+    row = sources.read_manifest(spark, f"{root}/_manifests", manifest["batch_id"]).withColumn("tables", F.transform("tables", lambda x: x.withField("row_count", x["row_count"] + 1))).first()
+    out = raw_batch.validate_batch(spark, root, row, "warehouse", "public", ["supplier", "nation"], sources.FileSource(spark, sf_dir))
+    return out.select("table_name", "passed", "manifest_row_count", "parquet_row_count", "source_row_count", F.size("errors").alias("errors"))
+
+
+def p1_bronze(spark, sf_dir) -> DataFrame:
+    """The same batch written twice."""
+    root, _ = extracted(spark, sf_dir, "orders")
+    raw = spark.read.option("basePath", f"{root}/orders").parquet(f"{root}/orders")
+    schema = StructType.fromDDL("o_orderkey int, o_totalprice decimal(12,2), o_orderdate date")
+    path = scratch(spark)
+    for _ in range(2):
+        lake.write_bronze(lake.bronze(raw, schema), path)
+    return spark.read.parquet(path).groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").cast("decimal(18,2)").alias("total"))
+
+
+def scd(t) -> DataFrame:
+    return lake.scd2(t["transfers"], "employee_id", "transfer_date", ("new_department_id", "new_location_id"))
+
+
+SCD = """WITH r AS (SELECT employee_id, transfer_date AS d, max((new_department_id, new_location_id)) AS s FROM transfers GROUP BY 1, 2),
+ l AS (SELECT *, lag(s) OVER w AS p, row_number() OVER w AS k FROM r WINDOW w AS (PARTITION BY employee_id ORDER BY d)),
+ v AS (SELECT employee_id, s[1] AS new_department_id, s[2] AS new_location_id, d AS effective_from, lead(d) OVER w AS effective_to, row_number() OVER w AS version FROM l WHERE k = 1 OR s IS DISTINCT FROM p WINDOW w AS (PARTITION BY employee_id ORDER BY d))"""
+
+
+def streamed(spark, sf_dir, once: bool) -> DataFrame:
+    path = scratch(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", c("ts").cast("timestamp"))
+    events.repartitionByRange(4, "ts").write.parquet(f"{path}/in")  # several files
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+    if once:
+        out = streaming.once(stream.union(stream), ["event_id"]).select("event_id", "user_id")
+        streaming.available_now(out, f"{path}/out", f"{path}/check")
+    else:
+        streaming.available_now(streaming.windowed_counts(stream), f"{path}/out", f"{path}/check")
+    return spark.read.parquet(f"{path}/out")
+
+
+def p12_windows(spark, sf_dir) -> DataFrame:
+    """Windows that the watermark has closed, against those of the batch: a stream leaves the last ones open."""
+    got = streamed(spark, sf_dir, False)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", c("ts").cast("timestamp"))
+    whole = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("m"))
+    both = got.join(whole, (got["window_start"] == whole["w.start"]) & (got["event_type"] == whole["event_type"]))
+    return both.agg(F.count(F.lit(1)).alias("windows"), F.count_if(c("n") != c("m")).alias("different"))
+
+
+def p12_once(spark, sf_dir) -> DataFrame:
+    return streamed(spark, sf_dir, True)
+
+
+def p12_rules(spark, sf_dir) -> DataFrame:
+    path = scratch(spark)
+    t = views.tables(spark, sf_dir, "employees", "attendance")
+    t["attendance"].write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(t["attendance"].schema).parquet(f"{path}/in")
+    rules = [r for r in operational.operational_rules(AS_OF) if r.id in ("R02", "R12", "R33")]
+    streaming.rules_on_stream(stream, "attendance", rules, {"employees": t["employees"]}, f"{path}/out", f"{path}/check")
+    return spark.read.parquet(f"{path}/out").groupBy("check_name").agg(F.sum("record_count").alias("record_count"))
+
+
+def p9_sentiment(t) -> DataFrame:
+    lexicon = t["region"].sparkSession.createDataFrame([("the", 1), ("and", -1), ("of", 2)], "word string, weight long")
+    return lake.lexicon_sentiment(t["documents"], lexicon, "doc_id", "text")
+
+
+def p10_model(t) -> DataFrame:
+    features = lake.attrition_features(t["employees"], t["attendance"], AS_OF)
+    return lake.attrition_risk(features, lake.attrition_model(features)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("risk"), 4).alias("risk"))
+
+
+def facts(t) -> DataFrame:
+    rows = lake.point_in_time(t["attendance"], scd(t), "employee_id", "work_date", ("new_department_id",))
+    return rows.groupBy("at_new_department_id").agg(F.count(F.lit(1)).alias("n"), F.sum("attendance_id").alias("ids"))
+
+
+DIRECT = {
+    "S1_scan_source_table": (s1_scan, "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1"),
+    "S2_source_tables": (s2_tables, "SELECT unnest(['orders', 'customer', 'lineitem']) AS table_name"),
+    "S3_S7_read_latest": (s3_s7_latest, "SELECT n_nationkey, n_name, 'second' AS batch_id, true AS has_files FROM nation"),
+    "S8_read_manifest": (s8_manifest, "SELECT 'orders' AS table_name, count(*) AS row_count, CAST(12 AS INT) AS column_count FROM orders"),
+    "K1_K3_extract": (k1_k3_extract, "SELECT 'warehouse' AS _source_system, 'customer' AS _source_table, count(*) AS n, CAST(1 AS BIGINT) AS batches, count(*) AS stamped FROM customer"),
+    "K6_K7_L2_publish": (k6_publish, "SELECT p_brand, count(*) AS n FROM part GROUP BY 1"),
+    "K8_report": (k8_report, None),
+    "V01_V14_validate_batch": (v_results, "SELECT 'supplier' AS table_name, false AS passed, count(*) + 1 AS manifest_row_count, count(*) AS parquet_row_count, count(*) AS source_row_count, 1 AS errors FROM supplier UNION ALL SELECT '(batch)', false, NULL, NULL, NULL, 1"),
+    "P01_bronze": (p1_bronze, "SELECT CAST(o_orderdate AS DATE) AS o_orderdate, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS total FROM orders GROUP BY 1"),
+    "P12_stream_windows": (p12_windows, None),
+    "P12_stream_once": (p12_once, "SELECT event_id, user_id FROM events"),
+    "P12_stream_rules": (p12_rules, None),
+}
+
+BOUND = {
+    "P02_silver": (("customer",), lambda t: lake.silver(t["customer"].select((c("c_custkey") % 400).alias("k"), "c_custkey", F.concat(F.lit(" "), c("c_mktsegment")).alias("seg")), "k", ("c_custkey",), {"seg": "none"}, (), ("seg",)), "SELECT k, c_custkey, upper(substr(seg, 1, 1)) || lower(substr(seg, 2)) AS seg FROM (SELECT c_custkey % 400 AS k, c_custkey, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_custkey % 400 ORDER BY c_custkey DESC) AS r FROM customer) WHERE r = 1"),
+    "P03_dim_date": (("region",), lambda t: lake.dim_date(t["region"].sparkSession, date(2016, 1, 1), AS_OF, ("12-25", "01-01")), "SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, CAST(d AS DATE) AS date, CAST(day(d) AS INT) AS day, CAST(weekofyear(d) AS INT) AS week, CAST(month(d) AS INT) AS month, CAST(quarter(d) AS INT) AS quarter, CAST(year(d) AS INT) AS year, CAST(year(d) - CASE WHEN month(d) < 4 THEN 1 ELSE 0 END AS INT) AS financial_year, CAST(((month(d) + 8) % 12) // 3 + 1 AS INT) AS financial_quarter, isodow(d) < 6 AS is_weekday, strftime(d, '%m-%d') IN ('12-25', '01-01') AS is_holiday FROM (SELECT unnest(generate_series(TIMESTAMP '2016-01-01', TIMESTAMP '2024-06-30', INTERVAL 1 DAY)) AS d)"),
+    "P04_scd2": (("transfers",), scd, SCD + " SELECT employee_id, new_department_id, new_location_id, effective_from, effective_to, effective_to IS NULL AS is_current, CAST(version AS INT) AS version FROM v"),
+    "P05_dimension": (("job_roles",), lambda t: lake.dimension(t["job_roles"], ("role_id",), ("role_name", "grade"), "role").drop("role_key"), "SELECT role_id, role_name, grade FROM job_roles"),
+    "P06_point_in_time": (("attendance", "transfers"), facts, SCD + " SELECT v.new_department_id AS at_new_department_id, count(*) AS n, CAST(sum(attendance_id) AS BIGINT) AS ids FROM attendance AS a LEFT JOIN v ON a.employee_id = v.employee_id AND a.work_date >= v.effective_from AND (v.effective_to IS NULL OR a.work_date < v.effective_to) GROUP BY 1"),
+    "P07_headcount": (("employees", "region"), lambda t: lake.headcount(t["employees"], derive.month_spine(t["region"].sparkSession, date(2019, 6, 30))), "WITH m AS (SELECT CAST(m AS DATE) AS s, last_day(CAST(m AS DATE)) AS e FROM (SELECT unnest(generate_series(TIMESTAMP '2016-01-01', TIMESTAMP '2019-06-30', INTERVAL 1 MONTH)) AS m)) SELECT s AS month_start, (SELECT count(*) FROM employees WHERE hire_date <= e AND (termination_date IS NULL OR termination_date > e)) AS headcount, (SELECT count(*) FROM employees WHERE hire_date BETWEEN s AND e) AS hires, (SELECT count(*) FROM employees WHERE termination_date BETWEEN s AND e) AS leavers FROM m"),
+    "P07_absenteeism": (("attendance", "employees"), lambda t: lake.absenteeism(t["attendance"], t["employees"]), "SELECT department_id, count(*) AS days, count(*) FILTER (WHERE status = 'Absent') AS absences, round(count(*) FILTER (WHERE status = 'Absent') / count(*), 6) AS rate FROM attendance JOIN employees USING (employee_id) GROUP BY ROLLUP (department_id)"),
+    "P07_turnover": (("employee_exits", "employees"), lambda t: lake.turnover(t["employee_exits"], t["employees"]), "SELECT CAST(year(exit_date) AS INT) AS year, count(*) FILTER (WHERE voluntary_flag) AS voluntary, count(*) FILTER (WHERE NOT voluntary_flag) AS involuntary FROM employee_exits GROUP BY 1"),
+    "P07_payroll_cube": (("payroll", "employees"), lambda t: lake.payroll_cube(t["payroll"], t["employees"]).withColumn("gross_pay", c("gross_pay").cast("decimal(18,2)")), "SELECT department_id, CAST(year(pay_period_start) AS INT) AS year, CAST(sum(gross_pay) AS DECIMAL(18,2)) AS gross_pay, count(*) AS payslips FROM payroll JOIN employees USING (employee_id) GROUP BY CUBE (department_id, year(pay_period_start))"),
+    "P07_hire_success": (("recruitment",), lambda t: lake.hire_success(t["recruitment"]), "SELECT recruitment_status, count(*) AS vacancies, count(successful_employee_id) AS with_employee FROM recruitment GROUP BY 1"),
+    "P07_completion": (("training",), lambda t: lake.completion_rate(t["training"]), "SELECT CAST(year(coalesce(start_date, completion_date)) AS INT) AS year, count(*) AS courses, count(completion_date) AS completed, round(count(completion_date) / count(*), 6) AS rate FROM training GROUP BY 1"),
+    "P07_engagement": (("employee_surveys", "employees"), lambda t: lake.engagement(t["employee_surveys"], t["employees"]).withColumn("engagement", c("engagement").cast("double")), "SELECT department_id, count(*) AS responses, count(DISTINCT employee_id) AS participants, round(avg(CAST(engagement_score AS DOUBLE)), 6) AS engagement FROM employee_surveys JOIN employees USING (employee_id) GROUP BY 1"),
+    "P09_term_counts": (("conversations",), lambda t: lake.term_counts(t["conversations"], "conv_id", "text"), r"SELECT term, count(DISTINCT conv_id) AS documents, count(*) AS occurrences FROM (SELECT conv_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM conversations) WHERE term <> '' GROUP BY 1"),
+    "P09_sentiment": (("documents", "region"), p9_sentiment, r"SELECT doc_id, CAST(coalesce(sum(CASE w WHEN 'the' THEN 1 WHEN 'and' THEN -1 WHEN 'of' THEN 2 END), 0) AS BIGINT) AS score, count(*) FILTER (WHERE w IN ('the', 'and', 'of')) AS hits FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents) GROUP BY 1"),
+    "P10_features": (("employees", "attendance"), lambda t: lake.attrition_features(t["employees"], t["attendance"], AS_OF), "WITH a AS (SELECT employee_id, count(*) AS days, count(*) FILTER (WHERE status = 'Absent') AS absences FROM attendance GROUP BY 1) SELECT e.employee_id, CAST(date_diff('day', hire_date, least(coalesce(termination_date, DATE '2024-06-30'), DATE '2024-06-30')) AS INT) AS tenure_days, CAST(annual_salary AS DOUBLE) AS salary, coalesce(days, 0) AS days, coalesce(absences, 0) AS absences, CAST(employment_status = 'Terminated' AS INT) AS label FROM employees AS e LEFT JOIN a USING (employee_id)"),
+    "P10_model": (("employees", "attendance"), p10_model, None),
+    "P11_catalogue": (("orders", "customer"), lambda t: lake.catalogue({"orders": t["orders"], "customer": t["customer"]}).groupBy("asset").agg(F.count(F.lit(1)).alias("columns"), F.min("column_name").alias("first")), "SELECT 'orders' AS asset, CAST(6 AS BIGINT) AS columns, 'o_custkey' AS first UNION ALL SELECT 'customer', 5, 'c_acctbal'"),
+    "P13_shared_view": (("customer",), lambda t: lake.shared_view(t["customer"], ("c_custkey", "c_name", "c_nationkey"), ("c_name",), c("c_acctbal") > 0), "SELECT c_custkey, sha256(c_name) AS c_name, c_nationkey FROM customer WHERE c_acctbal > 0"),
+}
+
+
+def bindings() -> tuple[dict, dict]:
+    q = {k: fn for k, (fn, _) in DIRECT.items()}
+    o = {k: text for k, (_, text) in DIRECT.items() if text}
+    for key, (needs, fn, text) in BOUND.items():
+        q[key] = lambda spark, sf_dir, f=fn, n=needs: f(views.tables(spark, sf_dir, *n))
+        if text:
+            o[key] = views.sql(text, *[n for n in needs if n in views.VIEWS])
+    return q, o
+
+

@@ -48,7 +48,9 @@ def only_alnum(c: Column) -> Column:
 
 
 def clamp(c: Column, low, high) -> Column:
-    return F.greatest(F.lit(low) if not isinstance(low, Column) else low, F.least(F.lit(high) if not isinstance(high, Column) else high, c))
+    """The upper bound wins where the bounds cross."""
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    return F.least(high, F.greatest(low, c))
 
 
 def path_part(path: Column, key: str) -> Column:

@@ -147,14 +147,25 @@ def attrition_features(employees: DataFrame, attendance: DataFrame, as_of: date)
     return rows.select("employee_id", F.date_diff(end, "hire_date").alias("tenure_days"), F.col("annual_salary").cast("double").alias("salary"), F.coalesce("days", zero).alias("days"), F.coalesce("absences", zero).alias("absences"), (F.col("employment_status") == "Terminated").cast("int").alias("label"))
 
 
-def attrition_model(features: DataFrame):
-    """A logistic regression on the features; returns the fitted pipeline."""
-    from pyspark.ml import Pipeline
+FEATURES = ("tenure_days", "salary", "days", "absences")
+
+
+def attrition_model(features: DataFrame) -> dict[str, float]:
+    """Coefficients of a logistic regression on the features, and its intercept under the name ''."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
+    model = LogisticRegression(maxIter=20).fit(rows)
+    return dict(zip(FEATURES, map(float, model.coefficients))) | {"": float(model.intercept)}
+
 
-    inputs = VectorAssembler(inputCols=["tenure_days", "salary", "days", "absences"], outputCol="raw")
-    return Pipeline(stages=[inputs, StandardScaler(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=20)]).fit(features)
+def attrition_risk(features: DataFrame, model: dict[str, float]) -> DataFrame:
+    """features with risk, the model's probability, as a plain expression."""
+    score = F.lit(model[""])
+    for name in FEATURES:
+        score = score + F.col(name) * model[name]
+    return features.withColumn("risk", 1 / (1 + F.exp(-score)))
 
 
 def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
