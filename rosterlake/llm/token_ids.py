@@ -16,6 +16,7 @@ doc_ids come first. An empty table gives an empty file set.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -63,18 +64,22 @@ class MemoEncoder:
 
     The tokenizer's pattern never matches across the end of a run of non-space characters, so a text may be cut where a
     space or line feed follows such a run, and the ids of the pieces put together are the ids of the text. Texts with
-    other white space, or with runs of it, are given to the tokenizer whole. The memo is emptied at `limit` pieces.
+    other white space, runs of it, or some at their end are given to the tokenizer whole. The memo is emptied at `limit` pieces.
     """
 
+    #: Marks that often end a word; the tokenizer always cuts between a letter and one of these.
+    MARKS = ",.;:!?%&$#*()|\"-"
     #: White space beside single spaces and line feeds.
-    UNUSUAL = re.compile(r"[ \n]{2}|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+    UNUSUAL = re.compile(r"[ \n]{2}|[^\S \n]|[\x1c-\x1f]")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 900_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._clear()
 
     def _clear(self) -> None:
@@ -85,22 +90,54 @@ class MemoEncoder:
         self.sizes = np.zeros(1 << 16, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        """A piece that starts with a line feed or the mark \\0 stands as it is, any other follows a space."""
-        texts = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in pieces]
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids, k = got.ids, len(self.memo)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k >= len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.memo[piece] = k
+        """Puts new pieces in the memo; one that ends in marks after a letter is put together from its two parts."""
+        parts: dict[str, tuple[str, str]] = {}
+        fresh: dict[str, None] = {}
+        for p in pieces:
+            stem = p.rstrip(self.MARKS)
+            if len(stem) < len(p) and stem[-1:].isalpha():
+                parts[p] = two = (stem, "\0" + p[len(stem) :])
+                fresh.update((x, None) for x in two if x not in self.memo)
+            else:
+                fresh[p] = None
+        self._encode_new(list(fresh))
+        if parts:
+            k = np.array([[self.memo[x], self.memo[y]] for x, y in parts.values()]).reshape(-1)
+            ids, sizes = self._gather(k)
+            sizes = sizes.reshape(-1, 2).sum(axis=1)
+            self._store(list(parts), ids, np.cumsum(sizes) - sizes, sizes)
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        """Encodes pieces in one text, with a line feed before each; its id marks where they start.
+
+        A piece that starts with a line feed or the mark \\0 stands as it is, any other follows a space.
+        """
+        if not pieces:
+            return
+        text = "\n" + "\n".join(p[1:] if p[:1] in ("\0", "\n") else " " + p for p in pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.line_feed)
+        starts = marks + ~np.fromiter((p[:1] == "\n" for p in pieces), bool, len(pieces))  # such pieces keep their line feed
+        self._store(pieces, ids, starts, np.append(marks[1:], len(ids)) - starts)
+
+    def _store(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        k = len(self.memo)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + len(pieces) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[k : k + len(pieces)], self.sizes[k : k + len(pieces)] = starts + self.used, sizes
+        self.used += len(ids)
+        self.memo.update(zip(pieces, range(k, k + len(pieces))))
+
+    def _gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[k]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[k] - ends + sizes, sizes) + np.arange(ends[-1])], sizes
 
     def encode(self, text: str) -> np.ndarray:
-        if self.UNUSUAL.search(text) or "\0" in text:
+        if self.UNUSUAL.search(text) or "\0" in text or text[-1:] in ("\n", " "):
             return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         if not text:
             return np.zeros(0, np.uint32)
@@ -115,31 +152,36 @@ class MemoEncoder:
         if None in numbers:
             self._learn(list(dict.fromkeys(p for p, k in zip(pieces, numbers) if k is None)))
             numbers = list(map(self.memo.get, pieces))
-        k = np.array(numbers, np.int64)
-        sizes = self.sizes[k]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[k] - ends + sizes, sizes) + np.arange(ends[-1])]
+        return self._gather(np.array(numbers, np.int64))[0]
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers, the end id last). One pass, no shuffle."""
+    """doc_id, ids (little-endian unsigned integers of width_of the tokenizer, the end id last). One pass, no shuffle."""
+    width = width_of(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = MemoEncoder(tokenizer_path)
         for batch in common.small_batches(batches, "text"):
-            out = [np.append(encoder.encode(t or ""), np.uint32(end_id)).astype("<u4") for t in batch.column("text").to_pylist()]
+            out = [np.append(encoder.encode(t or ""), np.uint32(end_id)).astype(width) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequency_order(encoded: DataFrame) -> DataFrame:
+def width_of(tokenizer_path: str) -> str:
+    """The integer type that holds all ids of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def frequency_order(encoded: DataFrame, width: str) -> DataFrame:
     """rank, token_id, n over all documents; ties go to the smaller id. Its rows are bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in common.small_batches(batches, "ids"):
-            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), width))
             if len(got) > len(total):
                 total, got = got.astype(np.int64), total
             total[: len(got)] += got
@@ -153,7 +195,8 @@ def frequency_order(encoded: DataFrame) -> DataFrame:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Writes docs (doc_id, text) as a file set at path. The tokenizer's file must be at tokenizer_path on every node."""
     encoded = common.written(encode_texts(docs, tokenizer_path, end_id), "token-ids")
-    frequency_order(encoded).write.parquet(f"{path}/vocabulary")
+    width, size = width_of(tokenizer_path), int(width_of(tokenizer_path)[-1])
+    frequency_order(encoded, width).write.parquet(f"{path}/vocabulary")
     # At most one row for each entry of the tokenizer's vocabulary.
     order = np.array([r[0] for r in docs.sparkSession.read.parquet(f"{path}/vocabulary").orderBy("rank").select("token_id").collect()], np.int64)
     ranks = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
@@ -166,8 +209,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start
-            lengths = [len(x) // 4 for x in ids]
-            control, data = encode_ranks(ranks[np.frombuffer(b"".join(ids), "<u4")])
+            lengths = [len(x) // size for x in ids]
+            control, data = encode_ranks(ranks[np.frombuffer(b"".join(ids), width)])
             row = [[shard], [block], [start], [list(keys)], [lengths], [control], [data]]
             block, start = block + 1, start + sum(lengths)
             ids.clear()
@@ -179,7 +222,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             for key, got in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 keys.append(key)
                 ids.append(got.as_py())
-                held += len(ids[-1]) // 4
+                held += len(ids[-1]) // size
                 if held >= block_ids:
                     yield flush()
                     held = 0
