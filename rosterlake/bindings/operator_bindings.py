@@ -23,7 +23,12 @@ def upserted(t) -> tuple[DataFrame, DataFrame]:
 
 
 SCORES = ("productivity_score", "quality_score", "teamwork_score", "leadership_score")
-RATES = F.lit(0.01).cast("decimal(6,4)") * (c("promotion_id") % 20)
+
+
+def rates():
+    return F.lit(0.01).cast("decimal(6,4)") * (c("promotion_id") % 20)
+
+
 SALARY = "least(salary_band_max, greatest(salary_band_min, new_salary * (1 + CAST(0.01 * (promotion_id % 20) AS DECIMAL(6,4)))))"
 
 #: key: (tables, query, SQL)
@@ -95,7 +100,7 @@ BOUND = {
     "W07_W08_hours": (("attendance",), lambda t: t["attendance"].select("attendance_id", derive.hours_worked(c("clock_in_sec"), c("clock_out_sec")).alias("hours")).withColumn("overtime", derive.overtime_hours(c("hours"))), "SELECT attendance_id, h AS hours, CAST(greatest(h - 7.5, 0) AS DECIMAL(5,2)) AS overtime FROM (SELECT attendance_id, CAST(coalesce(round_even(((clock_out_sec - clock_in_sec + 86400) % 86400) / 3600.0, 2), 0) AS DECIMAL(5,2)) AS h FROM attendance)"),
     "W09_overall_rating": (("performance_reviews",), lambda t: t["performance_reviews"].select("review_id", derive.overall_rating(*map(c, SCORES)).alias("overall"), derive.promotion_recommended(derive.overall_rating(*map(c, SCORES))).alias("recommended")), "SELECT review_id, CAST(o AS DECIMAL(3,2)) AS overall, o >= 4.5 AS recommended FROM (SELECT review_id, CASE WHEN leadership_score IS NULL THEN (m + 1) // 3 ELSE CASE WHEN m % 4 < 2 THEN m // 4 WHEN m % 4 > 2 THEN m // 4 + 1 ELSE m // 4 + (m // 4) % 2 END END / 100.0 AS o FROM (SELECT *, CAST(100 * (productivity_score + quality_score + teamwork_score + coalesce(leadership_score, 0)) AS INT) AS m FROM performance_reviews))"),
     "W10_review_focus": (("performance_reviews",), lambda t: t["performance_reviews"].select("review_id", derive.review_focus(*map(c, SCORES)).alias("f")).select("review_id", "f.*"), "SELECT review_id, CASE hi WHEN productivity_score THEN 'productivity' WHEN quality_score THEN 'quality' WHEN teamwork_score THEN 'teamwork' ELSE 'leadership' END AS strongest, w AS weakest, CASE WHEN hi - lo <= 0.30 THEN 'balanced' WHEN lo >= 4 THEN 'strategic' ELSE w END AS focus FROM (SELECT *, CASE lo WHEN productivity_score THEN 'productivity' WHEN quality_score THEN 'quality' WHEN teamwork_score THEN 'teamwork' ELSE 'leadership' END AS w FROM (SELECT *, greatest(productivity_score, quality_score, teamwork_score, leadership_score) AS hi, least(productivity_score, quality_score, teamwork_score, leadership_score) AS lo FROM performance_reviews))"),
-    "W12_salary_in_band": (("promotions", "job_roles"), lambda t: t["promotions"].join(t["job_roles"], c("new_role_id") == c("role_id")).select("promotion_id", derive.salary_in_band(c("new_salary"), RATES, c("salary_band_min"), c("salary_band_max"))["new_salary"].alias("v")), f"SELECT promotion_id, CAST((x // 10000 + CASE WHEN x % 10000 > 5000 OR (x % 10000 = 5000 AND (x // 10000) % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS DECIMAL(12,2)) AS v FROM (SELECT promotion_id, CAST(({SALARY}) * 1000000 AS HUGEINT) AS x FROM promotions JOIN job_roles ON new_role_id = role_id)"),
+    "W12_salary_in_band": (("promotions", "job_roles"), lambda t: t["promotions"].join(t["job_roles"], c("new_role_id") == c("role_id")).select("promotion_id", derive.salary_in_band(c("new_salary"), rates(), c("salary_band_min"), c("salary_band_max"))["new_salary"].alias("v")), f"SELECT promotion_id, CAST((x // 10000 + CASE WHEN x % 10000 > 5000 OR (x % 10000 = 5000 AND (x // 10000) % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS DECIMAL(12,2)) AS v FROM (SELECT promotion_id, CAST(({SALARY}) * 1000000 AS HUGEINT) AS x FROM promotions JOIN job_roles ON new_role_id = role_id)"),
     "W13_eligible_roles": (("employees", "job_roles"), lambda t: derive.eligible_roles(t["employees"], t["job_roles"]), "WITH r AS (SELECT role_id, CASE grade WHEN 'Associate' THEN 1 WHEN 'Senior Associate' THEN 2 ELSE 3 END AS g FROM job_roles) SELECT employee_id, e.role_id, n.role_id AS new_role_id FROM employees AS e JOIN r ON r.role_id = e.role_id JOIN r AS n ON n.g > r.g"),
     "W14_increase_band": (("part",), lambda t: t["part"].select("p_partkey", derive.increase_band(c("p_size")).alias("band")), "SELECT p_partkey, CASE WHEN p_size >= 15 THEN 'high' WHEN p_size >= 10 THEN 'moderate' ELSE 'progression' END AS band FROM part"),
     "W15_apply_events": (("employees", "promotions", "transfers", "employee_exits", "job_roles"), lambda t: derive.apply_events(t["employees"], t["promotions"], t["transfers"], t["employee_exits"], t["job_roles"]).select("employee_id", "role_id", "annual_salary", "is_manager", "department_id", "manager_id", "termination_date", "is_active"), "WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY promotion_date DESC, promotion_id DESC) AS k FROM promotions) WHERE k = 1), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY transfer_date DESC, transfer_id DESC) AS k FROM transfers) WHERE k = 1) SELECT e.employee_id, coalesce(p.new_role_id, e.role_id) AS role_id, coalesce(p.new_salary, e.annual_salary) AS annual_salary, coalesce(r.grade = 'Manager', e.is_manager) AS is_manager, coalesce(m.new_department_id, e.department_id) AS department_id, CASE WHEN m.employee_id IS NULL THEN e.manager_id ELSE m.new_manager_id END AS manager_id, coalesce(x.exit_date, e.termination_date) AS termination_date, CASE WHEN x.employee_id IS NULL THEN e.is_active ELSE false END AS is_active FROM employees AS e LEFT JOIN p USING (employee_id) LEFT JOIN m ON m.employee_id = e.employee_id LEFT JOIN employee_exits AS x ON x.employee_id = e.employee_id LEFT JOIN job_roles AS r ON r.role_id = p.new_role_id"),
