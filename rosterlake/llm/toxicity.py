@@ -11,7 +11,8 @@ id. Labels tell toxic from not; the grades 1 to GRADES of toxic documents are eq
 features that speak for toxic. Whole texts are read. Scoring passes over all documents once, without a shuffle.
 
 Nulls: null or empty texts have severity 0 and grade 0; null labels are no labels; null ids are scored. A document with
-labels of both kinds counts as toxic. Repeated rows are scored alike. Without labels of both classes nothing is rejected.
+labels of both kinds counts as toxic. Repeated rows are scored alike. Without labels of both
+classes, or features that tell them apart, nothing is rejected.
 """
 
 from __future__ import annotations
@@ -82,6 +83,8 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], grades: int = GRADES, rounds:
     both = (bad + good + 1) / (n + 2)
     apart = np.abs(bad / toxic.sum() - good / (~toxic).sum()) / np.sqrt(both * (1 - both) * (1 / toxic.sum() + 1 / (~toxic).sum()))
     used = (bad + good >= LEAST) & (np.abs(odds) >= np.log(TIMES)) & (apart >= APART)
+    if not used.any():
+        return None
     number = np.cumsum(used) - 1
     at, flat, names, odds = at[used[flat]], number[flat[used[flat]]], names[used], odds[used]
     size, each = len(names), np.arange(n)
@@ -107,7 +110,7 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], grades: int = GRADES, rounds:
         a, b = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
         theta -= rate * (mt / a) / (np.sqrt(vt / b) + 1e-8)
-        theta = np.maximum.accumulate(theta)
+        theta = np.maximum.accumulate(np.maximum(theta, 1e-3))  # a text without features is of grade 0
     strong = np.abs(w) > 1e-3
     return Model(dict(zip(names[strong].tolist(), w[strong].tolist())), theta)
 

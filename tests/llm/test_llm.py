@@ -116,6 +116,8 @@ def test_toxicity(spark):
     truth = {i for i in range(400) if i % 4 == 0}
     assert len(got & truth) >= 95 and len(got - truth) <= 3
     assert toxicity.rejected(docs(spark, rows), labels.limit(0)).count() == 0
+    few = labels.where("doc_id IN (0, 1, 2)")  # no feature tells so few labels apart
+    assert toxicity.rejected(docs(spark, rows), few).count() == 0
 
 
 def test_licenses(spark):
