@@ -17,9 +17,10 @@ doc_ids come first. An empty table gives an empty file set.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,11 @@ CONTROL_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).asty
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ranks below 2**32."""
     ranks = np.asarray(ranks, "<u4")
-    sizes = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    sizes = np.uint8(1) + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = sizes - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]]
+    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < sizes[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -60,52 +61,69 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class MemoEncoder:
-    """Encodes whole texts with a byte-level BPE tokenizer, each distinct word once.
+    """Encodes whole texts with a byte-level BPE tokenizer, each distinct word once, many texts at a time.
 
     The tokenizer's pattern never matches across the end of a run of non-space characters, so a text may be cut where a
     space or line feed follows such a run, and the ids of the pieces put together are the ids of the text. Texts with
-    other white space, runs of it, or some at their end are given to the tokenizer whole. The memo is emptied at `limit` pieces.
+    other white space, runs of it, or some at an end are given to the tokenizer whole. The memo is emptied at `limit` pieces.
     """
 
     #: Marks that often end a word; the tokenizer always cuts between a letter and one of these.
     MARKS = ",.;:!?%&$#*()|\"-"
-    #: White space beside single spaces and line feeds.
-    UNUSUAL = re.compile(r"[ \n]{2}|[^\S \n]|[\x1c-\x1f]")
+    #: White space beside single spaces and line feeds, and the mark of this class.
+    ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0"
+    WIDE_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, end_id: int = 0, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
+        self.limit, self.end_id = limit, end_id
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._clear()
 
     def _clear(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.count = 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
+        self.end = self._put(np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64))
+
+    def _put(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> int:
+        """Keeps pieces, given by where their ids lie in ids, and returns the number of the first."""
+        first, upto = self.count, self.count + len(starts)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        if upto > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(max(len(x), len(starts)), np.int64)]) for x in (self.starts, self.sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[first:upto], self.sizes[first:upto] = starts + self.used, sizes
+        self.used, self.count = self.used + len(ids), upto
+        return first
 
     def _learn(self, pieces: list[str]) -> None:
         """Puts new pieces in the memo; one that ends in marks after a letter is put together from its two parts."""
-        parts: dict[str, tuple[str, str]] = {}
-        fresh: dict[str, None] = {}
-        for p in pieces:
-            stem = p.rstrip(self.MARKS)
+        memo, fresh, parts, halves = self.memo, {}, [], []
+        for p, stem in zip(pieces, [p.rstrip(self.MARKS) for p in pieces]):
             if len(stem) < len(p) and stem[-1:].isalpha():
-                parts[p] = two = (stem, "\0" + p[len(stem) :])
-                fresh.update((x, None) for x in two if x not in self.memo)
+                tail = "\0" + p[len(stem) :]
+                parts.append(p)
+                halves += (stem, tail)
+                if stem not in memo:
+                    fresh[stem] = None
+                if tail not in memo:
+                    fresh[tail] = None
             else:
                 fresh[p] = None
         self._encode_new(list(fresh))
         if parts:
-            k = np.array([[self.memo[x], self.memo[y]] for x, y in parts.values()]).reshape(-1)
-            ids, sizes = self._gather(k)
+            ids, sizes = self._gather(np.fromiter(map(memo.__getitem__, halves), np.int64, len(halves)))
             sizes = sizes.reshape(-1, 2).sum(axis=1)
-            self._store(list(parts), ids, np.cumsum(sizes) - sizes, sizes)
+            first = self._put(ids, np.cumsum(sizes) - sizes, sizes)
+            memo.update(zip(parts, range(first, self.count)))
 
     def _encode_new(self, pieces: list[str]) -> None:
         """Encodes pieces in one text, with a line feed before each; its id marks where they start.
@@ -114,45 +132,69 @@ class MemoEncoder:
         """
         if not pieces:
             return
-        text = "\n" + "\n".join(p[1:] if p[:1] in ("\0", "\n") else " " + p for p in pieces)
+        text = ("\n " + "\n ".join(pieces)).replace("\n \0", "\n").replace("\n \n", "\n")
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         marks = np.flatnonzero(ids == self.line_feed)
-        starts = marks + ~np.fromiter((p[:1] == "\n" for p in pieces), bool, len(pieces))  # such pieces keep their line feed
-        self._store(pieces, ids, starts, np.append(marks[1:], len(ids)) - starts)
-
-    def _store(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        k = len(self.memo)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(pieces) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[k : k + len(pieces)], self.sizes[k : k + len(pieces)] = starts + self.used, sizes
-        self.used += len(ids)
-        self.memo.update(zip(pieces, range(k, k + len(pieces))))
+        starts = marks + np.array([p[0] != "\n" for p in pieces])  # a piece's own line feed is the one before it
+        first = self._put(ids, starts, np.append(marks[1:], len(ids)) - starts)
+        self.memo.update(zip(pieces, range(first, self.count)))
 
     def _gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[k]
         ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[k] - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+        at = np.repeat(self.starts[k] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.ids[at], sizes
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.UNUSUAL.search(text) or "\0" in text or text[-1:] in ("\n", " "):
-            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        if not text:
-            return np.zeros(0, np.uint32)
-        if len(self.memo) > self.limit:
+    def _cuttable(self, texts: list[str]) -> list[bool]:
+        def spaced(t: str) -> bool:
+            return any(c in t for c in self.ASCII_SPACES) or not t.isascii() and any(c in t for c in self.WIDE_SPACES)
+
+        def runs(t: str) -> bool:
+            return "  " in t or "\n\n" in t or " \n" in t or "\n " in t
+
+        all_texts = "|".join(texts)
+        if spaced(all_texts) or runs(all_texts):
+            return [bool(t) and t[0] not in " \n" and t[-1] not in " \n" and not runs(t) and not spaced(t) for t in texts]
+        return [bool(t) and t[0] not in " \n" and t[-1] not in " \n" for t in texts]
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, and how many ids each has."""
+        if self.count > self.limit:
             self._clear()
-        pieces = text.replace("\n", " \n").split(" ")
-        if pieces[0]:
-            pieces[0] = "\0" + pieces[0]
-        else:
-            del pieces[0]  # the text starts with a space or line feed
-        numbers = list(map(self.memo.get, pieces))
-        if None in numbers:
-            self._learn(list(dict.fromkeys(p for p, k in zip(pieces, numbers) if k is None)))
-            numbers = list(map(self.memo.get, pieces))
-        return self._gather(np.array(numbers, np.int64))[0]
+        cut = self._cuttable(texts)
+        plain = [t for t, c in zip(texts, cut) if c]
+        pieces = " ".join(["\0" + t for t in plain]).replace("\n", " \n").split(" ") if plain else []
+        numbers = np.fromiter(map(self.memo.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            unknown = [pieces[i] for i in new]
+            self._learn(list(dict.fromkeys(unknown)))
+            numbers[new] = np.fromiter(map(self.memo.__getitem__, unknown), np.int64, len(new))
+        used, count = self.used, self.count
+        whole = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([t for t, c in zip(texts, cut) if not c], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in whole], np.int64)
+        first = self._put(np.concatenate([np.zeros(0, np.uint32), *whole]), np.cumsum(sizes) - sizes, sizes)
+        # The pieces of each text in turn (a whole text is one), then the end.
+        n = np.array([t.count(" ") + t.count("\n") + 1 if c else 1 for t, c in zip(texts, cut)], np.int64)
+        order, ends = np.full(int(n.sum()) + len(n), -1), np.cumsum(n + 1)
+        order[ends - 1] = self.end
+        body = np.flatnonzero(order < 0)
+        from_pieces = np.repeat(np.array(cut, bool), n)
+        order[body[from_pieces]] = numbers
+        order[body[~from_pieces]] = np.arange(first, self.count)
+        ids, lengths = self._gather(order)
+        self.used, self.count = used, count  # whole texts are not kept
+        return ids, np.add.reduceat(lengths, ends - n - 1) if len(n) else n
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0][:-1]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> MemoEncoder:
+    """The encoder of this Python worker: tasks that follow each other in it share the memo."""
+    return MemoEncoder(path, end_id)
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -160,10 +202,13 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
     width = width_of(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MemoEncoder(tokenizer_path)
-        for batch in common.small_batches(batches, "text"):
-            out = [np.append(encoder.encode(t or ""), np.uint32(end_id)).astype(width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "ids"])
+        encoder = encoder_of(tokenizer_path, end_id)
+        for batch in common.small_batches(batches, "text", 2 << 20):
+            ids, n = encoder.encode_many([t or "" for t in batch.column("text").to_pylist()])
+            ids = ids.astype(width)
+            offsets = np.append(0, np.cumsum(n)) * ids.itemsize
+            out = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
