@@ -17,6 +17,7 @@ doc_ids come first. An empty table gives an empty file set.
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -192,17 +193,17 @@ class MemoEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, end_id: int) -> MemoEncoder:
-    """The encoder of this Python worker: tasks that follow each other in it share the memo."""
+def encoder_of(path: str, end_id: int, call: str) -> MemoEncoder:
+    """The encoder of this Python worker: tasks of one call that follow each other in it share the memo, later calls start anew."""
     return MemoEncoder(path, end_id)
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, ids (little-endian unsigned integers of width_of the tokenizer, the end id last). One pass, no shuffle."""
-    width = width_of(tokenizer_path)
+    width, call = width_of(tokenizer_path), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id, call)
         for batch in common.small_batches(batches, "text", 2 << 20):
             ids, n = encoder.encode_many([t or "" for t in batch.column("text").to_pylist()])
             ids = ids.astype(width)
