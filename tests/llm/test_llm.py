@@ -28,6 +28,21 @@ def test_ranks_round_trip():
     assert (token_ids.decode_ranks(control, data, len(x)) == x).all()
 
 
+def test_encoder_against_the_tokenizer():
+    import random
+
+    rng = random.Random(3)
+    parts = [*"ab'é1,.!?\n \n  \t\xa0\u3000 \0|-", "'s", "<|endoftext|>", "the ", "\r\n", "日本", "\x1c", " \n", "don't"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)]
+    encoder = token_ids.MemoEncoder(queries.tokenizer_path(), end_id=0, limit=300)  # emptied many times
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        ids, n = encoder.encode_many(some)
+        want = [x.ids + [0] for x in encoder.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    assert encoder.encode_many([])[0].tolist() == [] and encoder.encode("").tolist() == []
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
