@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, in lower case. Every n-gram of a test item is looked up in all documents, whole.
-A gram is rare for its item if it stands in at most RARE times as many documents as the item's median gram: an item that
-leaked into a third of all documents keeps its seeds, a run of stop words is none. Around each rare hit the passage is
-aligned with the item, word by word (match 2, mismatch and gap -1). `score` is the best local alignment divided by that
-of the item with itself; from `threshold` on the passage is a leak. An upper bound on the score, the words that passage
-and item share, spares most alignments and loses none.
+Words are runs of letters and digits, in lower case. Every n-gram of a test item is looked up in all documents, whole,
+and is a seed wherever it stands, however frequent: a limit would lose items that leaked often, and edited copies of them.
+Around the seeds the passage is aligned with the item, word by word (match 2, mismatch and gap -1). `score` is the best
+local alignment divided by that of the item with itself; from `threshold` on the passage is a leak. What is left on either
+side of a leak is aligned again, so each copy in a document gives a row. Two upper bounds on the score, the item's words in
+any stretch as long as an alignment can be and the words that passage and item share, spare most alignments and lose none.
 
 The test set is taken in blocks of a bounded number of words, which go to the tasks with the code; each block is one
 pass over the documents, so any size of test set works. Documents are not shuffled.
@@ -20,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N, THRESHOLD, RARE = 3, 0.5, 4
+N, THRESHOLD = 3, 0.5
 BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, -1, 1
 WORDS = re.compile(r"[^\W_]+")
@@ -108,8 +109,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def passages(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFrame:
-    """doc_id, start, words (numbers, -1 for a word of no item), grams: the parts of documents around any gram."""
-    schema = "doc_id long, start long, words binary, grams array<int>"
+    """doc_id, start, words (numbers, -1 for a word of no item): the parts of documents around any gram."""
+    schema = "doc_id long, start long, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = items.words.get
@@ -121,27 +122,48 @@ def passages(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFrame
                 if not len(at):
                     continue
                 reach = items.reach[k]
-                for n, (a, b) in enumerate(merged(list(zip(np.maximum(at - reach, 0).tolist(), np.minimum(at + reach, len(ids)).tolist())))):
-                    # A gram counts once for a document: its first passage lists the grams of all.
-                    rows.append((key, a, ids[a:b].astype("<i4").tobytes(), np.unique(k).tolist() if not n else []))
+                for a, b in merged(list(zip(np.maximum(at - reach, 0).tolist(), np.minimum(at + reach, len(ids)).tolist()))):
+                    rows.append((key, a, ids[a:b].astype("<i4").tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())))], ["doc_id", "start", "words", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "words"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def rare_grams(items: Items, df: dict[int, int], rare: float) -> dict[int, list[tuple[int, int]]]:
-    """The items and places for which each gram is rare."""
-    of: dict[int, list[int]] = defaultdict(list)
-    for k, places in enumerate(items.places):
-        for i, _ in places:
-            of[i].append(df.get(k, 0))
-    limit = {i: rare * max(1, sorted(n)[len(n) // 2]) for i, n in of.items()}
-    kept = {k: [(i, at) for i, at in places if df.get(k, 0) <= limit[i]] for k, places in enumerate(items.places)}
-    return {k: p for k, p in kept.items() if p}
-
-
-def aligned(found: DataFrame, items: Items, seeds: dict[int, list[tuple[int, int]]], threshold: float) -> DataFrame:
+def dense(passage: np.ndarray, words: np.ndarray, width: int, least: float) -> list[tuple[int, int]]:
+    """The parts of a passage made of stretches of `width` words with at least `least` of the given ones."""
+    total = np.concatenate([[0], np.cumsum(np.isin(passage, words))])
+    if len(passage) <= width:
+        return [(0, len(passage))] if total[-1] >= least else []
+    starts = np.flatnonzero(total[width:] - total[:-width] >= least)
+    if not len(starts):
+        return []
+    apart = np.flatnonzero(np.diff(starts) > width)
+    return list(zip(starts[np.append(0, apart + 1)].tolist(), (starts[np.append(apart, len(starts) - 1)] + width).tolist()))
+
+
+def leaks_in(item: np.ndarray, counts: Counter, ids: np.ndarray, a: int, b: int, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """Score, start and end of the leaks of an item in ids[a:b]; none overlaps another."""
+    most = MATCH * len(item)
+    # m matches and x mismatches and gaps score 2m - x >= threshold * most and take m + x words of a passage at most.
+    width = ceil((MATCH + 1) * len(item) - threshold * most)
+    left = [(a, b)]
+    while left:
+        a, b = left.pop()
+        for c, d in dense(ids[a:b], item, width, threshold * len(item)):
+            c, d = a + c, a + d
+            here = Counter(ids[c:d].tolist())
+            if MATCH * sum(min(n, here[w]) for w, n in counts.items()) < threshold * most:
+                continue
+            score, end = align(item, ids[c:d])
+            if score >= threshold * most:
+                _, back = align(item[::-1], ids[c : c + end + 1][::-1])
+                start, end = c + end - back, c + end + 1
+                yield score, start, end
+                left += [(c, start), (end, d)]
+
+
+def aligned(found: DataFrame, items: Items, threshold: float) -> DataFrame:
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,19 +174,13 @@ def aligned(found: DataFrame, items: Items, seeds: dict[int, list[tuple[int, int
                 ids = np.frombuffer(raw, "<i4").astype(np.int64)
                 spans = defaultdict(list)
                 for p, k in zip(*(x.tolist() for x in items.hits(ids))):
-                    for i, at in seeds.get(k, ()):
+                    for i, at in items.places[k]:
                         slack = window(len(items.ids[i])) - len(items.ids[i])
                         spans[i].append((max(0, p - at - slack), min(len(ids), p - at + len(items.ids[i]) + slack)))
                 for i, parts in spans.items():
-                    item, most = items.ids[i], MATCH * len(items.ids[i])
                     for a, b in merged(parts):
-                        here = Counter(ids[a:b].tolist())
-                        if MATCH * sum(min(n, here[w]) for w, n in counts[i].items()) < threshold * most:
-                            continue
-                        score, end = align(item, ids[a:b])
-                        if score >= threshold * most:
-                            _, back = align(item[::-1], ids[a : a + end + 1][::-1])
-                            rows.append((key, i, score / most, start + a + end - back, start + a + end + 1))
+                        for score, first, end in leaks_in(items.ids[i], counts[i], ids, a, b, threshold):
+                            rows.append((key, i, score / (MATCH * len(items.ids[i])), start + first, start + end))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
@@ -187,14 +203,12 @@ def item_blocks(benchmark: DataFrame, n: int, block_words: int, item_id: str, te
         yield Items(held, n)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: float = RARE, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each passage of docs that aligns with a test item."""
     out = []
     for items in item_blocks(benchmark, n, block_words, item_id, item_text):
         found = common.written(passages(docs, items, doc_id, text), "passages")
-        counted = found.select(F.explode("grams").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-        df = {r.k: r.n for r in counted.collect()}  # at most a row for each gram of the block
-        out.append(aligned(found, items, rare_grams(items, df, rare), threshold))
+        out.append(aligned(found, items, threshold))
     if not out:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     return reduce(DataFrame.unionByName, out)

@@ -98,6 +98,18 @@ def test_leaks(spark):
     assert [r.doc_id for r in decontaminate.drop_leaks(docs(spark, rows), bench).orderBy("doc_id").collect()] == [3, 4, 5]
 
 
+@pytest.mark.parametrize("every", [4, 6])
+def test_leaks_of_frequent_copies(spark, every):
+    item = prose(7, 40).split()
+    edited = " ".join(w if i % every else f"changed{i}" for i, w in enumerate(item))
+    rows = [(i, f"{prose(100 + i, 60)} {edited} {prose(200 + i, 60)}", "s") for i in range(50)]
+    rows += [(i, f"{prose(i, 60)} {' '.join(item[:20])} {prose(300 + i, 60)}", "s") for i in range(50, 100)]
+    rows += [(100, f"{edited} {prose(5, 300)} {edited} {edited}", "s"), (101, prose(6, 300), "s")]
+    bench = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    got = [r.doc_id for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()]
+    assert sorted(set(got)) == list(range(101)) and got.count(100) == 3
+
+
 def test_html():
     page = """<html><head><title>t</title><script>var a = "</p>";</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class="ad">Buy</div>
     <article><h1>Title &amp; more</h1><p>First <b>bold</b> text<br>goes on.<p>Second,  with
