@@ -11,6 +11,7 @@ from .. import functions as X
 from .. import operators as ops
 from ..plans import derive
 from . import views
+from .job_bindings import scratch
 
 AS_OF = date(2024, 6, 30)
 c = F.col
@@ -110,7 +111,7 @@ BOUND = {
     "W20_pick_manager": (("employees",), lambda t: derive.pick_manager(t["employees"]), "WITH m AS (SELECT employee_id AS mid, department_id AS d FROM employees WHERE is_manager AND is_active) SELECT e.employee_id, coalesce((SELECT min(mid) FROM m WHERE m.d = e.department_id AND mid <> e.employee_id), (SELECT min(mid) FROM m WHERE mid <> e.employee_id)) AS manager_id FROM employees AS e"),
     "W21_leave_days": (("leave_requests",), lambda t: t["leave_requests"].select("leave_id", derive.leave_days(c("requested_days"), c("available_days")).alias("days")), "SELECT leave_id, greatest(least(requested_days, available_days), 0) AS days FROM leave_requests"),
     "W22_time_to_hire": (("recruitment",), lambda t: derive.time_to_hire(t["recruitment"]).select("recruitment_id", "closing_date", "days_to_hire"), "SELECT recruitment_id, least(closing_date, hire_date) AS closing_date, CAST(date_diff('day', opening_date, hire_date) AS INT) AS days_to_hire FROM recruitment"),
-    "W23_hierarchy_levels": (("employees",), lambda t: derive.hierarchy_levels(t["employees"]), "WITH RECURSIVE h AS (SELECT employee_id, 0 AS level FROM employees WHERE manager_id IS NULL UNION ALL SELECT e.employee_id, h.level + 1 FROM employees AS e JOIN h ON e.manager_id = h.employee_id WHERE h.level < 4) SELECT employee_id, CAST(level AS INT) AS level FROM h"),
+    "W23_hierarchy_levels": (("employees",), lambda t: derive.hierarchy_levels(t["employees"], scratch(t["employees"].sparkSession)), "WITH RECURSIVE h AS (SELECT employee_id, 0 AS level FROM employees WHERE manager_id IS NULL UNION ALL SELECT e.employee_id, h.level + 1 FROM employees AS e JOIN h ON e.manager_id = h.employee_id WHERE h.level < 4) SELECT employee_id, CAST(level AS INT) AS level FROM h"),
     "W24_unknown_values": (("training", "orders"), lambda t: derive.unknown_values(t["training"], "course_category", t["orders"].select(c("o_orderstatus").alias("category")).distinct(), "category").groupBy("course_category").agg(F.count(F.lit(1)).alias("n")), "SELECT course_category, count(*) AS n FROM training WHERE course_category NOT IN (SELECT o_orderstatus FROM orders) GROUP BY 1"),
     "W25_hires_to_employees": (("recruitment", "job_roles"), lambda t: derive.hires_to_employees(t["recruitment"], t["job_roles"]).select("recruitment_id", "employee_number", "is_manager", "currency"), "SELECT recruitment_id, 'EMP' || lpad(CAST(recruitment_id + 1 AS VARCHAR), 6, '0') AS employee_number, coalesce(grade = 'Manager', false) AS is_manager, 'GBP' AS currency FROM recruitment LEFT JOIN job_roles USING (role_id) WHERE recruitment_status = 'Filled'"),
     "W26_transfer_options": (("employees", "locations"), lambda t: derive.transfer_options(t["employees"], t["locations"], "location_id", "location_id"), "SELECT employee_id, e.location_id, l.location_id AS new_location_id FROM employees AS e JOIN locations AS l ON e.location_id IS DISTINCT FROM l.location_id"),

@@ -186,16 +186,23 @@ def time_to_hire(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"closing_date": F.least("closing_date", "hire_date"), "days_to_hire": F.date_diff("hire_date", "opening_date")})
 
 
-def hierarchy_levels(employees: DataFrame, depth: int = 5) -> DataFrame:
-    """employee_id, level (0 without a manager) down to `depth` levels. Each level is one join on the manager."""
-    level = employees.where("manager_id IS NULL").select("employee_id", F.lit(0).alias("level"))
+def hierarchy_levels(employees: DataFrame, folder: str, depth: int | None = None) -> DataFrame:
+    """employee_id, level (0 without a manager) down to the last level, or `depth` levels if given.
+
+    Each level is one join on the manager, written to the shared folder. Employee ids are unique.
+    """
+    spark = employees.sparkSession
     people = employees.select("employee_id", "manager_id")
-    out = level
-    for k in range(1, depth):
+    level, k, paths = people.where("manager_id IS NULL").select("employee_id", F.lit(0).alias("level")), 0, []
+    schema = level.schema
+    while True:
+        paths.append(f"{folder}/level-{k}")
+        level.write.parquet(paths[-1])
+        level, k = spark.read.schema(schema).parquet(paths[-1]), k + 1
+        if k == depth or level.isEmpty():
+            return spark.read.schema(schema).parquet(*paths)
         above = level.select(F.col("employee_id").alias("m"))
         level = people.join(above, people["manager_id"] == above["m"]).select("employee_id", F.lit(k).alias("level"))
-        out = out.unionByName(level)
-    return out
 
 
 def unknown_values(df: DataFrame, column: str, lookup: DataFrame, name: str) -> DataFrame:
