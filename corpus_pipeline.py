@@ -26,7 +26,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "corpus-tokens")
-    token_ids.write_token_files(docs, path, queries.tokenizer_path())
+    token_ids.write_token_files(docs, path, queries.tokenizer_path(), added_tokens=True)
     return token_ids.read_token_files(spark, path)
 
 

@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "token-files")
-    token_ids.write_token_files(common.table(spark, sf_dir, "documents"), path, tokenizer_path())
+    token_ids.write_token_files(common.table(spark, sf_dir, "documents"), path, tokenizer_path(), added_tokens=True)
     return token_ids.read_token_files(spark, path)
 
 

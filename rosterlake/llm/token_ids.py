@@ -66,7 +66,7 @@ class MemoEncoder:
 
     The tokenizer's pattern never matches across the end of a run of non-space characters, so a text may be cut where a
     space or line feed follows such a run, and the ids of the pieces put together are the ids of the text. Texts with
-    other white space, runs of it, or some at an end are given to the tokenizer whole. The memo is emptied at `limit` pieces.
+    other white space, runs of it, some at an end, or the content of an added token are given to the tokenizer whole. The memo is emptied at `limit` pieces.
     """
 
     #: Marks that often end a word; the tokenizer always cuts between a letter and one of these.
@@ -75,12 +75,13 @@ class MemoEncoder:
     ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0"
     WIDE_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
-    def __init__(self, path: str, end_id: int = 0, limit: int = 1_500_000):
+    def __init__(self, path: str, end_id: int = 0, limit: int = 1_500_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.end_id = limit, end_id
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._clear()
@@ -149,7 +150,7 @@ class MemoEncoder:
 
     def _cuttable(self, texts: list[str]) -> list[bool]:
         def spaced(t: str) -> bool:
-            return any(c in t for c in self.ASCII_SPACES) or not t.isascii() and any(c in t for c in self.WIDE_SPACES)
+            return any(c in t for c in self.ASCII_SPACES) or any(c in t for c in self.added) or not t.isascii() and any(c in t for c in self.WIDE_SPACES)
 
         def runs(t: str) -> bool:
             return "  " in t or "\n\n" in t or " \n" in t or "\n " in t
@@ -193,17 +194,17 @@ class MemoEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, end_id: int, call: str) -> MemoEncoder:
+def encoder_of(path: str, end_id: int, added_tokens: bool, call: str) -> MemoEncoder:
     """The encoder of this Python worker: tasks of one call that follow each other in it share the memo, later calls start anew."""
-    return MemoEncoder(path, end_id)
+    return MemoEncoder(path, end_id, added_tokens=added_tokens)
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, added_tokens: bool = False) -> DataFrame:
     """doc_id, ids (little-endian unsigned integers of width_of the tokenizer, the end id last). One pass, no shuffle."""
     width, call = width_of(tokenizer_path), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path, end_id, call)
+        encoder = encoder_of(tokenizer_path, end_id, added_tokens, call)
         for batch in common.small_batches(batches, "text", 2 << 20):
             ids, n = encoder.encode_many([t or "" for t in batch.column("text").to_pylist()])
             ids = ids.astype(width)
@@ -238,9 +239,13 @@ def frequency_order(encoded: DataFrame, width: str) -> DataFrame:
     return counts.selectExpr("CAST(row_number() OVER (ORDER BY n DESC, token_id) - 1 AS long) AS rank", "token_id", "n")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
-    """Writes docs (doc_id, text) as a file set at path. The tokenizer's file must be at tokenizer_path on every node."""
-    encoded = common.written(encode_texts(docs, tokenizer_path, end_id), "token-ids")
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, added_tokens: bool = False) -> None:
+    """Writes docs (doc_id, text) as a file set at path. The tokenizer's file must be at tokenizer_path on every node.
+
+    With added_tokens, texts are encoded as the tokenizer does by itself: the content of an added token gives its id. Without,
+    special tokens that a text quotes are encoded as any other text.
+    """
+    encoded = common.written(encode_texts(docs, tokenizer_path, end_id, added_tokens), "token-ids")
     width, size = width_of(tokenizer_path), int(width_of(tokenizer_path)[-1])
     frequency_order(encoded, width).write.parquet(f"{path}/vocabulary")
     # At most one row for each entry of the tokenizer's vocabulary.

@@ -65,6 +65,27 @@ def test_token_files(spark):
     assert token_ids.read_token_files(spark, empty).count() == 0
 
 
+def test_token_ids_of_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", "ends with <|endoftext|>", "no end of text", "<|endof text|>", None]
+    rows = docs(spark, [(i, s, "s") for i, s in enumerate(texts)])
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [t.encode(s or "", add_special_tokens=False).ids + [0] for s in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    crcs = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+    for got in (queries.op1_token_ids(spark, str(tmp_path)), corpus_pipeline.write_tokens(spark, rows, "")):
+        assert [(r.n_tokens, r.ids_crc32) for r in got.orderBy("doc_id").collect()] == [(len(x), c) for x, c in zip(want, crcs)]
+    encoder = token_ids.MemoEncoder(queries.tokenizer_path(), added_tokens=True)
+    parts = ["a", "b c", " ", "<|endoftext|>", "<|", "endoftext", "|>", "\n", ", d"]
+    some = ["".join(random.Random(i).choices(parts, k=i % 9)) for i in range(2000)]
+    ids, n = encoder.encode_many(some)
+    plain = [x.ids + [0] for x in t.encode_batch(some, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in plain] and ids.tolist() == sum(plain, [])
+
+
 def test_chat_round_trip(spark):
     said = [("user", r"\### </turn> ok\ "), ("user", "<part>"), ("assistant", r"x\</turn>" + "\n</turn>\n"), ("assistant", ""), ("tool call\n", "<turn a>"), ("assistant", None)]
     rows = [(1, i, a, b) for i, (a, b) in enumerate(said)] + [(2, 0, None, None)]
