@@ -1,8 +1,10 @@
 r"""License scans: an exact set-similarity join of text blocks with notice templates.
 
 Words are runs of ASCII letters, digits and all characters beyond ASCII, after A-Z became a-z. A block is a line of a
-text, as its set of words; it holds a template when it has at least THRESHOLD of the template's distinct words. Words of
-templates are ordered by how often all documents have them, rarest first. A block that reaches the threshold must hold
+text, or a window of consecutive words over any lines, as its set of words; it holds a template when it has at least
+THRESHOLD of the template's distinct words. A template's windows have its number of words divided by THRESHOLD, and slide
+by one word, so notices are found however their lines are wrapped. Only texts that hold a template as a whole have windows
+or lines looked at. Words of templates are ordered by how often all documents have them, rarest first. A block that reaches the threshold must hold
 one of a template's first |T| - ceil(THRESHOLD |T|) + 1 words in that order (prefix filter), have ceil(THRESHOLD |T|)
 words (length filter), and lack no more words before its first common one than the threshold allows (positional filter);
 what is left is verified, so none is missed.
@@ -16,7 +18,8 @@ templates give all their labels. Empty tables give no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
 from math import ceil
 
@@ -75,7 +78,7 @@ class Index:
 
     def __init__(self, templates, counts: dict[bytes, int], threshold: float):
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        self.labels, self.sets, self.least = [], [], []
+        self.labels, self.sets, self.least, self.width = [], [], [], []
         for label, text in templates:
             tokens = sorted(set(words_of(text)), key=lambda w: (counts.get(w, 0), w))
             least = ceil(threshold * len(tokens) - 1e-9)
@@ -84,10 +87,11 @@ class Index:
             self.labels.append(label)
             self.sets.append(frozenset(tokens))
             self.least.append(least)
+            self.width.append(ceil(len(words_of(text)) / threshold))
         self.words = frozenset(self.prefix)
 
-    def search(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """Labels and containments of the templates that a block holds."""
+    def search(self, block: set[bytes]) -> Iterator[tuple[int, float]]:
+        """Numbers and containments of the templates that a block holds."""
         seen = set()
         for w in block & self.words:
             for k, at in self.prefix[w]:
@@ -97,7 +101,42 @@ class Index:
                 common_words = len(self.sets[k] & block)
                 if common_words >= least:
                     seen.add(k)
-                    yield self.labels[k], common_words / size
+                    yield k, common_words / size
+
+
+    def windows(self, k: int, words: list[bytes]) -> tuple[float, list[tuple[int, int]]]:
+        """The greatest containment of a template in a window, and the places of windows that hold it, none over another."""
+        wanted, width, least = self.sets[k], self.width[k], self.least[k]
+        hits = [(at, w) for at, w in enumerate(words) if w in wanted]
+        most, found = 0, []
+        for apart in (False, True):  # all windows, then those that begin after the last one found
+            inside, counts = deque(), {}
+            for at, w in hits:
+                while inside and inside[0][0] <= at - width:
+                    old = inside.popleft()[1]
+                    counts[old] -= 1
+                    if not counts[old]:
+                        del counts[old]
+                inside.append((at, w))
+                counts[w] = counts.get(w, 0) + 1
+                if not apart:
+                    most = max(most, len(counts))
+                elif len(counts) >= least:
+                    found.append((inside[0][0], at + 1))
+                    inside.clear()
+                    counts.clear()
+            if most < least:
+                break
+        return most / len(wanted), found
+
+
+def separate(spans: list[tuple[int, int]]) -> int:
+    """How many of the spans can be taken so that none overlaps another."""
+    n = upto = 0
+    for a, b in sorted(spans, key=lambda x: x[1]):
+        if a >= upto:
+            n, upto = n + 1, b
+    return n
 
 
 def places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> Iterator[tuple[int, str]]:
@@ -116,7 +155,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks of every document.
 
     score is 1 where a phrase stands, else the greatest containment of a template in a block, 0 if none reaches the
-    threshold. n_blocks counts the blocks that hold a template.
+    threshold. n_blocks counts the lines that hold a template, and the windows that do and overlap neither such a line nor
+    each other.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     vocabulary = frozenset(w for _, t in templates for w in words_of(t))
@@ -131,13 +171,26 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
         distinct = set(words)
         found = [x for x in places(words, [p for p in fixed if p[0][0] in distinct])]
         base, more, score, blocks = {x for _, x in found}, set(), float(bool(found)), 0
-        if not distinct.isdisjoint(index.words):
+        if whole := [k for k, _ in index.search(distinct)]:
+            start, full = 0, []  # lines that hold a template, as places of words
             for line in t.split("\n"):
-                held = list(index.search(set(words_of(line))))
-                blocks += bool(held)
-                for label, share in held:
-                    more.add(label)
+                here = words_of(line)
+                held = list(index.search(set(here)))
+                full += [(start, start + len(here))] if held else []
+                start += len(here)
+                for k, share in held:
+                    more.add(index.labels[k])
                     score = max(score, share)
+            spans = []
+            for k in whole:
+                share, at = index.windows(k, words)
+                if at:
+                    more.add(index.labels[k])
+                    score = max(score, share)
+                    spans += at
+            ends = [b for _, b in full]
+            over = lambda a, b: (i := bisect_right(ends, a)) < len(full) and full[i][0] < b
+            blocks = len(full) + separate([x for x in spans if not over(*x)])
         at = [k for k, _ in found]
         return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score, blocks
 

@@ -177,6 +177,21 @@ def test_licenses(spark):
     assert got[None].n_words == 1
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    rows, far = [], f"\n{prose(1, 80)}\n"
+    for i, (_, text) in enumerate(licenses.TEMPLATES):
+        for k, width in enumerate((20, 72)):
+            wrapped = "\n".join("# " + x for x in textwrap.wrap(text, width))
+            rows += [(100 * i + 2 * k, far + wrapped + far, "s"), (100 * i + 2 * k + 1, wrapped + far + wrapped + "\n" + wrapped, "s")]
+        rows.append((100 * i + 50, far.join(text.split()), "s"))  # the words, but no notice
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in got[100 * i + k].labels.split(",") and got[100 * i + k].score == 1 and got[100 * i + k].n_blocks == 1 + 2 * (k % 2) for k in range(4)), label
+        assert got[100 * i + 50].labels == got[100 * i + 50].base_labels == "", label
+
+
 def brute_components(rows, size, num, den):
     sets, root = [], {}
     for key, text, _ in rows:
