@@ -5,7 +5,9 @@ them. Elements that are no article by their meaning (scripts, forms, menus, page
 notices, reader comments) leave the tree first. Then every node has a density, its characters per tag lowered by its
 share of link text and link tags, and a density sum, that of its children. The node with the largest sum is the core of
 the content; the smallest density on the path from it up to body is the threshold, and nodes that reach it are content
-as well. The result is the subtree of the core's own article element, or else the smallest subtree with all content.
+as well, in each the one with the largest sum. The result is the smallest subtree with all content, on every page. Article
+and main elements only bound it: one around all content is taken whole, and where the core stands in one of several, all of
+them that hold content are taken. Trees are walked without recursion, so any depth of nesting works.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by line feeds; nothing
 else is dropped or capped. A line break element is white space. Null or empty pages, and pages without text, give an
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,32 +42,40 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 DROPPED = frozenset("head script style noscript template nav aside footer menu dialog form fieldset button input select textarea label option datalist svg math canvas object embed iframe audio video map title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|sidebars?|aside|widgets?|related|recommend\w*|share|sharing|social|breadcrumbs?|menus?|nav|navbar|navigation|masthead|footer|header|topbar|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|login|signup|sign-up|search|toolbar|skip-link|paywall|teasers?|outbrain|taboola)(?=$|[\s_-])", re.I)
+LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S*", re.I)  # says what stands beside or inside an element
 INNER = ("article", "main")
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "density", "items", "kept", "link_chars", "link_tags", "parent", "sums", "tag", "tags")
+    __slots__ = ("at", "attrs", "best", "chars", "density", "inner", "items", "kept", "link_chars", "link_tags", "parent", "sums", "tag", "tags")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sums = 0.0
-        self.kept = True
+        self.kept, self.inner, self.at = True, False, 0
+        self.best: Node | None = None
 
 
-def parse(page: str) -> Node:
-    """The tree of block elements; text stands in it as strings, link text in the counts of its block."""
-    root = node = Node("#root", "", None)
+def parse(page: str) -> list[Node]:
+    """The tree of block elements, root first, each before those in it, in the order of the page; text stands in it as strings, link text in the counts of its block."""
+    node = Node("#root", "", None)
+    order = [node]
+    opened: Counter = Counter()  # open elements of each tag
     inline: list[tuple[str, Node, bool]] = []  # open inline elements that hide their text or are links
     at = hidden = links = 0
 
     def close(tag: str, stop: frozenset | set = frozenset()) -> None:
         nonlocal node
+        if not opened[tag]:
+            return
         up = node
         while up.parent is not None and up.tag not in stop:
             if up.tag == tag:
-                node = up.parent
+                while node is not up.parent:
+                    opened[node.tag] -= 1
+                    node = node.parent
                 return
             up = up.parent
 
@@ -118,14 +129,17 @@ def parse(page: str) -> Node:
         for other in CLOSES.get(tag, ()):
             close(other, SCOPES.get(tag, frozenset()))
         if tag == "hr":
-            node.items.append(Node("hr", "", node))
+            order.append(Node("hr", "", node))
+            node.items.append(order[-1])
             continue
         child = Node(tag, m["attrs"], node)
         node.items.append(child)
+        order.append(child)
         if tag not in VOID and not m["attrs"].endswith("/"):
             node = child
+            opened[tag] += 1
     text(page[at:])
-    return root
+    return order
 
 
 def under(node: Node, tag: str) -> bool:
@@ -143,122 +157,135 @@ def dropped(tag: str, attrs: str) -> bool:
             or name == "aria-hidden" and value.lower() == "true"
             or name == "role" and value.lower() in ROLES
             or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)
-            or name in ("class", "id") and NOISE.search(value)
+            or name in ("class", "id") and NOISE.search(LAYOUT.sub("", value))
         ):
             return True
     return False
 
 
-def has_inner(node: Node) -> bool:
-    return node.tag in INNER or any(isinstance(x, Node) and has_inner(x) for x in node.items)
-
-
-def measure(node: Node, in_article: bool = False) -> None:
-    """Drops what is no article and counts characters and tags, from the leaves up."""
-    in_article |= node.tag == "article"
-    for x in node.items:
-        if isinstance(x, str):
-            node.chars += len(x) - x.count(" ")
-            continue
-        if x.tag in DROPPED or x.tag == "header" and not in_article or dropped(x.tag, x.attrs) and x.tag not in ("html", "body", "article", "main") and not has_inner(x):
+def reached(order: list[Node]) -> list[Node]:
+    """The nodes that are kept, and those around them too."""
+    there: set[Node] = set()
+    for n in order:
+        if n.kept and (n.parent is None or n.parent in there):
+            there.add(n)
+    return [n for n in order if n in there]
+
+
+def measure(order: list[Node]) -> list[Node]:
+    """Drops what is no article, counts characters and tags from the leaves up, and returns the nodes that stay."""
+    for n in reversed(order):
+        n.inner |= n.tag in INNER
+        if n.inner and n.parent is not None:
+            n.parent.inner = True
+    in_article: set[Node] = set()
+    for x in order:
+        if x.tag == "article" or x.parent in in_article:
+            in_article.add(x)
+        if x.parent is not None and (x.tag in DROPPED or x.tag == "header" and x.parent not in in_article or dropped(x.tag, x.attrs) and x.tag not in ("html", "body", "article", "main") and not x.inner):
             x.kept = False
+    for x in reversed(reached(order)):
+        x.chars += sum(len(s) - s.count(" ") for s in x.items if isinstance(s, str))
+        if x.parent is None:
             continue
-        measure(x, in_article)
         if x.tag in ("ul", "ol", "dl", "div", "section", "table") and x.link_tags > 2 and x.link_chars > 0.7 * x.chars:
             x.kept = False  # a menu, whatever its name
             continue
-        node.chars += x.chars
-        node.tags += 1 + x.tags
-        node.link_chars += x.link_chars
-        node.link_tags += x.link_tags
-
-
-def blocks(node: Node) -> Iterator[Node]:
-    for x in node.items:
-        if isinstance(x, Node) and x.kept:
-            yield x
-
-
-def densities(node: Node, body_links: float) -> None:
-    """Composite text density: characters per tag, times a logarithm that falls with the share of links."""
-    c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-    if c:
-        base = math.log(c / max(1, c - node.link_chars) * node.link_chars + body_links * c + math.e)
-        node.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) + 1) / max(1.0, math.log(base + math.e - 1))
-    for x in blocks(node):
-        densities(x, body_links)
-        node.sums += x.density
-
-
-def find(node: Node, tag: str) -> Node | None:
-    for x in blocks(node):
-        if x.tag == tag:
-            return x
-        if got := find(x, tag):
-            return got
-    return None
-
-
-def walk(node: Node) -> Iterator[Node]:
-    yield node
-    for x in blocks(node):
-        yield from walk(x)
-
-
-def path(node: Node) -> list[Node]:
-    out = [node]
-    while out[-1].parent is not None:
-        out.append(out[-1].parent)
-    return out[::-1]
-
-
-def content(root: Node) -> Node:
-    """The subtree that holds the main text."""
-    body = find(root, "body") or root
-    measure_root = body.chars and body.link_chars / body.chars
-    densities(body, measure_root)
-    core = max(walk(body), key=lambda n: n.sums)
+        up = x.parent
+        up.chars += x.chars
+        up.tags += 1 + x.tags
+        up.link_chars += x.link_chars
+        up.link_tags += x.link_tags
+    return reached(order)
+
+
+def densities(nodes: list[Node], body_links: float) -> None:
+    """Composite text density: characters per tag, times a logarithm that falls with the share of links.
+
+    Also the sum of each node's children, and the node of the largest sum in it, the first of equal ones.
+    """
+    for node in nodes:
+        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
+        if c:
+            base = math.log(c / max(1, c - node.link_chars) * node.link_chars + body_links * c + math.e)
+            node.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) + 1) / max(1.0, math.log(base + math.e - 1))
+    for node in nodes[1:]:
+        node.parent.sums += node.density
+    for node in reversed(nodes):
+        if node.best is None or node.sums >= node.best.sums:
+            node.best = node
+        if node is not nodes[0] and (node.parent.best is None or node.best.sums >= node.parent.best.sums):
+            node.parent.best = node.best
+
+
+def around(node: Node | None, body: Node) -> Iterator[Node]:
+    """A node and those around it, up to body."""
+    while node is not None:
+        yield node
+        node = None if node is body else node.parent
+
+
+def content(nodes: list[Node]) -> list[Node]:
+    """The subtrees that hold the main text, in the order of the page."""
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    inside: set[Node] = {body}
+    for n in nodes:
+        if n.parent in inside:
+            inside.add(n)
+    nodes = [n for n in nodes if n in inside]
+    for k, n in enumerate(nodes):
+        n.at = k
+    densities(nodes, body.chars and body.link_chars / body.chars)
+    core = body.best
     if not core.sums:
-        core = max(walk(body), key=lambda n: n.density)
-    way = [n for n in path(core) if n is body or body in path(n)]
-    for n in way:
-        if n.tag in INNER:
-            return n
-    threshold = min((n.density for n in way), default=0.0)
-    top = path(core)
-    for n in walk(body):
-        if n.density >= threshold and n is not body:
-            best = max(walk(n), key=lambda k: k.sums)
-            other = path(best if best.sums else n)
-            top = [a for a, b in zip(top, other) if a is b]
-    return top[-1]
-
-
-def lines(node: Node, out: list[str], run: list[str]) -> None:
+        core = max(nodes, key=lambda n: n.density)
+    threshold = min(n.density for n in around(core, body))
+    marks = [core] + [n.best if n.best.sums else n for n in nodes if n.density >= threshold and n is not body]
+    # A subtree is a run of nodes, so the smallest around all marks is the first above the core that reaches both ends.
+    last = [n.at for n in nodes]
+    for n in reversed(nodes[1:]):
+        last[n.parent.at] = max(last[n.parent.at], last[n.at])
+    low, high = min(n.at for n in marks), max(n.at for n in marks)
+    top = next(n for n in around(core, body) if n.at <= low and last[n.at] >= high)
+    if bound := next((n for n in around(top, body) if n.tag in INNER), None):
+        return [bound]
+    holder: list[Node | None] = [None] * len(nodes)  # the outermost article or main around each node
+    for n in nodes[1:]:
+        holder[n.at] = holder[n.parent.at] or (n if n.tag in INNER else None)
+    if holder[core.at] is None:
+        return [top]
+    return [nodes[k] for k in sorted({holder[n.at].at for n in marks if holder[n.at] is not None})]
+
+
+def lines(node: Node, out: list[str]) -> None:
+    run: list[str] = []
+
     def flush() -> None:
         if s := " ".join("".join(run).split()):
             out.append(s)
         run.clear()
 
-    for x in node.items:
-        if isinstance(x, str):
-            run.append(x)
-        else:
+    left = [iter(node.items)]
+    while left:
+        for x in left[-1]:
+            if isinstance(x, str):
+                run.append(x)
+                continue
             flush()
             if x.kept:
-                lines(x, out, run)
-                flush()
-    if node.parent is None or node.tag not in INLINE:
-        flush()
+                left.append(iter(x.items))
+                break
+        else:
+            left.pop()
+            flush()
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    measure(root)
     out: list[str] = []
-    lines(content(root), out, [])
+    for part in content(measure(parse(page))):
+        lines(part, out)
     return "\n".join(out)
 
 

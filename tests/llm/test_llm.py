@@ -141,6 +141,20 @@ def test_html():
     assert html_text.main_text(plain).split("\n")[-1] == "Yes." and len(html_text.main_text(plain).split("\n")) == 4
 
 
+def test_html_articles_and_depth():
+    said = [prose(i, 60) for i in range(6)]
+    p = "".join(f"<p>{x}</p>" for x in said[:3]), "".join(f"<p>{x}</p>" for x in said[3:])
+    menu = "<nav><a href=x>Home</a></nav>"
+    for page in (
+        f"<body>{menu}<div class=all><article>{p[0]}</article><article>{p[1]}</article></div></body>",
+        f"<body>{menu}<main><article>{p[0]}</article><article>{p[1]}</article></main></body>",
+        f"<body>{menu}<div class='page has-sidebar'>{p[0]}{p[1]}</div><div class=sidebar>x</div></body>",
+        f"<body>{menu}<div class='no-sidebar'>{p[0]}{p[1]}</div></body>",
+        f"<body>{menu}{'<div>' * 20000}{p[0]}{p[1]}{'</div>' * 20000}</body>",
+    ):
+        assert html_text.main_text(page).split("\n") == said
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     x = np.round(r.normal(size=(300, 6)), 2)
