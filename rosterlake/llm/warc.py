@@ -7,13 +7,17 @@ included. Every http record becomes one WARC record: WARC-Record-ID is a name-ba
 WARC-Date is made from the 14 digits, digests are base32 SHA-1, and the type is `response`, or `revisit` where another
 record has the same payload.
 
+Archives are read twice, each time a file at a time: first only digests, keys and places leave the tasks, and types are
+decided on these; then each file meets the list of its own revisits and is written as WARC. So no message is shuffled by
+its payload, and a payload that a third of all pages share costs one row for each task.
+
 Files are written by Spark's text writer, one record to a row: a WARC record ends in two line ends, an ARC record in one
 line feed, and the writer adds the last byte. The commit protocol makes retried tasks safe on any file system. Files are
-gzipped as a whole. Payloads are text (UTF-8); readers take any bytes.
+gzipped as a whole, and hold about FILE_MB of records. Bodies are copied byte by byte, whatever their encoding.
 
 Nulls: a null payload is empty, a null URL is `urn:none`, a null key is written as `-` and read back as null. Repeated
-rows are records of their own; wholly equal ones share a record id and a type, and of equal keys and payloads the one with the larger URL
-is the response. An empty table gives no records.
+rows are records of their own; wholly equal ones share a record id and a type, and of equal keys and payloads the one with
+the larger URL is the response. Other columns are not read, whatever their names. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 FILE_MB = 32
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 KEY_HEADER = "X-Page-Id"
@@ -69,41 +74,56 @@ def write_arc(pages: DataFrame, path: str, version: int, key: str = "page_id", u
 class Stream:
     """Reads lines and counted bytes from a gzipped or plain file without inflating it whole."""
 
+    PIECE = 1 << 20
+
     def __init__(self, raw: bytes):
-        self.raw, self.at, self.held = raw, 0, b""
+        self.raw, self.next = raw, 0
         self.gz = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
-
-    def _more(self) -> bool:
-        if self.at >= len(self.raw):
-            return False
-        piece = self.raw[self.at : self.at + (1 << 20)]
-        self.at += len(piece)
-        out = []
-        while self.gz and piece:
-            out.append(self.gz.decompress(piece))
-            piece = self.gz.unused_data
-            if self.gz.eof:
-                self.gz = zlib.decompressobj(31)
-        self.held += b"".join(out) + piece
-        return True
+        self.held, self.at = b"", 0  # what is inflated, and how much of it is read
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> Iterator[bytes]:
+        """The rest of the file, inflated, in pieces of bounded size."""
+        while self.next < len(self.raw):
+            piece = self.raw[self.next : self.next + self.PIECE]
+            self.next += len(piece)
+            if self.gz is None:
+                yield piece
+                continue
+            while piece:
+                yield self.gz.decompress(piece, self.PIECE)
+                piece = self.gz.unconsumed_tail
+                if self.gz.eof:
+                    piece, self.gz = self.gz.unused_data, zlib.decompressobj(31)
+
+    def _fill(self, wanted: int) -> bool:
+        """Drops what is read and inflates until `wanted` bytes are held; False at the end of the file."""
+        parts = [self.held[self.at :]]
+        size, before = len(parts[0]), len(parts[0])
+        while size < wanted and (piece := next(self.pieces, None)) is not None:
+            parts.append(piece)
+            size += len(piece)
+        self.held, self.at = b"".join(parts), 0
+        return size > before
 
     def line(self) -> bytes | None:
         """The next line with its end; None at the end of the file."""
-        frm = 0
+        frm = self.at
         while (k := self.held.find(b"\n", frm)) < 0:
-            frm = len(self.held)
-            if not self._more():
+            seen = len(self.held) - self.at
+            if not self._fill(2 * seen + 1):
                 k = len(self.held) - 1
                 break
-        got, self.held = self.held[: k + 1], self.held[k + 1 :]
+            frm = seen
+        got, self.at = self.held[self.at : k + 1], k + 1
         return got or None
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n and self._more():
-            pass
-        if len(self.held) < n:
-            raise ValueError(f"a record declares {n} bytes, {len(self.held)} are left")
-        got, self.held = self.held[:n], self.held[n:]
+        if len(self.held) - self.at < n:
+            self._fill(n)
+        if len(self.held) - self.at < n:
+            raise ValueError(f"a record declares {n} bytes, {len(self.held) - self.at} are left")
+        got, self.at = self.held[self.at : self.at + n], self.at + n
         return got
 
 
@@ -135,13 +155,18 @@ def http_payload(body: bytes) -> tuple[bytes, bytes]:
     return head, payload
 
 
-def header_value(head: bytes, name: str) -> str | None:
-    found = re.search(rb"(?im)^" + name.encode() + rb":[ \t]*([^\r\n]*)", head)
-    return found[1].decode("utf-8", "replace") if found else None
+def header_fields(head: bytes) -> dict[str, str]:
+    """Fields by their names in lower case; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\n"):
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
 
 
 def key_of(head: bytes) -> int | None:
-    value = header_value(head, KEY_HEADER)
+    value = header_fields(head).get(KEY_HEADER.lower())
     return int(value) if value and value != "-" else None
 
 
@@ -155,22 +180,20 @@ def record_id(url: str, date: str, body: bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {hashlib.sha1(body).hexdigest()}')}>"
 
 
-def read_arc(spark: SparkSession, *paths: str, with_message: bool = True) -> DataFrame:
-    """url, date, record_id, key, digest, payload_bytes, block_digest, message of all records; both versions may be mixed."""
-    schema = "url string, date string, record_id string, key long, digest string, payload_bytes long" + ", block_digest string, message string" * with_message
+def read_arc(spark: SparkSession, *paths: str) -> DataFrame:
+    """url, date, record_id, key, digest, payload_bytes, path, place (in its file) of all records; both versions may be mixed."""
+    schema = "url string, date string, record_id string, key long, digest string, payload_bytes long, path string, place long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("content"):
-                rows, held = [], 0
-                for url, date, _, body in arc_records(raw.as_py()):
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
+                rows = []
+                for place, (url, date, _, body) in enumerate(arc_records(raw.as_py())):
                     head, payload = http_payload(body)
-                    row = (url, warc_date(date), record_id(url, date, body), key_of(head), base32_sha1(payload), len(payload))
-                    rows.append(row + ((base32_sha1(body), body.decode("utf-8", "replace")) if with_message else ()))
-                    held += len(body) if with_message else 200
-                    if held > 8 << 20:
+                    rows.append((url, warc_date(date), record_id(url, date, body), key_of(head), base32_sha1(payload), len(payload), path, place))
+                    if len(rows) >= 10_000:
                         yield as_batch(rows, schema)
-                        rows, held = [], 0
+                        rows = []
                 if rows:
                     yield as_batch(rows, schema)
 
@@ -185,38 +208,59 @@ def as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def whole_files(spark: SparkSession, *paths: str) -> DataFrame:
     """Contents of archive files, one row each; a file is far below Spark's row limit, see in_files."""
-    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*").load(list(paths)).select("content")
+    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*").load(list(paths)).select("path", "content")
 
 
-def typed(records: DataFrame, light: DataFrame) -> DataFrame:
-    """Adds record_type, refers_to (key) and refers_id: of equal payloads the largest key is the response.
+def revisits(records: DataFrame) -> DataFrame:
+    """path, place, refers_to (key), refers_id of the records that repeat a payload: of equal ones the largest key is the response.
 
-    light has the same records, without messages. The largest key of each digest is found by an aggregate with partial
-    results, so that a payload that a third of all records share costs one row for each task.
+    The largest key of each digest is found by an aggregate with partial results and written, so that the join meets plain
+    rows on both sides, and Spark splits a digest that many records share.
     """
-    light = light.select("digest", F.struct("key", "url", "record_id").alias("at"))
-    best = light.groupBy("digest").agg(F.max("at").alias("best"))
-    joined = records.join(best, "digest")
-    same = F.col("best.record_id") == F.col("record_id")
-    return joined.select(*records.columns, F.when(same, "response").otherwise("revisit").alias("record_type"), F.when(~same, F.col("best.key")).alias("refers_to"), F.when(~same, F.col("best.record_id")).alias("refers_id"))
-
-
-def write_warc(records: DataFrame, path: str) -> None:
-    """Writes the output of typed() as WARC/1.1 files. A revisit keeps its whole HTTP message."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    revisit = F.col("record_type") == "revisit"
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), line("WARC-Block-Digest", F.concat(F.lit("sha1:"), "block_digest")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.col("refers_id")), line("X-Refers-To-Page", F.coalesce(F.col("refers_to").cast("string"), F.lit("-"))))).otherwise(""),
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), octets(F.col("message")), F.lit("\r\n\r\n"),
-    )
-    records.select(F.concat(head, "message", F.lit("\r\n\r")).alias("value")).write.options(compression="gzip", maxRecordsPerFile=50_000).text(path)
+    at = records.select("digest", F.struct("key", "url", "record_id").alias("at"))
+    best = at.groupBy("digest").agg(F.max("at").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = common.written(best.select(F.col("digest").alias("d"), F.col("best.key").alias("refers_to"), F.col("best.record_id").alias("refers_id")), "responses")
+    return records.join(best, F.col("digest") == F.col("d")).where("record_id <> refers_id").select("path", "place", "refers_to", "refers_id")
+
+
+def warc_record(url: str, date: str, body: bytes, again: dict | None) -> bytes:
+    """A WARC/1.1 record, without its last line feed. A revisit keeps its whole HTTP message."""
+    lines = [
+        "WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: {record_id(url, date, body)}", f"WARC-Date: {warc_date(date)}", f"WARC-Target-URI: {url}",
+        f"WARC-Payload-Digest: sha1:{base32_sha1(http_payload(body)[1])}", f"WARC-Block-Digest: sha1:{base32_sha1(body)}",
+    ]
+    if again:
+        to = again["refers_to"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {again['refers_id']}", f"X-Refers-To-Page: {'-' if to is None else to}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(lines).encode() + body + b"\r\n\r"
 
 
 def convert_arc(spark: SparkSession, path: str, *arc_paths: str) -> None:
     """Writes the records of ARC files as WARC files at path."""
-    write_warc(typed(read_arc(spark, *arc_paths), read_arc(spark, *arc_paths, with_message=False)), path)
+    records = common.written(read_arc(spark, *arc_paths), "arc-records")
+    size = records.agg(F.avg("payload_bytes")).first()[0] or 0
+    # As many rows for a file as it has records, see whole_files.
+    again = revisits(records).groupBy("path").agg(F.collect_list(F.struct("place", "refers_to", "refers_id")).alias("again"))
+    files = whole_files(spark, *arc_paths).join(common.written(again, "revisits"), "path", "left").select("content", "again")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, marks in zip(batch.column("content"), batch.column("again")):
+                again = {x["place"]: x for x in marks.as_py() or ()}
+                out, held = [], 0
+                for place, (url, date, _, body) in enumerate(arc_records(raw.as_py())):
+                    out.append(warc_record(url, date, body, again.get(place)))
+                    held += len(out[-1])
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+    # Bytes become a string as they are.
+    rows = files.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    rows.write.options(compression="gzip", maxRecordsPerFile=max(1, (FILE_MB << 20) // int(size + 700))).text(path)
 
 
 def warc_records(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -231,7 +275,7 @@ def warc_records(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
         while (line := stream.line()) is not None and line.strip():
             head.write(line)
         head = head.getvalue()
-        yield head, stream.take(int(header_value(head, "Content-Length") or 0))
+        yield head, stream.take(int(header_fields(head).get("content-length") or 0))
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -244,8 +288,9 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                 rows = []
                 for head, block in warc_records(raw.as_py()):
                     http, payload = http_payload(block)
-                    to = header_value(head, "X-Refers-To-Page")
-                    row = (key_of(http), header_value(head, "WARC-Target-URI"), header_value(head, "WARC-Date"), header_value(head, "WARC-Record-ID"), len(payload), base32_sha1(payload), (header_value(head, "WARC-Payload-Digest") or "").removeprefix("sha1:"), header_value(head, "WARC-Type"), int(to) if to and to != "-" else None, header_value(head, "WARC-Refers-To"))
+                    get = header_fields(head).get
+                    to = get("x-refers-to-page")
+                    row = (key_of(http), get("warc-target-uri"), get("warc-date"), get("warc-record-id"), len(payload), base32_sha1(payload), get("warc-payload-digest", "").removeprefix("sha1:"), get("warc-type"), int(to) if to and to != "-" else None, get("warc-refers-to"))
                     rows.append(row + ((payload.decode("utf-8", "replace"),) if with_payload else ()))
                     if len(rows) >= 1000:
                         yield as_batch(rows, schema)

@@ -1,5 +1,6 @@
 """Each operator against brute force on small rows, with nulls, empties, repeats and extra columns."""
 
+import gzip
 import random
 import zlib
 
@@ -107,6 +108,36 @@ def test_warc_round_trip(spark):
     assert all(r.payload_digest == r.declared_digest for r in got.values())
 
 
+def test_warc_of_odd_rows(spark):
+    rows = [(None, "u", "same"), (7, "u", "same"), (7, "u", "same"), (8, "u b\n", "long " * 300_000), (9, "u", None), (10, "", "WARC/1.1\nARC\n\n\n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS place", "3 AS k", "4 AS path")
+    p = common.scratch_path(spark, "warc")
+    warc.write_arc(pages, f"{p}/2", 2)
+    warc.convert_arc(spark, f"{p}/w", f"{p}/2")
+    got = warc.read_warc(spark, f"{p}/w", with_payload=True).collect()
+    assert sorted((r.key or 0, r.payload, r.record_type, r.refers_to) for r in got) == sorted([(0, "same", "revisit", 7), (7, "same", "response", None), (7, "same", "response", None), (8, "long " * 300_000, "response", None), (9, "", "response", None), (10, rows[5][2], "response", None)])
+    assert all(r.payload_digest == r.declared_digest and r.payload_bytes == len(r.payload) for r in got)
+    warc.write_arc(pages.limit(0), f"{p}/none", 1)
+    warc.convert_arc(spark, f"{p}/none-warc", f"{p}/none")
+    assert warc.read_warc(spark, f"{p}/none-warc").count() == 0
+
+
+def test_warc_copies_bytes(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\nX-Page-Id: 3\r\n\r\n\xff\xfe\x00\n\x80" + bytes(range(256)) * 9000
+    block = b"1 0 Archive\n" + warc.ARC_FIELDS[1].encode() + b"\n"
+    raw = b"filedesc://x 0.0.0.0 2001 text/plain %d\n%s\n" % (len(block), block) + b"http://x/ 0.0.0.0 20010203 text/html %d\n%s\n" % (len(body), body) * 2
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc").write_bytes(raw)
+    for piece in (1 << 20, 3, 1000):
+        stream = warc.Stream(gzip.compress(raw[: len(raw) // 2]) + gzip.compress(raw[len(raw) // 2 :]))
+        stream.PIECE = piece
+        assert b"".join(iter(stream.line, None)) == raw
+    warc.convert_arc(spark, f"{tmp_path}/warc", f"{tmp_path}/arc")
+    got = warc.read_warc(spark, f"{tmp_path}/warc").collect()
+    want = warc.base32_sha1(body.split(b"\r\n\r\n", 1)[1])
+    assert [(r.key, r.date, r.payload_digest, r.declared_digest) for r in got] == [(3, "2001-02-03T00:00:00Z", want, want)] * 2
+
+
 def test_leaks(spark):
     item = prose(7, 40).split()
     edited = [w if i % 8 else "changed" for i, w in enumerate(item)]
