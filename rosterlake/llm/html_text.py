@@ -1,17 +1,28 @@
 """Main text of web pages by composite text density.
 
-A page is cut into tags and text, and a tree of its block elements is built; inline elements belong to the block around
-them. Elements that are no article by their meaning (scripts, forms, menus, page headers and footers, asides, adverts,
-notices, reader comments) leave the tree first. Then every node has a density, its characters per tag lowered by its
-share of link text and link tags, and a density sum, that of its children. The node with the largest sum is the core of
-the content; the smallest density on the path from it up to body is the threshold, and nodes that reach it are content
-as well, in each the one with the largest sum. The result is the smallest subtree with all content, on every page. Article
-and main elements only bound it: one around all content is taken whole, and where the core stands in one of several, all of
-them that hold content are taken. Trees are walked without recursion, so any depth of nesting works.
+A page is cut into tags and text by one forward scan, and a tree of its block elements is built; inline elements belong to
+the block around them and count as its tags. Elements that are no article by their meaning (scripts, forms, menus, page
+headers and footers, asides, adverts, notices, reader comments, boxes that are mostly links) leave the tree first. Every node that stays has the
+composite text density
+
+    C/T * log(C/LC * T/LT) / log(ln(C/NC * LC + LB/CB * C + e))
+
+of its characters C, link characters LC, other characters NC, tags T and link tags LT, all but C at least 1 where they
+divide, and of the body's LB and CB. Without any link text the second logarithm is 0 for every node of the page; there the
+density is C/T. A node's density sum is that of its children. The node with the largest sum is the core of the content; the
+smallest density on the path from it up to body is the threshold, and nodes that reach it are content as well, in each the
+one with the largest sum. The result is the smallest subtree with all content. An article or main element is no choice of
+its own: where the densities choose a part of one, it is taken whole, as nothing of an article may be lost, and where the
+core stands in one of several, all of them that hold content are taken.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by line feeds; nothing
-else is dropped or capped. A line break element is white space. Null or empty pages, and pages without text, give an
-empty text. Rows are independent: nulls in other columns pass through, repeated rows give repeated results.
+else is dropped or capped. A line break element is white space. A quote that is never closed is a plain character, an
+unfinished tag at the end of a page is no text, and text behind the end of body belongs to it. Scanning and walking take
+time in proportion to the page, for any depth of nesting and any markup, and use no recursion.
+
+Null or empty pages, and pages without text, give an empty text. Rows are independent: nulls in other columns pass through
+(a null url stays null), repeated rows give repeated results, other columns are not read, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +30,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,136 +39,190 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)""", re.S)
-ATTR = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
+ATTR = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+ZEROS, LONG_REFERENCE = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 
 # Fixed values of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th button input select option optgroup label datalist output meter progress svg math canvas object embed audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "thead", "tbody"}, "tfoot": {"tr", "tbody"}, "body": {"head"}}
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "tbody": {"tr", "thead", "tbody"}, "tfoot": {"tr", "tbody"}}
+SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}}
 
 # What no article holds: by element, by role, and by the words of its class or id.
 DROPPED = frozenset("head script style noscript template nav aside footer menu dialog form fieldset button input select textarea label option datalist svg math canvas object embed iframe audio video map title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|sidebars?|aside|widgets?|related|recommend\w*|share|sharing|social|breadcrumbs?|menus?|nav|navbar|navigation|masthead|footer|header|topbar|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|login|signup|sign-up|search|toolbar|skip-link|paywall|teasers?|outbrain|taboola)(?=$|[\s_-])", re.I)
+NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|sidebars?|aside|widgets?|related|recommend\w*|share|sharing|social|breadcrumbs?|menus?|nav|navbar|navigation|masthead|footer|topbar|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|login|signup|sign-up|search|toolbar|skip-link|paywall|teasers?|outbrain|taboola)(?=$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)  # of a page; an article's own holds its title
 LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S*", re.I)  # says what stands beside or inside an element
 INNER = ("article", "main")
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
 
 
 class Node:
-    __slots__ = ("at", "attrs", "best", "chars", "density", "inner", "items", "kept", "link_chars", "link_tags", "parent", "sums", "tag", "tags")
+    __slots__ = ("at", "attrs", "best", "chars", "density", "depth", "inlines", "inner", "items", "kept", "link_chars", "link_tags", "parent", "sums", "tag", "tags")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.items: list[Node | str] = []
+        self.inlines: list[str] = []  # tags of the inline elements opened in it
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sums = 0.0
         self.kept, self.inner, self.at = True, False, 0
         self.best: Node | None = None
 
 
-def parse(page: str) -> list[Node]:
-    """The tree of block elements, root first, each before those in it, in the order of the page; text stands in it as strings, link text in the counts of its block."""
-    node = Node("#root", "", None)
-    order = [node]
-    opened: Counter = Counter()  # open elements of each tag
-    inline: list[tuple[str, Node, bool]] = []  # open inline elements that hide their text or are links
-    at = hidden = links = 0
-
-    def close(tag: str, stop: frozenset | set = frozenset()) -> None:
-        nonlocal node
-        if not opened[tag]:
-            return
-        up = node
-        while up.parent is not None and up.tag not in stop:
-            if up.tag == tag:
-                while node is not up.parent:
-                    opened[node.tag] -= 1
-                    node = node.parent
-                return
-            up = up.parent
-
-    def text(s: str) -> None:
-        if s and not hidden:
-            s = html.unescape(s) if "&" in s else s
-            node.items.append(s)
-            if links:
-                node.link_chars += len(s) - s.count(" ")
-
-    while m := TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            text(m["cdata"])
-        if not m["tag"]:
-            continue
-        tag = m["tag"].lower()
-        if tag in RAW and not m["end"]:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """Kind (text, open, close), name or text, attributes. Each character is looked at a bounded number of times."""
+    last = {q: page.rfind(q) for q in "\"'>"}
+    begin = at = 0  # where the text and the search begin
+    while (lt := page.find("<", at)) >= 0:
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            cdata = page.startswith("<![CDATA[", lt)
+            mark, skip = ("-->", 4) if page.startswith("<!--", lt) else ("]]>", 9) if cdata else (">", 2)
+            yield "text", page[begin:lt], ""
+            end = page.find(mark, lt + skip)
+            if cdata:
+                yield "text", page[lt + 9 : end if end >= 0 else len(page)], ""
+            begin = at = end + len(mark) if end >= 0 else len(page)
             continue
-        if tag in INLINE:
-            if tag in ("br", "td", "th"):
-                node.items.append(" ")
-            if not m["end"]:
-                node.tags += 1
-                node.link_tags += tag == "a"
-            if tag in VOID or tag in ("td", "th"):
-                continue
-            if m["end"]:
-                for k in range(len(inline) - 1, -1, -1):
-                    if inline[k][0] == tag:
-                        hidden -= inline[k][2]
-                        links -= tag == "a"
-                        del inline[k]
-                        break
-            else:
-                away = bool(m["attrs"]) and dropped(tag, m["attrs"])
-                hidden += away
-                links += tag == "a"
-                inline.append((tag, node, away))
-            continue
-        # A block ends the inline elements before it, for their effects.
-        if m["end"]:
-            close(tag)
-            inline = [x for x in inline if not under(x[1], tag)] if inline and not m["attrs"] and tag in ("p", "li", "div", "article", "nav", "ul", "footer") else inline
-            hidden, links = sum(x[2] for x in inline), sum(x[0] == "a" for x in inline)
-            continue
-        close("p", {"td", "th", "button", "object", "body"})
-        for other in CLOSES.get(tag, ()):
-            close(other, SCOPES.get(tag, frozenset()))
-        if tag == "hr":
-            order.append(Node("hr", "", node))
-            node.items.append(order[-1])
+        m = NAME.match(page, lt + 1)
+        if not m:
+            at = lt + 1
             continue
-        child = Node(tag, m["attrs"], node)
-        node.items.append(child)
-        order.append(child)
-        if tag not in VOID and not m["attrs"].endswith("/"):
-            node = child
-            opened[tag] += 1
-    text(page[at:])
-    return order
+        yield "text", page[begin:lt], ""
+        end = m.end()
+        while end <= last[">"] and (stop := STOP.search(page, end)) and stop[0] != ">":
+            at, end = stop.start(), stop.end()
+            before = at - 1
+            while page[before].isspace():
+                before -= 1
+            if page[before] == "=" and at < last[stop[0]]:  # the quote opens a value, and is closed
+                end = page.index(stop[0], end) + 1
+        if end > last[">"] or not stop:
+            return  # an unfinished tag
+        name = m[1].lower()
+        yield "close" if after == "/" else "open", name, page[m.end() : stop.start()]
+        begin = at = stop.end()
+        if name in RAW and after != "/":
+            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", shut.end()) if shut else -1
+            if end < 0:
+                return
+            begin = at = end + 1
+    yield "text", page[begin:], ""
+
+
+def inked(s: str) -> int:
+    """Characters that are no white space."""
+    return sum(map(len, s.split()))
 
 
-def under(node: Node, tag: str) -> bool:
-    return node.tag == tag
+def decoded(s: str) -> str:
+    return html.unescape(LONG_REFERENCE.sub("\ufffd", ZEROS.sub(r"&#\1", s))) if "&" in s else s
 
 
-def dropped(tag: str, attrs: str) -> bool:
+class Tree:
+    """Builds the tree of block elements: each node before those in it, in the order of the page.
+
+    Text stands in the nodes as strings, link text in the counts of its block.
+    """
+
+    def __init__(self, page: str):
+        self.node = Node("#root", "", None)
+        self.order = [self.node]
+        self.opened: dict[str, list[Node]] = defaultdict(list)  # open blocks of each tag, outermost first
+        self.inline: dict[str, list[tuple[Node, bool]]] = defaultdict(list)  # open inline elements of each tag: block, hidden
+        self.hidden = self.links = 0
+        for kind, value, attrs in tokens(page):
+            if kind == "text":
+                self.text(decoded(value))
+            elif value in INLINE:
+                self.inline_tag(kind, value, attrs)
+            elif kind == "close":
+                if value not in ("body", "html"):
+                    self.close(value)
+            elif value not in RAW:
+                self.block(value, attrs)
+
+    def text(self, s: str) -> None:
+        if self.node.tag == "head" and s.strip():
+            self.close("head")
+        if s and not self.hidden:
+            self.node.items.append(s)
+            if self.links:
+                self.node.link_chars += inked(s)
+
+    def inline_tag(self, kind: str, tag: str, attrs: str) -> None:
+        if tag in ("br", "td", "th"):
+            self.node.items.append(" ")
+        if kind == "close":
+            if self.inline[tag]:
+                self.end_inline(tag)
+            return
+        self.node.tags += 1
+        self.node.link_tags += tag == "a"
+        if tag in VOID or tag in ("td", "th"):
+            return
+        away = dropped(tag, attrs)
+        self.hidden += away
+        self.links += tag == "a"
+        self.inline[tag].append((self.node, away))
+        self.node.inlines.append(tag)
+
+    def end_inline(self, tag: str) -> None:
+        self.hidden -= self.inline[tag].pop()[1]
+        self.links -= tag == "a"
+
+    def close(self, tag: str, scopes: frozenset | set = frozenset()) -> None:
+        """Closes the innermost open block of a tag, and all in it, unless one of the scopes is open inside that block."""
+        if not self.opened[tag]:
+            return
+        last = self.opened[tag][-1]
+        if any(self.opened[x] and self.opened[x][-1].depth > last.depth for x in scopes):
+            return
+        while self.node.depth >= last.depth:
+            shut = self.node
+            for x in shut.inlines:  # a block ends the inline elements in it
+                if self.inline[x] and self.inline[x][-1][0] is shut:
+                    self.end_inline(x)
+            self.opened[shut.tag].pop()
+            self.node = shut.parent
+
+    def block(self, tag: str, attrs: str) -> None:
+        if tag not in IN_HEAD:
+            self.close("head")
+        if tag not in IN_HEAD and tag not in ("tr", "tbody", "thead", "tfoot", "caption", "colgroup"):
+            self.close("p", {"table", "body"})
+        for other in CLOSES.get(tag, ()):
+            self.close(other, SCOPES.get(tag, frozenset()))
+        child = Node(tag, attrs, self.node)
+        self.node.items.append(child)
+        self.order.append(child)
+        if tag not in VOID and not attrs.endswith("/"):
+            self.node = child
+            self.opened[tag].append(child)
+
+
+def dropped(tag: str, attrs: str, of_page: bool = False) -> bool:
     """Whether an element is no part of an article, by its name and attributes."""
     if tag in DROPPED:
         return True
     for name, a, b, c in ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), a or b or c
-        if (
+        if name in ("class", "id"):
+            value = LAYOUT.sub("", value)
+            if NOISE.search(value) or of_page and HEADER.search(value):
+                return True
+        elif (
             name == "hidden"
             or name == "aria-hidden" and value.lower() == "true"
             or name == "role" and value.lower() in ROLES
             or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)
-            or name in ("class", "id") and NOISE.search(LAYOUT.sub("", value))
         ):
             return True
     return False
@@ -180,12 +245,14 @@ def measure(order: list[Node]) -> list[Node]:
             n.parent.inner = True
     in_article: set[Node] = set()
     for x in order:
-        if x.tag == "article" or x.parent in in_article:
+        inside = x.parent in in_article
+        if inside or x.tag == "article":
             in_article.add(x)
-        if x.parent is not None and (x.tag in DROPPED or x.tag == "header" and x.parent not in in_article or dropped(x.tag, x.attrs) and x.tag not in ("html", "body", "article", "main") and not x.inner):
+        named = x.tag in DROPPED and not (x.tag == "form" and x.inner) or x.tag == "header" and not inside
+        if x.parent is not None and (named or x.tag not in ("html", "body", "article", "main") and not x.inner and dropped(x.tag, x.attrs, not inside)):
             x.kept = False
     for x in reversed(reached(order)):
-        x.chars += sum(len(s) - s.count(" ") for s in x.items if isinstance(s, str))
+        x.chars += sum(inked(s) for s in x.items if isinstance(s, str))
         if x.parent is None:
             continue
         if x.tag in ("ul", "ol", "dl", "div", "section", "table") and x.link_tags > 2 and x.link_chars > 0.7 * x.chars:
@@ -199,23 +266,27 @@ def measure(order: list[Node]) -> list[Node]:
     return reached(order)
 
 
-def densities(nodes: list[Node], body_links: float) -> None:
-    """Composite text density: characters per tag, times a logarithm that falls with the share of links.
+def density(n: Node, body: Node) -> float:
+    if not n.chars:
+        return 0.0
+    plain, t, lc, lt = n.chars / max(1, n.tags), max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
+    if not body.link_chars:
+        return plain
+    base = math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + body.link_chars / body.chars * n.chars + math.e)
+    return plain * math.log(n.chars / lc * t / lt) / math.log(base)
 
-    Also the sum of each node's children, and the node of the largest sum in it, the first of equal ones.
-    """
-    for node in nodes:
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if c:
-            base = math.log(c / max(1, c - node.link_chars) * node.link_chars + body_links * c + math.e)
-            node.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) + 1) / max(1.0, math.log(base + math.e - 1))
-    for node in nodes[1:]:
-        node.parent.sums += node.density
-    for node in reversed(nodes):
-        if node.best is None or node.sums >= node.best.sums:
-            node.best = node
-        if node is not nodes[0] and (node.parent.best is None or node.best.sums >= node.parent.best.sums):
-            node.parent.best = node.best
+
+def densities(nodes: list[Node]) -> None:
+    """Sets each node's density, the sum of its children's, and the node of the largest sum in it, the first of equal ones."""
+    for n in nodes:
+        n.density = density(n, nodes[0])
+    for n in nodes[1:]:
+        n.parent.sums += n.density
+    for n in reversed(nodes):
+        if n.best is None or n.sums >= n.best.sums:
+            n.best = n
+        if n is not nodes[0] and (n.parent.best is None or n.best.sums >= n.parent.best.sums):
+            n.parent.best = n.best
 
 
 def around(node: Node | None, body: Node) -> Iterator[Node]:
@@ -235,7 +306,7 @@ def content(nodes: list[Node]) -> list[Node]:
     nodes = [n for n in nodes if n in inside]
     for k, n in enumerate(nodes):
         n.at = k
-    densities(nodes, body.chars and body.link_chars / body.chars)
+    densities(nodes)
     core = body.best
     if not core.sums:
         core = max(nodes, key=lambda n: n.density)
@@ -247,8 +318,9 @@ def content(nodes: list[Node]) -> list[Node]:
         last[n.parent.at] = max(last[n.parent.at], last[n.at])
     low, high = min(n.at for n in marks), max(n.at for n in marks)
     top = next(n for n in around(core, body) if n.at <= low and last[n.at] >= high)
-    if bound := next((n for n in around(top, body) if n.tag in INNER), None):
-        return [bound]
+    # An article around the choice stands on the path, so it reaches the threshold too: it is content as a whole.
+    if whole := next((n for n in around(top, body) if n.tag in INNER), None):
+        return [whole]
     holder: list[Node | None] = [None] * len(nodes)  # the outermost article or main around each node
     for n in nodes[1:]:
         holder[n.at] = holder[n.parent.at] or (n if n.tag in INNER else None)
@@ -284,7 +356,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     out: list[str] = []
-    for part in content(measure(parse(page))):
+    for part in content(measure(Tree(page).order)):
         lines(part, out)
     return "\n".join(out)
 

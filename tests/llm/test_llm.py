@@ -1,7 +1,10 @@
 """Each operator against brute force on small rows, with nulls, empties, repeats and extra columns."""
 
 import gzip
+import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -190,6 +193,110 @@ def test_html_articles_and_depth():
         assert html_text.main_text(page).split("\n") == said
 
 
+def test_html_scan():
+    text = html_text.main_text
+    assert text('<p title="a>b">x</p>') == "x" and text('<p title="open>x</p><p>y</p>') == "x\ny" and text("<p a'b>x</p>") == "x"
+    assert text("a < b <c") == "a < b" and text("<p>x<!-- <p>y") == "x" and text("<![CDATA[a<b]]>") == "a<b"
+    assert text("<p>a <label>n <input></label>b</p>") == "a b" and text("<p>x<span hidden>y<p>z</p>") == "x\nz"
+    assert text('<p><a href="?id=nav" data-id="ad">x</a></p></body><p>y</p>') == "x\ny"
+    assert text("&#" + "9" * 9000 + ";&#x0000000041;&#66;") == "\ufffdAB"
+    assert text("<head><title>t</title><p>x</p>") == "x" and text("<p>x<script>y</script") == "x"
+    assert text("<article><header class='entry-header'><h1>T</h1></header><div class=entry-header>S</div><p>x</p></article>") == "T\nS\nx"
+    assert text("<table><tr><td>a<td>b<tr><td><p>c<p>d</table>") == "a b\nc\nd"
+
+
+@pytest.mark.parametrize("piece", ['<a href="', "<a '", "<p x='", "<b", "</script", "<!--", "<![CDATA[", "<a \"\"", "<i>", "<p>", "<span hidden>x", "<li>", "&#1", "<div>", "<table><tr><td>", "<script>"])
+def test_html_takes_linear_time(piece):
+    began = time.time()
+    html_text.main_text("<p>x</p>" + piece * (1_000_000 // len(piece)))
+    html_text.main_text("<p>x</p><div id=" + piece * (1_000_000 // len(piece)) + ">")
+    assert time.time() - began < 40
+
+
+def without_menus(n):
+    """A tree of (text, link text, children) without the subtrees that are mostly links, deepest first."""
+
+    def counts(m):
+        return np.array([len((m[0] + m[1]).replace(" ", "")), len(m[1].replace(" ", "")), bool(m[1])]) + sum(map(counts, m[2]), np.zeros(3))
+
+    children = [c for c in map(without_menus, n[2]) if not (counts(c)[2] > 2 and counts(c)[1] > 0.7 * counts(c)[0])]
+    return n[0], n[1], children
+
+
+def brute_density_text(tree):
+    """The operator's definition on a tree of (text, link text, children), written without regard to time."""
+    nodes, tree = [], without_menus(tree)
+
+    def walk(n, up):
+        at = len(nodes)
+        nodes.append([n, up])
+        for c in n[2]:
+            walk(c, at)
+
+    walk(tree, None)
+    below = lambda k: [j for j in range(len(nodes)) if k in path(j)]
+
+    def path(j):
+        out = []
+        while j is not None:
+            out.append(j)
+            j = nodes[j][1]
+        return out
+
+    size = lambda s: len(s.replace(" ", ""))
+    count = lambda k: (sum(size(nodes[j][0][0]) + size(nodes[j][0][1]) for j in below(k)), sum(size(nodes[j][0][1]) for j in below(k)), len(below(k)) - 1 + sum(bool(nodes[j][0][1]) for j in below(k)), sum(bool(nodes[j][0][1]) for j in below(k)))
+    cb, lb = count(0)[:2]
+
+    def density(k):
+        c, lc, t, lt = count(k)
+        if not c or not lb:
+            return c / max(1, t)
+        base = math.log(c / max(1, c - lc) * lc + lb / cb * c + math.e)
+        return c / max(1, t) * math.log(c * max(1, t) / max(1, lc) / max(1, lt)) / math.log(base)
+
+    d = [density(k) for k in range(len(nodes))]
+    sums = [sum(d[j] for j in range(len(nodes)) if nodes[j][1] == k) for k in range(len(nodes))]
+    best = lambda k: max(below(k), key=lambda j: (sums[j], -j))
+    core = best(0) if sums[best(0)] else max(range(len(nodes)), key=lambda j: (d[j], -j))
+    least = min(d[j] for j in path(core))
+    marks = {core} | {best(k) if sums[best(k)] else k for k in range(1, len(nodes)) if d[k] >= least}
+    top = next(j for j in path(core) if marks <= set(below(j)))
+    return "\n".join(s for j in below(top) if (s := " ".join((nodes[j][0][0] + " " + nodes[j][0][1]).split())))
+
+
+def test_html_densities(spark):
+    r = random.Random(11)
+
+    def tree(depth):
+        text = " ".join(r.choice(WORDS) for _ in range(r.choice([0, 0, 3, 40, 120])))
+        link = " ".join(r.choice(WORDS) for _ in range(r.choice([0, 0, 0, 2, 20])))
+        return text, link, [tree(depth - 1) for _ in range(r.randrange(4))] if depth else []
+
+    def page(n, tag="div"):
+        return f"<{tag}>{n[0]} {'<a href=x>' + n[1] + '</a>' if n[1] else ''}{''.join(page(c) for c in n[2])}</{tag}>"
+
+    trees = [("", "", [tree(3) for _ in range(3)]) for _ in range(150)]
+    rows = [(i, None, page(t, "body"), "clash") for i, t in enumerate(trees)] + [(None, None, None, "clash"), (7, "u", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract_text(pages).collect()
+    assert len(got) == 152 and html_text.extract_text(pages.limit(0)).count() == 0
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in got if r.page_id is None or r.url] == [(None, None, "", 0), (7, "u", "", 0)]
+    want = {i: brute_density_text(t) for i, t in enumerate(trees)}
+    assert {r.page_id: r.text for r in got if r.page_id is not None and not r.url} == want
+    whole = [len("".join(re.sub("<[^>]*>", " ", page(t, "body")).split())) for t in trees]
+    assert sum(len("".join(w.split())) < whole[i] for i, w in want.items()) > 20  # the densities leave something out
+
+
+def test_html_densities_decide(monkeypatch):
+    links = "".join(f"<p><a href=x>{prose(i, 4)}</a> and {prose(50 + i, 2)}</p>" for i in range(12))
+    said = [prose(i, 80) for i in range(4)]
+    body = f"<body><div>{links}</div><div><div>{''.join(f'<p>{x}</p>' for x in said)}</div></div><div>{links}</div></body>"
+    articles = f"<body><article>{links}</article><article>{''.join(f'<p>{x}</p>' for x in said)}</article></body>"
+    assert html_text.main_text(body).split("\n") == html_text.main_text(articles).split("\n") == said
+    monkeypatch.setattr(html_text, "density", lambda n, body: 0.0)
+    assert html_text.main_text(body).split("\n") != said and html_text.main_text(articles).split("\n") != said
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     x = np.round(r.normal(size=(300, 6)), 2)
