@@ -4,15 +4,17 @@ Words are runs of ASCII letters, digits and all characters beyond ASCII, after A
 text, or a window of consecutive words over any lines, as its set of words; it holds a template when it has at least
 THRESHOLD of the template's distinct words. A template's windows have its number of words divided by THRESHOLD, and slide
 by one word, so notices are found however their lines are wrapped. Only texts that hold a template as a whole have windows
-or lines looked at. Words of templates are ordered by how often all documents have them, rarest first. A block that reaches the threshold must hold
-one of a template's first |T| - ceil(THRESHOLD |T|) + 1 words in that order (prefix filter), have ceil(THRESHOLD |T|)
-words (length filter), and lack no more words before its first common one than the threshold allows (positional filter);
-what is left is verified, so none is missed.
+or lines looked at. Words of templates are ordered by how often all documents have them, rarest first, and a block's words
+that any template has are taken in that order. A block that reaches the threshold of a template T must hold one of the first
+|T| - ceil(THRESHOLD |T|) + 1 words of T (prefix filter), have ceil(THRESHOLD |T|) such words (length filter), and, from the
+first word that both prefix and block hold, have that many left in the template and in the block (positional filter); what
+is left is verified, so none is missed.
 
 Beside blocks, the places of fixed phrases are counted: their words one after the other, whatever stands between.
 
 Null and empty texts have no words. Rows are independent: null ids and repeated rows keep their own results, ties between
-templates give all their labels. Empty tables give no rows.
+templates give all their labels. Texts are read whole, other columns not at all, whatever their names. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -74,36 +76,37 @@ def word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 
 
 class Index:
-    """Templates by the words of their prefixes."""
+    """Templates by the words of their prefixes; words are numbered in the global order."""
 
     def __init__(self, templates, counts: dict[bytes, int], threshold: float):
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        self.labels, self.sets, self.least, self.width = [], [], [], []
-        for label, text in templates:
-            tokens = sorted(set(words_of(text)), key=lambda w: (counts.get(w, 0), w))
-            least = ceil(threshold * len(tokens) - 1e-9)
-            for at, w in enumerate(tokens[: len(tokens) - least + 1]):
-                self.prefix.setdefault(w, []).append((len(self.labels), at))
-            self.labels.append(label)
-            self.sets.append(frozenset(tokens))
-            self.least.append(least)
-            self.width.append(ceil(len(words_of(text)) / threshold))
-        self.words = frozenset(self.prefix)
+        words = [words_of(text) for _, text in templates]
+        order = sorted({w for ws in words for w in ws}, key=lambda w: (counts.get(w, 0), w))
+        self.rank = {w: k for k, w in enumerate(order)}
+        self.labels = [label for label, _ in templates]
+        self.sets = [frozenset(ws) for ws in words]
+        self.least = [ceil(threshold * len(t) - 1e-9) for t in self.sets]
+        self.width = [ceil(len(ws) / threshold) for ws in words]
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        for k, t in enumerate(self.sets):
+            for at, w in enumerate(sorted(self.rank[w] for w in t)[: len(t) - self.least[k] + 1]):
+                self.prefix.setdefault(w, []).append((k, at))
 
     def search(self, block: set[bytes]) -> Iterator[tuple[int, float]]:
         """Numbers and containments of the templates that a block holds."""
-        seen = set()
-        for w in block & self.words:
-            for k, at in self.prefix[w]:
+        known = sorted(self.rank[w] for w in block & self.rank.keys())
+        met = set()  # a template is judged where its prefix first meets the block
+        for j, w in enumerate(known):
+            for k, at in self.prefix.get(w, ()):
                 size, least = len(self.sets[k]), self.least[k]
-                if k in seen or len(block) < least or size - at < least:
+                if k in met:
+                    continue
+                met.add(k)
+                if len(known) < least or min(size - at, len(known) - j) < least:
                     continue
                 common_words = len(self.sets[k] & block)
                 if common_words >= least:
-                    seen.add(k)
                     yield k, common_words / size
 
-
     def windows(self, k: int, words: list[bytes]) -> tuple[float, list[tuple[int, int]]]:
         """The greatest containment of a template in a window, and the places of windows that hold it, none over another."""
         wanted, width, least = self.sets[k], self.width[k], self.least[k]

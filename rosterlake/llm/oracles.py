@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 CHAT = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -64,5 +66,35 @@ FROM documents AS d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM
 """
 
 
+LICENSES = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+         coalesce(text, '') AS text FROM documents),
+p AS (SELECT unnest([['gnu', 'general', 'public', 'license'], ['apache', 'license'], ['cc', 'by'], ['mit', 'license']]) AS p, unnest(['gpl', 'apache', 'cc-by', 'mit']) AS label),
+hits AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p)) AS k FROM w, p WHERE list_contains(w, p[1])),
+base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY doc_id),
+t AS (SELECT * FROM (VALUES {templates}) AS v(label, words, least, width)),
+held AS (SELECT doc_id, text, w, t.* FROM w, t WHERE len(list_intersect(list_distinct(w), words)) >= least),
+lines AS (
+  SELECT doc_id, label, words, least, list_distinct(regexp_extract_all(translate(unnest(string_split(text, chr(10))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM held),
+windows AS (SELECT doc_id, label, words, least, unnest(list_transform(range(0, len(w)), lambda i: len(list_intersect(list_distinct(w[i + 1 : i + width]), words)))) AS n FROM held),
+blocks AS (SELECT doc_id, label, words, least, len(list_intersect(b, words)) AS n FROM lines UNION ALL SELECT doc_id, label, words, least, n FROM windows),
+found AS (SELECT doc_id, label, max(n / len(words)) AS share FROM blocks WHERE n >= least GROUP BY ALL),
+names AS (SELECT DISTINCT doc_id, label FROM (SELECT doc_id, label FROM hits UNION ALL SELECT doc_id, label FROM found)),
+labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM names GROUP BY doc_id),
+shares AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN shares USING (doc_id)
+"""
+
+
+def license_sql() -> str:
+    """LICENSES with the templates' distinct words, the least number of them, and the width of a window."""
+    index = licenses.Index(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    row = lambda k: f"('{index.labels[k]}', [{', '.join(repr(w.decode()) for w in sorted(index.sets[k]))}], {index.least[k]}, {index.width[k]})"
+    return LICENSES.replace("{templates}", ", ".join(map(row, range(len(index.sets)))))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT, "op3_warc": WARC, "op6_top_k": TOP_K, "op9_ngram_jaccard": JACCARD}
+    return {"op2_chat_formatting": CHAT, "op3_warc": WARC, "op6_top_k": TOP_K, "op8_license_scan": license_sql(), "op9_ngram_jaccard": JACCARD}

@@ -63,7 +63,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(common.table(spark, sf_dir, "documents"))
+    return licenses.scan(common.table(spark, sf_dir, "documents")).drop("n_blocks")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.llm import chat, common, decontaminate, html_text, licenses, mixing, ngram_join, queries, token_ids, topk, toxicity, warc
+from rosterlake.llm import chat, common, decontaminate, html_text, licenses, mixing, ngram_join, oracles, queries, token_ids, topk, toxicity, warc
 
 DOC = "doc_id long, text string, source string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -333,6 +333,50 @@ def test_licenses(spark):
     assert got[None].n_words == 1
 
 
+def test_license_join_against_brute_force(spark):
+    r = random.Random(5)
+    some = [f"k{i}" for i in range(14)]
+    templates = tuple((f"t{i % 5}", " ".join(r.choice(some) for _ in range(r.choice([1, 3, 8, 12, 20])))) for i in range(9))
+    rows = []
+    for i in range(300):
+        words = [r.choice(some) if r.random() < 0.9 else "other" for _ in range(r.randrange(40))]
+        if i % 3:
+            said = r.choice(templates)[1].split()
+            words[3:3] = [w if r.random() < 0.93 else "changed" for w in said]
+        rows.append((i, "".join(w + r.choice(" \n    ") for w in words), "s"))
+    rows += [(5, rows[5][1], "s"), (400, None, "s"), (401, ("x " * 100 + "\n") * 3000 + templates[4][1], "s")]
+    for threshold in (0.7, 0.9):
+        got = sorted(licenses.scan(docs(spark, rows).withColumn("labels", F.lit(3)), templates, {}, threshold).collect(), key=lambda x: x.doc_id)
+        assert len(got) == len(rows)
+        held = 0
+        for x, (key, text, _) in zip(got, sorted(rows, key=lambda y: y[0])):
+            words, labels, score = (text or "").split(), set(), 0.0
+            for label, t in templates:
+                wanted, width = set(t.split()), math.ceil(len(t.split()) / threshold)
+                blocks = [set(line.split()) for line in (text or "").split("\n")] + [set(words[k : k + width]) for k in range(len(words) if key != 401 else 0)]
+                share = max(len(wanted & b) / len(wanted) for b in blocks)
+                if share >= threshold - 1e-9:
+                    labels.add(label)
+                    score = max(score, share)
+            assert (x.doc_id, x.labels, x.score, x.n_words, x.n_blocks > 0) == (key, ",".join(sorted(labels)), score, len(words), bool(labels))
+            held += bool(labels)
+        assert 50 < held < 300
+    assert licenses.scan(docs(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations", "embeddings", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect()) and want
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
