@@ -16,19 +16,23 @@ those of the low zone are counted over all documents, packed, and there are at m
 them. How shingles are classed never changes the result, only the number of candidates.
 
 The join runs twice. The first run looks at the low zone of all documents and only keeps the classes with l signatures or
-more that another class has too; the second run has the whole sets of these classes, counts their shingles and orders them
-all rare before frequent. There, r of a set's shingles are rare, and two sets differ by at least r + r' - 2 s shingles if
-they share s rare signatures and both prefixes hold all rare ones; linked sets differ by at most
-(den - num) / (den + num) of their summed sizes.
+more that another class has too. A task first looks for signatures that several of its own classes have, and sends two rows
+for one of those, so a signature that a third of all documents hold costs two rows a chunk. The second run has the whole
+sets of these classes, counts their shingles and orders them all rare before frequent. There, r of a set's shingles are
+rare, and two sets differ by at least r + r' - 2 s shingles if they share s rare signatures and both prefixes hold all rare
+ones; linked sets differ by at most (den - num) / (den + num) of their summed sizes.
 - Pairs with a rare signature in common: their buckets (the classes of one signature) are small by definition.
 - Pairs with only frequent signatures in common, groups of near copies: each bucket elects as its hub the class that has
-  most company in all buckets. Each class is compared with its hubs. Then only pairs that are not connected yet are
-  compared, of one hub, for which r + r' and the difference of their distances to the hub in frequent shingles (the
-  triangle inequality) come to no more than the limit. So a group of near copies costs a few comparisons for each member, not all pairs, and no
-  connection between different texts is lost.
+  most company in all buckets. Each class is compared with its hubs, and what is linked so far makes parts. A hub whose
+  members are all of one part is done, which is the rule for near copies. In another, the members outside its largest part
+  meet those of other parts, and are compared where r + r' and the difference of their distances to the hub in frequent
+  shingles (the triangle inequality) come to no more than the limit. So a group of near copies costs a few comparisons for
+  each member, not all pairs, and no connection between different texts is lost.
+Sizes of buckets, hubs and ends of buckets come from aggregates with partial results, written and joined back, so Spark can
+split whatever key is hot.
 
 Nulls: a null text has no words; rows with a null id take part, but name no component. Rows of equal ids are documents of
-their own. An empty table gives no rows.
+their own. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -154,17 +158,17 @@ def as_u64(raw: bytes) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, n (set size), cls (hash of the set; null if empty), tokens (the stored start of the set's order)."""
+    """doc_id, h (passed through), n (set size), cls (hash of the set; null if empty), tokens (the stored start of the set's order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "text"):
             sets = [shingles(t, plan.size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([plan.stored(s).astype("<u8").tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "cls", "tokens"],
+                [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([plan.stored(s).astype("<u8").tobytes() for s in sets], pa.binary())],
+                ["doc_id", "h", "n", "cls", "tokens"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, cls long, tokens binary")
 
 
 def frequent_tokens(sketches: DataFrame, plan: Plan) -> np.ndarray:
@@ -216,43 +220,100 @@ def frequent_tokens(sketches: DataFrame, plan: Plan) -> np.ndarray:
     return np.sort(got.astype(np.int64).view(U))
 
 
-def signed(sketches: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
-    """sig, cls, n, r, kind (0 rare, 1 frequent), closed of each class; copies within a task are signed once."""
+def signed(sets: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
+    """sig, cls, n, r, kind (0 rare, 1 frequent), closed of each class; sets has a row for each."""
     schema = "sig long, cls long, n long, r long, kind int, closed boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for k in range(0, len(batch), 500):
                 out = []
                 for cls, n, raw in zip(*(batch.slice(k, 500).column(c).to_pylist() for c in ("cls", "n", "tokens"))):
-                    if cls in seen:
-                        continue
-                    if len(seen) < 500_000:
-                        seen.add(cls)
                     sigs, kinds, rare, closed = plan.signatures(as_u64(raw), n, frequent)
                     m = len(sigs)
                     out.append((sigs.view(np.int64), np.full(m, cls), np.full(m, n), np.full(m, rare), kinds.astype(np.int32), np.full(m, closed)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], [x.split(" ")[0] for x in schema.split(", ")])
 
-    return sketches.where("cls IS NOT NULL").select("cls", "n", "tokens").mapInArrow(run, schema)
+    return sets.select("cls", "n", "tokens").mapInArrow(run, schema)
 
 
 def shared_rows(signatures: DataFrame) -> DataFrame:
-    """signatures that two classes or more have, a row for each class, with the number of classes (repeats included)."""
-    order = Window.partitionBy("sig").orderBy("cls")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = signatures.select("*", F.first("cls").over(whole).alias("low"), F.last("cls").over(whole).alias("high"), F.count(F.lit(1)).over(whole).alias("size"), F.lag("cls").over(order).alias("before"))
-    return rows.where("low < high AND (before IS NULL OR before < cls)").drop("low", "high", "before")
+    """signatures that two classes or more have, with the number of them; a class has a signature once."""
+    signatures = common.written(signatures, "signed")
+    sizes = signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("sig", "s")
+    return signatures.join(common.written(sizes, "bucket-sizes"), F.col("sig") == F.col("s")).drop("s")
+
+
+def pooled(sketches: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
+    """The signatures of all classes, pooled in chunks: sig, cls, chunk, add, n.
+
+    A class' row with `add` -1 counts if another class has its signature too; a class that shares it within the chunk has
+    no such row, but is counted in the row with its n and the number of those signatures. Rows with `add` 0 and no n,
+    two for each signature shared in the chunk, only tell other chunks of it. So for each class and chunk the rows count
+    each signature once.
+    """
+    schema = "sig long, cls long, chunk long, add int, n long"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.taskcontext import TaskContext
+
+        classes: list[int] = []
+        sizes: list[int] = []
+        sigs: list[np.ndarray] = []
+        seen: set[int] = set()
+        held, chunk = 0, TaskContext.get().partitionId() << 32
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cls = np.array(classes, np.int64)
+            who = np.repeat(np.arange(len(cls)), [len(x) for x in sigs])
+            flat = np.concatenate(sigs).view(np.int64)
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            last = np.append(first[1:], len(flat)) - 1
+            alone = who[first] == who[last]
+            of_several = np.repeat(~alone, last - first + 1)
+            both = np.stack([first[~alone], last[~alone]], axis=1).reshape(-1)
+            number = np.bincount(who[of_several], minlength=len(cls))
+            own = mixed(cls.view(U) ^ U(chunk * 0x9E3779B97F4A7C15 & 2**64 - 1)).view(np.int64)  # a place of its own in the shuffle
+            parts = ((flat[first[alone]], cls[who[first[alone]]], -1), (flat[both], cls[who[both]], 0), (own, cls, number))
+            for k, (sig, c, add) in enumerate(parts):
+                n = pa.array(np.array(sizes, np.int64)) if k == 2 else pa.nulls(len(sig), pa.int64())
+                out = pa.RecordBatch.from_arrays([pa.array(sig), pa.array(c), pa.array(np.full(len(sig), chunk)), pa.array(np.broadcast_to(add, len(sig)).astype(np.int32)), n], names)
+                yield from (out.slice(i, 100_000) for i in range(0, len(out), 100_000))
+
+        for batch in batches:
+            for cls, n, raw in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "tokens"))):
+                if cls in seen:
+                    continue
+                seen.add(cls)
+                classes.append(cls)
+                sizes.append(n)
+                sigs.append(plan.signatures(as_u64(raw), n, frequent)[0])
+                held += len(sigs[-1])
+                if held > 1_000_000:
+                    yield from flush()
+                    held, chunk = 0, chunk + 1
+                    for x in (classes, sizes, sigs, seen):
+                        x.clear()
+        if classes:
+            yield from flush()
+
+    return sketches.where("cls IS NOT NULL").select("cls", "n", "tokens").mapInArrow(run, schema)
 
 
 def involved(sketches: DataFrame, plan: Plan) -> DataFrame:
     """cls: the classes with as many signatures in common with others as a link needs."""
-    rows = shared_rows(signed(sketches, plan, frequent_tokens(sketches, plan)).select("sig", "cls", "n"))
-    counts = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"))
+    bucket = Window.partitionBy("sig")  # a row or two for each chunk
+    rows = pooled(sketches, plan, frequent_tokens(sketches, plan))
+    rows = rows.withColumn("more", F.min("cls").over(bucket) < F.max("cls").over(bucket))
+    rows = rows.select("cls", "chunk", "n", F.when(F.col("add") < 0, F.col("more").cast("int")).otherwise(F.col("add")).alias("shared")).where("shared > 0 OR n IS NOT NULL")
+    counts = rows.groupBy("cls", "chunk").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
     # A partner may be smaller by the threshold, and then links need fewer.
-    return common.written(counts.where(F.col("shared") >= plan.least(F.floor(F.col("n") * plan.num / plan.den))).select("cls"), "involved")
+    enough = F.col("shared") >= plan.least(F.floor(F.col("n") * plan.num / plan.den))
+    return common.written(counts.where(enough).select("cls").distinct(), "involved")
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
@@ -371,32 +432,36 @@ def pairs_by_rare(rows: DataFrame, plan: Plan) -> DataFrame:
 
 def hub_members(rows: DataFrame) -> DataFrame:
     """hub, hub_r, cls, n, r: the hubs of each class with frequent signatures in common with others."""
-    rows = rows.where("kind = 1")
+    rows = rows.where("kind = 1").select("sig", "cls", "n", "r", "size")
     weight = rows.groupBy("cls").agg(F.sum("size").alias("weight")).withColumnRenamed("cls", "c")
-    order = Window.partitionBy("sig").orderBy(F.desc("weight"), "cls")
-    return rows.join(weight, rows["cls"] == weight["c"]).select("cls", "n", "r", F.first("cls").over(order).alias("hub"), F.first("r").over(order).alias("hub_r")).groupBy("hub", "hub_r", "cls").agg(F.min("n").alias("n"), F.min("r").alias("r"))
+    heavy = rows.join(weight, F.col("cls") == F.col("c")).groupBy("sig").agg(F.max(F.struct("weight", "cls", "r")).alias("hub"))
+    heavy = common.written(heavy.select(F.col("sig").alias("s"), F.col("hub.cls").alias("hub"), F.col("hub.r").alias("hub_r")), "hubs")
+    return rows.join(heavy, F.col("sig") == F.col("s")).groupBy("hub", "hub_r", "cls").agg(F.min("n").alias("n"), F.min("r").alias("r"))
 
 
 def pairs_by_hub(members: DataFrame, stars: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
     """a, b of one hub that are not connected yet and may be linked without a rare signature in common.
 
-    A member's distance to the hub in frequent shingles is low + 2 s, where s, at most `some`, rare ones are common.
+    A member's distance to the hub in frequent shingles is low + 2 s, where s, at most `some`, rare ones are common. Members
+    of a hub's largest part are connected with each other, so one of each pair is outside it.
     """
     near = members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "apart"), ["hub", "cls"])
     near = near.where(F.col("r") <= limit(plan, F.col("n"), F.col("n") * plan.den / plan.num))
     near = near.join(roots, near["cls"] == roots["node"], "left").select("hub", "cls", "n", "r", (F.col("apart") - F.col("r") - F.col("hub_r")).alias("low"), F.least("r", "hub_r").alias("some"), F.coalesce("root", "cls").alias("part"))
     near = common.written(near, "near-hubs")
-    x = near.select("hub", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("low").alias("u"), F.col("some").alias("s"), F.col("part").alias("p"))
-    y = near.select("hub", F.col("cls").alias("b"), "n", "r", F.col("low").alias("v"), F.col("some").alias("t"), F.col("part").alias("o"))
+    parts = near.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    parts = common.written(parts.where("parts > 1").select(F.col("hub").alias("h"), F.col("main.part").alias("main")), "hub-parts")
+    near = common.written(near.join(parts, F.col("hub") == F.col("h")).drop("h"), "open-hubs")
+    x = near.where("part <> main").select("hub", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("low").alias("u"), F.col("some").alias("s"), F.col("part").alias("p"))
+    y = near.select(F.col("hub").alias("h"), F.col("cls").alias("b"), "n", "r", F.col("low").alias("v"), F.col("some").alias("t"), F.col("part").alias("o"), (F.col("part") == F.col("main")).alias("in_main"))
     most = limit(plan, F.col("m"), F.col("n"))
-    fits = (F.col("a") < F.col("b")) & (F.col("p") != F.col("o")) & (F.col("q") + F.col("r") + F.greatest(F.lit(0), F.col("u") - F.col("v") - 2 * F.col("t"), F.col("v") - F.col("u") - 2 * F.col("s")) <= most) & near_in_size(plan, F.col("m"), F.col("n"))
-    return x.join(y, (x["hub"] == y["hub"]) & fits).select("a", "b").distinct()
+    fits = (F.col("in_main") | (F.col("a") < F.col("b"))) & (F.col("p") != F.col("o")) & (F.col("q") + F.col("r") + F.greatest(F.lit(0), F.col("u") - F.col("v") - 2 * F.col("t"), F.col("v") - F.col("u") - 2 * F.col("s")) <= most) & near_in_size(plan, F.col("m"), F.col("n"))
+    return x.join(y, (F.col("hub") == F.col("h")) & fits).select("a", "b").distinct()
 
 
-def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
+def classes_of(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """docs (doc_id, h, text) -> doc_id, h, n, cls (null if empty), and component, keeper_h of its class: the row that is first by id, then by h, of all reachable ones."""
     plan = Plan(size, num, den)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = common.written(sketched(docs, plan), "sketches", "none")
     sets = whole_sets(docs, sketches, involved(sketches, plan), plan)
     whole = Plan(size, num, den, whole=True)
@@ -409,19 +474,35 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     links = links.unionByName(compared(more, sets, plan).where("linked").select("a", "b"))
     roots = components(links)
 
-    smallest = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("m"))
+    # Rows with ids come before those without, whose component has no name if it has no others.
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
+    smallest = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min(row).alias("m"))
     named = smallest.join(roots, smallest["cls"] == roots["node"], "left").select("cls", "m", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("m").alias("component"))
-    named = named.join(least, "root").select(F.col("cls").alias("c"), "component")
-    out = sketches.select("doc_id", "n", "cls").join(named, F.col("cls") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    least = named.groupBy("root").agg(F.min("m").alias("first"))
+    named = common.written(named.join(least, "root").select(F.col("cls").alias("c"), F.col("first.doc_id").alias("component"), F.col("first.h").alias("keeper_h")), "named")
+    light = sketches.select("doc_id", "h", "n", "cls")
+    out = light.where("cls IS NOT NULL").join(named, F.col("cls") == F.col("c")).drop("c")
+    return out.unionByName(light.where("cls IS NULL"), allowMissingColumns=True)
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: that with the smallest id. Rows with a null id stay; rows of one id stay or go together."""
-    classes = jaccard_classes(docs, **options)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return kept
+def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), F.col(text).cast("string").alias("text"))
+    out = classes_of(rows, size, num, den)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each class: that of the smallest id (nulls last), then of the smallest hash of id and text.
+
+    Rows are told apart by id and text, so a row with a null or repeated id goes or stays for its own text; of wholly equal
+    ids and texts one row stays. Texts without words have no class: all of them stay.
+    """
+    key, h = F.coalesce(docs[doc_id].cast("long"), F.lit(0)), F.xxhash64(docs[doc_id].cast("long"), docs[text].cast("string"))
+    found = classes_of(docs.select(docs[doc_id].cast("long").alias("doc_id"), h.alias("h"), docs[text].cast("string").alias("text")), size, num, den)
+    keeps = F.col("doc_id").eqNullSafe(F.col("component")) & (F.col("h") == F.col("keeper_h"))
+    rows = found.where("cls IS NOT NULL").groupBy(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("h").alias("_h")).agg(F.max(keeps).alias("_keeps"), F.count(F.lit(1)).alias("_n"))
+    marked = common.written(rows.where("NOT _keeps OR _n > 1"), "marked-rows")
+    same = (key == F.col("_key")) & (h == F.col("_h"))
+    once = docs.join(marked.where("_keeps"), same, "left_semi").dropDuplicates([doc_id, text])
+    return docs.join(marked, same, "left_anti").unionByName(once)

@@ -426,6 +426,35 @@ def test_jaccard_classes(spark, size, num):
     assert got == brute_components(rows, size, num, 100)
 
 
+def test_jaccard_of_odd_rows(spark):
+    long = prose(8, 30_000)
+    rows = [(1, prose(1, 50), "s"), (None, prose(1, 50), "s"), (1, prose(2, 50), "s"), (1, prose(1, 50), "s"), (None, "x y z", "s"), (None, "x y z", "s"), (3, None, "s"), (3, None, "s"), (5, long, "s"), (4, long + " end", "s")]
+    got = sorted(map(tuple, ngram_join.jaccard_classes(docs(spark, rows), 3, 90, 100).collect()), key=repr)
+    assert got == sorted([(1, 48, 1), (None, 48, 1), (1, 48, 1), (1, 48, 1), (None, 1, None), (None, 1, None), (3, 0, 3), (3, 0, 3), (5, len({tuple(long.split()[i : i + 3]) for i in range(29_998)}), 4), (4, len({tuple((long + " end").split()[i : i + 3]) for i in range(29_999)}), 4)], key=repr)
+    assert ngram_join.jaccard_classes(docs(spark, rows).limit(0)).count() == 0
+    kept = ngram_join.drop_near_duplicates(docs(spark, rows).selectExpr("*", "9 AS h", "8 AS cls"))
+    assert kept.columns == ["doc_id", "text", "source", "n_tokens", "component_id", "h", "cls"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, prose(1, 50)), (1, prose(2, 50)), (None, "x y z"), (3, None), (3, None), (4, long + " end")], key=repr)
+
+
+def test_near_copies_cost_pairs_in_proportion(spark, monkeypatch):
+    base, rows = prose(77, 200).split(), []
+    for i in range(3000):
+        w, r = list(base), random.Random(i)
+        w[r.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w), "s"))
+    compared, sent = ngram_join.compared, []
+
+    def counting(pairs, *more):
+        sent.append(pairs.count())
+        return compared(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "compared", counting)
+    got = ngram_join.jaccard_classes(docs(spark, rows), 3, 90, 100).collect()
+    assert len(got) == 3000 and {r.component_id for r in got} == {0}
+    assert sum(sent) < 30_000, sent
+
+
 def test_mixing(spark):
     r = random.Random(3)
     rows = [(i, prose(i, r.randrange(0, 60)) if i % 50 else None, ["a", "b", "c", None][min(3, i % 7)]) for i in range(1500)]
