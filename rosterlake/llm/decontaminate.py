@@ -7,11 +7,12 @@ local alignment divided by that of the item with itself; from `threshold` on the
 side of a leak is aligned again, so each copy in a document gives a row. Two upper bounds on the score, the item's words in
 any stretch as long as an alignment can be and the words that passage and item share, spare most alignments and lose none.
 
-The test set is taken in blocks of a bounded number of words, which go to the tasks with the code; each block is one
-pass over the documents, so any size of test set works. Documents are not shuffled.
+The test set is taken in blocks of a bounded number of words (a longer item is a block of its own), each broadcast once; a
+block is one pass over the documents, so any size of test set works. Documents are not shuffled, and each row is judged by its own text.
 
-Null or empty texts have no leaks; items of fewer than n words have no seeds and match nothing. Rows with a null doc_id
-take part, repeated rows give repeated results. Empty tables give no rows.
+Null or empty texts have no leaks; items that are null or have fewer than n words have no seeds and match nothing, nor do
+items with a null id. Rows with a null doc_id take part and are dropped like any other; repeated rows give repeated results,
+items of one id are items of their own. Other columns are not read, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,45 +44,67 @@ def words_of(text: str | None) -> list[str]:
 class Items:
     """A block of test items: word numbers, and the items of each gram, as sorted arrays."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], n: int):
-        self.n, self.words = n, {}
-        self.ids = {i: np.array([self.words.setdefault(w, len(self.words)) for w in ws], np.int64) for i, ws in items}
-        self.base = len(self.words) + 1
-        if self.base**n >= 2**63:
-            raise ValueError("the block of test items has too many words for grams of this length")
+    def __init__(self, items: list[tuple[int, list[str]]], n: int, threshold: float):
+        self.n, self.threshold, self.words = n, threshold, {}
+        self.names = [i for i, _ in items]
+        self.ids = [np.array([self.words.setdefault(w, len(self.words)) for w in ws], np.int64) for _, ws in items]
+        self.counts = [Counter(ids.tolist()) for ids in self.ids]
+        self.base = np.uint64(len(self.words) + 1)
         where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, ids in self.ids.items():
-            for at, g in enumerate(self.grams(ids).tolist()):
-                where[g].append((i, at))
-        self.codes = np.array(sorted(where), np.int64)
+        for k, ids in enumerate(self.ids):
+            for at, g in enumerate(self.grams(ids)[1].tolist()):
+                where[g].append((k, at))
+        self.codes = np.array(sorted(where), np.uint64)
         self.places = [where[g] for g in self.codes.tolist()]
-        self.reach = np.array([max(window(len(self.ids[i])) for i, _ in p) for p in self.places], np.int64)
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """The code of the gram at each place, -1 where a word is none of the items'."""
-        k = len(ids) - self.n + 1
-        if k <= 0:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(k, np.int64), np.ones(k, bool)
-        for j in range(self.n):
-            code = code * self.base + ids[j : j + k]
+        self.reach = np.array([max(len(self.ids[k]) + self.slack(k) for k, _ in p) for p in self.places], np.int64)
+
+    def slack(self, k: int) -> int:
+        """Words beyond an item's own length that an alignment of the threshold's score may take."""
+        return ceil((1 - self.threshold) * MATCH * len(self.ids[k]) / GAP)
+
+    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of grams of the items' words alone, and their codes.
+
+        Codes may be equal for unlike grams of a large block, as they wrap around; that adds a seed, and alignment decides.
+        """
+        k = max(0, len(ids) - self.n + 1)
+        code, known = np.zeros(k, np.uint64), np.ones(k, bool)
+        for j in range(self.n if k else 0):
+            code = code * self.base + ids[j : j + k].astype(np.uint64)
             known &= ids[j : j + k] >= 0
-        return np.where(known, code, -1)
+        at = np.flatnonzero(known)
+        return at, code[at]
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The words of a text as numbers, -1 for a word of no item."""
+        get = self.words.get
+        return np.array([get(w, -1) for w in words_of(text)], np.int64)
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a document and numbers of the grams that stand there."""
-        code = self.grams(ids)
-        at = np.flatnonzero(code >= 0)
+        at, code = self.grams(ids)
         if not len(at) or not len(self.codes):
             return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
-        same = self.codes[k] == code[at]
+        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        same = self.codes[k] == code
         return at[same], k[same]
 
+    def passages(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """The parts of a document around any gram."""
+        at, k = self.hits(ids)
+        reach = self.reach[k] if len(at) else at
+        return merged(list(zip(np.maximum(at - reach, 0).tolist(), np.minimum(at + reach, len(ids)).tolist())))
 
-def window(words: int) -> int:
-    """Words on either side of an item's place that an alignment may reach."""
-    return words + words // 2 + 8
+    def leaks(self, ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+        """Item, score, start and end of each leak in a passage."""
+        spans = defaultdict(list)
+        for p, code in zip(*(x.tolist() for x in self.hits(ids))):
+            for k, at in self.places[code]:
+                spans[k].append((max(0, p - at - self.slack(k)), min(len(ids), p - at + len(self.ids[k]) + self.slack(k))))
+        for k, parts in spans.items():
+            for a, b in merged(parts):
+                for score, first, end in leaks_in(self.ids[k], self.counts[k], ids, a, b, self.threshold):
+                    yield self.names[k], score / (MATCH * len(self.ids[k])), first, end
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -108,22 +132,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def passages(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFrame:
+def passages(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
     """doc_id, start, words (numbers, -1 for a word of no item): the parts of documents around any gram."""
     schema = "doc_id long, start long, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = items.words.get
+        items = shared.value
         for batch in common.small_batches(batches, "text"):
             rows = []
             for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([get(w, -1) for w in words_of(t)], np.int64)
-                at, k = items.hits(ids)
-                if not len(at):
-                    continue
-                reach = items.reach[k]
-                for a, b in merged(list(zip(np.maximum(at - reach, 0).tolist(), np.minimum(at + reach, len(ids)).tolist()))):
-                    rows.append((key, a, ids[a:b].astype("<i4").tobytes()))
+                ids = items.numbers(t)
+                rows += [(key, a, ids[a:b].astype("<i4").tobytes()) for a, b in items.passages(ids)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "words"])
 
@@ -163,58 +182,65 @@ def leaks_in(item: np.ndarray, counts: Counter, ids: np.ndarray, a: int, b: int,
                 left += [(c, start), (end, d)]
 
 
-def aligned(found: DataFrame, items: Items, threshold: float) -> DataFrame:
+def aligned(found: DataFrame, shared) -> DataFrame:
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {i: Counter(ids.tolist()) for i, ids in items.ids.items()}
+        items = shared.value
         for batch in batches:
             rows = []
             for key, start, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "words"))):
-                ids = np.frombuffer(raw, "<i4").astype(np.int64)
-                spans = defaultdict(list)
-                for p, k in zip(*(x.tolist() for x in items.hits(ids))):
-                    for i, at in items.places[k]:
-                        slack = window(len(items.ids[i])) - len(items.ids[i])
-                        spans[i].append((max(0, p - at - slack), min(len(ids), p - at + len(items.ids[i]) + slack)))
-                for i, parts in spans.items():
-                    for a, b in merged(parts):
-                        for score, first, end in leaks_in(items.ids[i], counts[i], ids, a, b, threshold):
-                            rows.append((key, i, score / (MATCH * len(items.ids[i])), start + first, start + end))
+                rows += [(key, item, score, start + a, start + b) for item, score, a, b in items.leaks(np.frombuffer(raw, "<i4").astype(np.int64))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
     return found.mapInArrow(run, schema)
 
 
-def item_blocks(benchmark: DataFrame, n: int, block_words: int, item_id: str, text: str) -> Iterator[Items]:
-    """Reads the test set row by row, a block at a time."""
+def item_blocks(benchmark: DataFrame, n: int, threshold: float, block_words: int, item_id: str, text: str) -> Iterator[Broadcast]:
+    """Reads the test set row by row and broadcasts it, a block of at most block_words words or one item at a time."""
+    send = benchmark.sparkSession.sparkContext.broadcast
     held, words = [], 0
     for i, t in benchmark.select(F.col(item_id).cast("long"), F.col(text).cast("string")).where(F.col(item_id).isNotNull()).orderBy(item_id, text).toLocalIterator():
         ws = words_of(t)
         if len(ws) < n:
             continue
-        if held and (words + len(ws) > block_words or any(i == j for j, _ in held[-1:])):
-            yield Items(held, n)
+        if held and words + len(ws) > block_words:
+            yield send(Items(held, n, threshold))
             held, words = [], 0
         held.append((i, ws))
         words += len(ws)
     if held:
-        yield Items(held, n)
+        yield send(Items(held, n, threshold))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each passage of docs that aligns with a test item."""
     out = []
-    for items in item_blocks(benchmark, n, block_words, item_id, item_text):
-        found = common.written(passages(docs, items, doc_id, text), "passages")
-        out.append(aligned(found, items, threshold))
+    for shared in item_blocks(benchmark, n, threshold, block_words, item_id, item_text):
+        found = common.written(passages(docs, shared, doc_id, text), "passages")
+        out.append(aligned(found, shared))
     if not out:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     return reduce(DataFrame.unionByName, out)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a leak. Rows with a null doc_id stay."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_leaked"], "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows whose own text holds a leak, whatever their ids."""
+    for shared in item_blocks(benchmark, n, threshold, block_words, item_id, item_text):
+        docs = docs.where(~leaking(shared)(docs[text].cast("string")))
+    return docs
+
+
+def leaking(shared):
+    """A function of a text column: whether the text holds a leak of the block's items."""
+
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        items, out = shared.value, []
+        for t in texts:
+            ids = items.numbers(t.as_py())
+            out.append(any(True for a, b in items.passages(ids) for _ in items.leaks(ids[a:b])))
+        return pa.array(out, pa.bool_())
+
+    return holds

@@ -399,9 +399,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         near = edges.join(roots, edges["y"] == roots["node"]).groupBy("x").agg(F.min("root").alias("m"))
         step = roots.join(near, roots["node"] == near["x"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         # The root of the old root may have moved as well: hand its new root down.
-        moved = step.where("root < old").groupBy("old").agg(F.min("root").alias("to"))
-        step = step.join(moved.withColumnRenamed("old", "o"), F.col("old") == F.col("o"), "left").select("node", F.least("root", "to").alias("root"), "old")
         step = common.written(step, name)
+        moved = step.where("root < old").groupBy(F.col("old").alias("o")).agg(F.min("root").alias("to"))
+        moved = common.written(moved, f"{name}-moved")  # so that Spark can split a root of many nodes
+        step = common.written(step.join(moved, F.col("old") == F.col("o"), "left").select("node", F.least("root", "to").alias("root"), "old"), name)
         ahead = step.select(F.col("node").alias("r"), F.col("root").alias("rr"))
         jumped = step.join(ahead, step["root"] == ahead["r"], "left").select("node", F.least("root", "rr").alias("root"), "old")
         jumped = common.written(jumped, name)

@@ -7,12 +7,14 @@ for each: P(grade >= j) = sigmoid(w.x - theta_j); the expected severity is the s
 when P(grade >= 1) reaches one half.
 
 It is fitted on a bounded sample: at most SAMPLE labelled documents of each class, those with the smallest hash of their
-id. Labels tell toxic from not; the grades 1 to GRADES of toxic documents are equal parts of their order by the number of
-features that speak for toxic. Whole texts are read. Scoring passes over all documents once, without a shuffle.
+id. Features are counted and chosen in Spark, and only the chosen ones of the sample reach the driver. Labels tell toxic
+from not; the grades 1 to GRADES of toxic documents are equal parts of their order by the number of features that speak
+for toxic. Whole texts are read. Scoring passes over all documents once, without a shuffle, and judges each row by its own text.
 
 Nulls: null or empty texts have severity 0 and grade 0; null labels are no labels; null ids are scored. A document with
-labels of both kinds counts as toxic. Repeated rows are scored alike. Without labels of both
-classes, or features that tell them apart, nothing is rejected.
+labels of both kinds counts as toxic. Repeated rows are scored alike, and rows of one id apart from each other. Without labels
+of both classes, or features that tell them apart, nothing is rejected. Other columns are not read, whatever their names.
+Empty tables give no rows and reject nothing.
 """
 
 from __future__ import annotations
@@ -58,35 +60,46 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """toxic, features (distinct, ascending) of the sample's documents; at most 2 * size rows, so it is broadcast."""
+    """toxic, features (distinct, ascending) of the sample's documents; at most 2 * size labels, so they are broadcast."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     pick = lambda side: known.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    picked = common.written(pick("toxic > 0").unionByName(pick("toxic <= 0")), "labels")
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("toxic", "text")
+    picked = common.written(pick("toxic > 0").unionByName(pick("toxic <= 0")).select(F.col("doc_id").alias("_labelled"), F.col("toxic").alias("_toxic")), "labels")
+    texts = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(picked), F.col("_id") == F.col("_labelled")).select((F.col("_toxic") > 0).alias("toxic"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "text"):
             got = [sorted({k for w in words_of(t) for k in features(w)}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([np.array(x, "<u8").tobytes() for x in got], pa.binary())], ["toxic", "features"])
 
-    return texts.mapInArrow(run, "toxic int, features binary")
+    return common.written(texts.mapInArrow(run, "toxic boolean, features binary"), "sample")
 
 
-def fit(toxic: np.ndarray, rows: list[np.ndarray], grades: int = GRADES, rounds: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Model | None:
-    """Full-batch gradient steps (Adam) on the likelihood of the observed grades; both classes weigh alike."""
-    if not len(toxic) or toxic.all() or not toxic.any():
-        return None
+def chosen(rows: DataFrame) -> DataFrame:
+    """feature, odds: the features of the sample that tell the classes apart, with the logarithm of their odds."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches, "features"):
+            flat = [np.frombuffer(x, "<u8") for x in batch.column("features").to_pylist()]
+            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), [len(x) for x in flat])
+            names, at = np.unique(np.concatenate(flat), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(at, toxic, len(names)).astype(np.int64)), pa.array(np.bincount(at, ~toxic, len(names)).astype(np.int64))], ["feature", "bad", "good"])
+
+    totals = rows.agg(F.count_if("toxic").alias("b"), F.count_if(~F.col("toxic")).alias("g")).first()
+    b, g = F.lit(float(totals.b)), F.lit(float(totals.g))
+    counts = rows.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    both = (F.col("bad") + F.col("good") + 1) / (b + g + 2)
+    apart = F.abs(F.col("bad") / b - F.col("good") / g) / F.sqrt(both * (1 - both) * (1 / b + 1 / g))
+    odds = F.log((F.col("bad") + 0.5) / (b + 1)) - F.log((F.col("good") + 0.5) / (g + 1))
+    return counts.where(F.col("bad") + F.col("good") >= LEAST).select("feature", odds.alias("odds"), apart.alias("apart")).where((F.abs("odds") >= float(np.log(TIMES))) & (F.col("apart") >= APART)).select("feature", "odds")
+
+
+def fit(toxic: np.ndarray, rows: list[np.ndarray], names: np.ndarray, odds: np.ndarray, grades: int = GRADES, rounds: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Model:
+    """Full-batch gradient steps (Adam) on the likelihood of the observed grades; both classes weigh alike.
+
+    rows hold places in names, the chosen features.
+    """
     n, at = len(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    bad, good = np.bincount(flat[toxic[at]], minlength=len(names)), np.bincount(flat[~toxic[at]], minlength=len(names))
-    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
-    both = (bad + good + 1) / (n + 2)
-    apart = np.abs(bad / toxic.sum() - good / (~toxic).sum()) / np.sqrt(both * (1 - both) * (1 / toxic.sum() + 1 / (~toxic).sum()))
-    used = (bad + good >= LEAST) & (np.abs(odds) >= np.log(TIMES)) & (apart >= APART)
-    if not used.any():
-        return None
-    number = np.cumsum(used) - 1
-    at, flat, names, odds = at[used[flat]], number[flat[used[flat]]], names[used], odds[used]
+    flat = np.concatenate(rows)
     size, each = len(names), np.arange(n)
     grade = np.zeros(n, np.int64)
     order = np.flatnonzero(toxic)[np.argsort(np.bincount(at, odds[flat] > 0, n)[toxic], kind="stable")]
@@ -116,10 +129,51 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], grades: int = GRADES, rounds:
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model | None:
-    # A bounded number of documents, as hashed features.
-    got = sample(docs, labels, size).collect()
-    got = sorted((r.toxic, bytes(r.features)) for r in got)
-    return fit(np.array([t for t, _ in got], bool), [np.frombuffer(x, "<u8") for _, x in got])
+    rows = sample(docs, labels, size)
+    classes = rows.agg(F.bool_or("toxic").alias("some"), F.bool_and("toxic").alias("all")).first()
+    if not classes.some or classes.all:
+        return None
+    # Features with LEAST documents or more of the bounded sample, far fewer than its words.
+    found = sorted((r.feature & (2**64 - 1), r.odds) for r in chosen(rows).collect())
+    if not found:
+        return None
+    names, odds = np.array([x for x, _ in found], np.uint64), np.array([x for _, x in found])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches, "features"):
+            got = [np.flatnonzero(np.isin(names, np.frombuffer(x, "<u8"), assume_unique=True)).astype("<i4").tobytes() for x in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.binary())], ["toxic", "places"])
+
+    # One row for each document of the bounded sample, chosen features only.
+    got = sorted((r.toxic, bytes(r.places)) for r in rows.mapInArrow(places, "toxic boolean, places binary").collect())
+    return fit(np.array([t for t, _ in got], bool), [np.frombuffer(x, "<i4").astype(np.int64) for _, x in got], names, odds)
+
+
+class Scorer:
+    """P(grade >= j) of texts, a column for each j from 1; 0 for a text without words."""
+
+    def __init__(self, model: Model):
+        self.model, self.memo = model, {}  # the features of a word that have a weight
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        memo, weights = self.memo, self.model.weights
+        scores, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for i, t in enumerate(texts):
+            words = words_of(t)
+            some[i] = bool(words)
+            if len(memo) > 500_000:
+                memo.clear()
+            found: set[int] = set()
+            for x in words:
+                got = memo.get(x)
+                if got is None:
+                    got = memo[x] = [k for k in features(x) if k in weights]
+                if got:
+                    found.update(got)
+            scores[i] = sum(weights[k] for k in sorted(found))
+        p = self.model.grades(scores)
+        p[~some] = 0
+        return p
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,27 +181,9 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
     schema = "doc_id long, expected_severity double, grade int, p_toxic double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[int]] = {}  # the features of a word that have a weight
+        scorer = Scorer(model) if model is not None else lambda texts: np.zeros((len(texts), 1))
         for batch in common.small_batches(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            scores, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
-            for i, t in enumerate(texts):
-                words = words_of(t)
-                some[i] = bool(words)
-                if model is None:
-                    continue
-                if len(memo) > 500_000:
-                    memo.clear()
-                found: set[int] = set()
-                for x in words:
-                    got = memo.get(x)
-                    if got is None:
-                        got = memo[x] = [k for k in features(x) if k in model.weights]
-                    if got:
-                        found.update(got)
-                scores[i] = sum(model.weights[k] for k in sorted(found))
-            p = model.grades(scores) if model is not None else np.zeros((len(texts), 1))
-            p[~some] = 0
+            p = scorer(batch.column("text").to_pylist())
             out = [batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0])]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "expected_severity", "grade", "p_toxic"])
 
@@ -160,6 +196,17 @@ def rejected(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """docs without the rejected documents; rows with a null doc_id stay."""
-    bad = rejected(docs, labels, size).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_rejected"], "left_anti")
+    """docs without the rows whose own text the model rejects, whatever their ids."""
+    model = train(docs, labels, size)
+    return docs if model is None else docs.where(~rejecting(model)(docs["text"].cast("string")))
+
+
+def rejecting(model: Model):
+    """A function of a text column: whether the model rejects the text."""
+    scorer = Scorer(model)
+
+    @F.arrow_udf("boolean")
+    def rejects(texts: pa.Array) -> pa.Array:
+        return pa.array(scorer(texts.to_pylist())[:, 0] >= 0.5)
+
+    return rejects

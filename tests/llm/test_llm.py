@@ -169,6 +169,58 @@ def test_leaks_side_by_side(spark):
     assert sorted(r.start_word for r in got) == [0, 340, 380]
 
 
+def brute_smith_waterman(item, words):
+    best, prev = 0, [0] * (len(words) + 1)
+    for a in item:
+        row = [0]
+        for j, b in enumerate(words):
+            row.append(max(0, prev[j] + (2 if a == b else -1), prev[j + 1] - 1, row[j] - 1))
+        best, prev = max(best, *row), row
+    return best
+
+
+def test_leaks_against_smith_waterman(spark):
+    r = random.Random(9)
+    items = [(i % 10 if i < 12 else None, prose(500 + i, r.choice([4, 9, 25, 40]))) for i in range(14)]
+    rows = []
+    for i in range(120):
+        text = prose(900 + i, 60).split()
+        words = r.choice(items)[1].split()
+        rate = r.random() / 2
+        copy = [x for w in words if (d := r.random()) > rate / 3 for x in ([w] if d > rate else [f"edit{r.randrange(99)}"] if d > rate / 2 else [w, "more"])]
+        if r.random() < 0.3:
+            copy[len(copy) // 2 : len(copy) // 2] = prose(i, r.randrange(len(words) + 3)).split()
+        rows.append((i if i % 9 else None if i else 5, " ".join(text[:30] + copy + text[30:]), f"key{i}"))
+    rows += [(None, None, "none"), (3, "", "empty")]
+    bench = spark.createDataFrame(items + [(77, None), (78, "a b")], "item_id long, text string").selectExpr("*", "1 AS score", "2 AS doc_id")
+    want, leaking = set(), set()
+    for key, text, name in rows:
+        words = (text or "").split()
+        grams = {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+        for item_id, said in items:
+            item = said.split()
+            if item_id is not None and any(tuple(item[k : k + 3]) in grams for k in range(len(item) - 2)) and brute_smith_waterman(item, words) >= len(item):
+                want.add((key, item_id))
+                leaking.add(name)
+    tagged = docs(spark, rows).selectExpr("*", "5 AS score", "6 AS words", "7 AS item_id")
+    for block in (10**6, 60):  # one block, and many
+        assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(tagged, bench, block_words=block).collect()} == want
+        kept = decontaminate.drop_leaks(tagged, bench, block_words=block)
+        assert kept.columns == tagged.columns and {x.source for x in kept.collect()} == {x[2] for x in rows} - leaking
+    assert 20 < len(leaking) < 110
+    assert decontaminate.find_leaks(tagged.limit(0), bench).count() == decontaminate.find_leaks(tagged, bench.limit(0)).count() == decontaminate.drop_leaks(tagged.limit(0), bench).count() == 0
+    assert decontaminate.drop_leaks(tagged, bench.limit(0)).count() == len(rows)
+
+
+def test_leaks_of_large_blocks():
+    words = [f"x{i}" for i in range(2_200_000)]
+    items = decontaminate.Items([(1, words), (2, words[5:25])], 3, 0.5)  # codes of three words need more than 64 bits
+    ids = items.numbers("y " * 50 + " ".join(words[5:25]) + " z" * 50)
+    [(a, b)] = decontaminate.Items([(2, words[5:25])], 3, 0.5).passages(np.where(ids >= 5, ids - 5, -1))
+    assert items.hits(ids)[0].tolist() == list(range(50, 68)) and a <= 50 and b >= 70
+    assert any(x[0] == 2 and x[1] == 1.0 for x in decontaminate.Items([(2, words[5:25])], 3, 0.5).leaks(np.where(ids >= 5, ids - 5, -1)))
+
+
 def test_html():
     page = """<html><head><title>t</title><script>var a = "</p>";</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class="ad">Buy</div>
     <article><h1>Title &amp; more</h1><p>First <b>bold</b> text<br>goes on.<p>Second,  with
@@ -324,6 +376,22 @@ def test_toxicity(spark):
     assert toxicity.rejected(docs(spark, rows), few).count() == 0
 
 
+def test_toxic_rows(spark):
+    bad = ["scum idiot", "idiot loser", "loser scum"]
+    rows = [(i, prose(i, 60) + (" " + bad[i % 3] if i % 4 == 0 else ""), "s") for i in range(300)]
+    more = [(None, prose(900, 60) + " scum idiot", "toxic"), (0, prose(901, 60), "clean"), (1, prose(902, 50) + " loser idiot scum", "toxic"), (None, None, "null"), (7, "", "empty"), (8, "word " * 200_000 + "idiot loser", "toxic"), (9, prose(903, 10), "same"), (9, prose(903, 10), "same")]
+    tagged = docs(spark, rows + more).selectExpr("*", "1 AS toxic", "2 AS grade", "3 AS p_toxic", "4 AS features")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(10, 300)], "doc_id long, toxic int").selectExpr("*", "'x' AS text", "9 AS feature")
+    kept = toxicity.drop_toxic(tagged, labels)
+    assert kept.columns == tagged.columns
+    assert sorted(r.source for r in kept.collect() if r.source != "s") == ["clean", "empty", "null", "same", "same"]
+    assert toxicity.score(tagged, toxicity.train(tagged, labels)).count() == 308
+    for no_docs, no_labels in ((tagged.limit(0), labels), (tagged, labels.limit(0)), (tagged, labels.where("toxic = 1"))):
+        assert toxicity.rejected(no_docs, no_labels).count() == 0 and toxicity.drop_toxic(no_docs, no_labels).count() == no_docs.count()
+    model = toxicity.train(tagged, labels)
+    assert (np.diff(model.thresholds) >= 0).all() and model.grades(np.array([-50.0, 50.0])).sum(axis=1).round().tolist() == [0, len(model.thresholds)]
+
+
 def test_licenses(spark):
     rows = [(1, "a\nReleased under the MIT License.\nb MIT\nlicense", "s"), (2, None, "s"), (3, "License the Apache License", "s"), (4, "Licensed under the Apache License, Version 2.0!", "s"), (None, "x", "s")]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
