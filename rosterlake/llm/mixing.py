@@ -10,12 +10,16 @@ number of units are rounded in one task each; the one unit that each leaves goes
 for a source: it becomes 1 with its own probability. A source's taken words so differ from its target by less than one
 document's size. Random numbers come from hashes of the seed and the documents, so reruns and retries agree.
 
-Null texts and texts without words have size 0 and take 0. A null source is a source. Repeated rows are documents of
-their own. An empty table gives no rows. Sources of size 0 have target 0.
+Null texts and texts without words have size 0 and take 0. A null source is a source, a null id an id. Repeated rows are
+documents of their own: equal ones are counted, and their units numbered from the count, so a row repeated a million times
+is one row for each task. Other columns pass through `mix`, whatever their names, and tell rows apart unless they are maps.
+An empty table gives no rows. Sources of size 0 have target 0.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,23 +35,33 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """Adds place, from 0, in the order of source (code points, null last). Sorted in ranges, so no task holds all."""
+    order = F.col("source").asc_nulls_last()
+    ranges = common.written(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "source-ranges")
+    # One row for each range.
+    counts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).selectExpr("part AS p", "sum(n) OVER (ORDER BY part) - n AS before")
+    rows = ranges.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(order)))
+    return rows.join(F.broadcast(counts), F.col("part") == F.col("p")).withColumn("place", F.col("before") + F.col("at") - 1).drop("part", "p", "before", "at")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """sizes (source, source_size) -> source, source_size, target. One row for each source.
 
-    In order of most * size / weight, sources are at their limit as long as that ratio lies below what the rest's
-    share for one unit of weight would be.
+    A target is the smaller of most * size and weight * level. Starting from total / weights, the level rises to what the
+    sources below their limits share of the rest, until no further source reaches its limit; each step is one aggregate.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("ratio", most * F.col("source_size") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    share = (total - F.coalesce(F.sum(most * F.col("source_size")).over(before), F.lit(0))) / F.sum("weight").over(rest)
-    rows = rows.withColumn("share", share)
-    level = F.min_by(F.col("share"), F.when(F.col("ratio") >= F.col("share"), F.col("ratio"))).over(Window.partitionBy())
-    target = F.least(most * F.col("source_size").cast("double"), F.col("weight") * F.col("level"))
-    return rows.withColumn("level", level).select("source", "source_size", target.alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = common.written(numbered(sizes).withColumn("weight", weight).drop("place"), "weights")
+    level, limit = 0.0, F.col("source_size") * most
+    while True:
+        full = limit < F.col("weight") * level
+        s = rows.agg(F.sum("source_size").alias("total"), F.sum(F.when(full, limit)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        after = (s.total - (s.full or 0)) / s.open if s.open else level
+        if after <= level:
+            break
+        level = after
+    return rows.select("source", "source_size", F.least(limit.cast("double"), F.col("weight") * level).alias("target"))
 
 
 def draw(seed: int, *parts) -> float:
@@ -98,7 +112,18 @@ def rounded(units: DataFrame, groups: list[str], seed: int) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, chunk: int = CHUNK) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).alias("h"))
+    return dealt(docs, weights, most, seed, chunk).drop("h")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Of the columns that a mix looks at, then of all others but maps, which have no hash."""
+    others = [docs[f"`{f.name}`"] for f in docs.schema.fields if f.name not in ("doc_id", "text", "source") and "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["source"].cast("string"), *others)
+
+
+def dealt(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, chunk: int) -> DataFrame:
+    """mixed() with h, the hash of the row."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"].cast("string")).alias("size"), row_hash(docs).alias("h"))
     # Repeated rows differ by their number among equals.
     rows = rows.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n"))
     rows = common.written(rows, "sizes")
@@ -113,7 +138,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     units = units.withColumn("p", F.when(F.col("size") > 0, F.greatest(rate - F.col("base"), F.lit(0.0))).otherwise(0.0))
     # A source's documents are dealt into chunks of like sizes, by count.
     units = units.withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(seed)), F.ceil(F.col("docs") / chunk)).cast("long"))
-    light = units.select("source", "chunk", "row", "size", "p").where("p > 0")
+    light = units.select("source", "chunk", "row", "doc_id", "size", "p").where("p > 0")
     level = common.written(rounded(light, ["source", "chunk"], seed), "rounded-0")
     done = [level.where("NOT left")]
     # The reduction tree: each level has a unit for each chunk of the one below, dealt CHUNK to one.
@@ -128,23 +153,21 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
         level = common.written(rounded(left, ["source", "chunk"], seed + depth), f"rounded-{depth}")
         done.append(level.where("NOT left"))
     last = level.where("left").withColumn("p", F.when(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32) < F.col("p"), 1.0).otherwise(0.0))
-    extra = last.select("row", "p")
+    extra = last.select("row", "doc_id", "p")
     for d in done:
-        extra = extra.unionByName(d.select("row", "p"))
-    extra = extra.select(F.col("row").alias("r"), F.col("p").cast("long").alias("more"))
-    out = units.join(extra, F.col("row") == F.col("r"), "left").withColumn("copies", F.col("base") + F.coalesce("more", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h", "again")
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each document as often as the mix takes it."""
-    got = mixed(docs, **options).where("copies > 0").select(F.col("h").alias("_h"), F.col("again").alias("_again"), F.col("copies").cast("int").alias("_copies"))
-    got = common.written(got, "copies")
-    columns = [docs[c] for c in docs.columns]
-    keyed = docs.select(*columns, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["source"].cast("string")).alias("_key"))
-    if (got.agg(F.max("_again")).first()[0] or 1) > 1:  # repeated rows are numbered
-        keyed = keyed.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))))
-    else:
-        keyed = keyed.withColumn("_number", F.lit(1))
-    taken = keyed.join(got, (F.col("_key") == F.col("_h")) & (F.col("_number") == F.col("_again")))
-    return taken.select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+        extra = extra.unionByName(d.select("row", "doc_id", "p"))
+    extra = extra.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), F.col("p").cast("long").alias("more"))
+    out = units.join(extra, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").withColumn("copies", F.col("base") + F.coalesce("more", F.lit(0)))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, chunk: int = CHUNK) -> DataFrame:
+    """docs with each document as often as the mix takes it. Equal rows share the copies of all of them."""
+    got = dealt(docs, weights, most, seed, chunk).groupBy(F.coalesce("doc_id", F.lit(0)).alias("d"), "h").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    key, h, copies = (f"_{x}_{uuid.uuid4().hex}" for x in ("key", "h", "copies"))  # no names of the table's own
+    got = common.written(got.select(F.col("d").alias(key), F.col("h").alias(h), F.col("copies").alias(copies), "n"), "copies")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col(key)) & (row_hash(docs) == F.col(h))
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    single, several = (docs.join(got.where(rows).drop("n"), same).select(*columns, key, h, copies) for rows in ("n = 1", "n > 1"))
+    taken = single.unionByName(several.dropDuplicates([key, h]))
+    return taken.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, h, copies)

@@ -10,8 +10,9 @@ documents: shard, block, start (ids before the block in its shard), doc_ids, len
 other in ascending doc_id order, and so do the documents in a block. Spark's commit protocol writes them, so a retried
 task leaves no half file, on any file system that Spark writes to.
 
-Null texts count as empty and hold the end id only. Repeated doc_ids are kept, next to each other in a fixed order; null
-doc_ids come first. An empty table gives an empty file set.
+Texts are encoded whole, as the tokenizer does by itself: the content of an added token gives that token's id. Null texts count
+as empty and hold the end id only. Repeated doc_ids are kept, next to each other in an order that depends on the ids; null
+doc_ids come first. Other columns are not read, whatever their names. An empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -75,12 +76,11 @@ class MemoEncoder:
     ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\0"
     WIDE_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
-    def __init__(self, path: str, end_id: int = 0, limit: int = 1_500_000, added_tokens: bool = False):
+    def __init__(self, path: str, end_id: int = 0, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added_tokens
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.end_id = limit, end_id
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
@@ -194,17 +194,17 @@ class MemoEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, end_id: int, added_tokens: bool, call: str) -> MemoEncoder:
+def encoder_of(path: str, end_id: int, call: str) -> MemoEncoder:
     """The encoder of this Python worker: tasks of one call that follow each other in it share the memo, later calls start anew."""
-    return MemoEncoder(path, end_id, added_tokens=added_tokens)
+    return MemoEncoder(path, end_id)
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, added_tokens: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, ids (little-endian unsigned integers of width_of the tokenizer, the end id last). One pass, no shuffle."""
     width, call = width_of(tokenizer_path), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path, end_id, added_tokens, call)
+        encoder = encoder_of(tokenizer_path, end_id, call)
         for batch in common.small_batches(batches, "text", 2 << 20):
             ids, n = encoder.encode_many([t or "" for t in batch.column("text").to_pylist()])
             ids = ids.astype(width)
@@ -239,13 +239,9 @@ def frequency_order(encoded: DataFrame, width: str) -> DataFrame:
     return counts.selectExpr("CAST(row_number() OVER (ORDER BY n DESC, token_id) - 1 AS long) AS rank", "token_id", "n")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, added_tokens: bool = False) -> None:
-    """Writes docs (doc_id, text) as a file set at path. The tokenizer's file must be at tokenizer_path on every node.
-
-    With added_tokens, texts are encoded as the tokenizer does by itself: the content of an added token gives its id. Without,
-    special tokens that a text quotes are encoded as any other text.
-    """
-    encoded = common.written(encode_texts(docs, tokenizer_path, end_id, added_tokens), "token-ids")
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
+    """Writes docs (doc_id, text) as a file set at path. The tokenizer's file must be at tokenizer_path on every node."""
+    encoded = common.written(encode_texts(docs, tokenizer_path, end_id), "token-ids")
     width, size = width_of(tokenizer_path), int(width_of(tokenizer_path)[-1])
     frequency_order(encoded, width).write.parquet(f"{path}/vocabulary")
     # At most one row for each entry of the tokenizer's vocabulary.
@@ -283,7 +279,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     names = ["shard", "block", "start", "doc_ids", "lengths", "control", "data"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
     schema = "shard int, block int, start long, doc_ids array<long>, lengths array<long>, control binary, data binary"
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # Rows of one id, or of none, may be many: the hash of their ids cuts them into ranges too.
+    keyed = encoded.withColumn("h", F.xxhash64("ids"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").drop("h")
     ordered.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/shards")
 
 

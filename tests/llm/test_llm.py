@@ -33,61 +33,45 @@ def test_ranks_round_trip():
 
 
 def test_encoder_against_the_tokenizer():
-    import random
+    from tokenizers import Tokenizer
 
-    rng = random.Random(3)
-    parts = [*"ab'é1,.!?\n \n  \t\xa0\u3000 \0|-", "'s", "<|endoftext|>", "the ", "\r\n", "日本", "\x1c", " \n", "don't"]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)]
+    rng, plain = random.Random(3), Tokenizer.from_file(queries.tokenizer_path())
+    parts = [*"ab'é1,.!?\n \n  \t\xa0\u3000 \0|-", "'s", "<|endoftext|>", "<|", "endoftext", "|>", "the ", "\r\n", "日本", "\x1c", " \n", "don't"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(8000)]
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     encoder = token_ids.MemoEncoder(queries.tokenizer_path(), end_id=0, limit=300)  # emptied many times
     for at in range(0, len(texts), 100):
         some = texts[at : at + 100]
         ids, n = encoder.encode_many(some)
-        want = [x.ids + [0] for x in encoder.tokenizer.encode_batch(some, add_special_tokens=False)]
+        want = [x.ids + [0] for x in plain.encode_batch(some, add_special_tokens=False)]
         assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
     assert encoder.encode_many([])[0].tolist() == [] and encoder.encode("").tolist() == []
 
 
-def test_token_files(spark):
+def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ["Hello, world's  end\n\n x", None, "", "a\nb c. d! <|endoftext|>", prose(1, 5000), " lead", "tail ", "a\n b, (c)", "Hello, world's  end\n\n x"]
-    rows = [(i if i != 3 else None, s, "s") for i, s in enumerate(texts)]
+    texts = ["Hello, world's  end\n\n x", None, "", "a\nb c. d! <|endoftext|>", prose(1, 5000), " lead", "tail ", "a\n b, (c)", "Hello, world's  end\n\n x", "a<|endoftext|>b c", prose(2, 200_000)]
+    rows = [(i if i != 3 else None, s, "s") for i, s in enumerate(texts)] + [(4, "other", "s"), (4, "other", "s"), (None, "more", "s")]
+    want = sorted((r[0] is not None, r[0] or 0, t.encode(r[1] or "", add_special_tokens=False).ids + [0]) for r in rows)
+    tagged = docs(spark, rows).selectExpr("*", "1 AS ids", "2 AS h", "3 AS start")
     out = common.scratch_path(spark, "t")
-    token_ids.write_token_files(docs(spark, rows), out, path, block_ids=50)
+    token_ids.write_token_files(tagged, out, path, block_ids=50)
     got = token_ids.read_token_files(spark, out, with_ids=True).orderBy("start").collect()
-    assert [r.doc_id for r in got] == [None, 0, 1, 2, 4, 5, 6, 7, 8]
     start = 0
     for r in got:
-        want = t.encode(texts[3 if r.doc_id is None else r.doc_id] or "", add_special_tokens=False).ids + [0]
-        assert r.ids == want and r.start == start and r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
-        start += len(want)
+        assert r.start == start and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        start += len(r.ids)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, list(r.ids)) for r in got) == want
     empty = common.scratch_path(spark, "t")
-    token_ids.write_token_files(docs(spark, rows).limit(0), empty, path)
+    token_ids.write_token_files(tagged.limit(0), empty, path)
     assert token_ids.read_token_files(spark, empty).count() == 0
-
-
-def test_token_ids_of_added_tokens(spark, tmp_path):
-    import corpus_pipeline
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    texts = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", "ends with <|endoftext|>", "no end of text", "<|endof text|>", None]
-    rows = docs(spark, [(i, s, "s") for i, s in enumerate(texts)])
-    rows.write.parquet(f"{tmp_path}/documents.parquet")
-    want = [t.encode(s or "", add_special_tokens=False).ids + [0] for s in texts]
-    assert want[0] == [64, 220, 50256, 275, 0]
-    crcs = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
-    for got in (queries.op1_token_ids(spark, str(tmp_path)), corpus_pipeline.write_tokens(spark, rows, "")):
-        assert [(r.n_tokens, r.ids_crc32) for r in got.orderBy("doc_id").collect()] == [(len(x), c) for x, c in zip(want, crcs)]
-    encoder = token_ids.MemoEncoder(queries.tokenizer_path(), added_tokens=True)
-    parts = ["a", "b c", " ", "<|endoftext|>", "<|", "endoftext", "|>", "\n", ", d"]
-    some = ["".join(random.Random(i).choices(parts, k=i % 9)) for i in range(2000)]
-    ids, n = encoder.encode_many(some)
-    plain = [x.ids + [0] for x in t.encode_batch(some, add_special_tokens=False)]
-    assert n.tolist() == [len(x) for x in plain] and ids.tolist() == sum(plain, [])
+    tagged.where("doc_id <> 4").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.ids_crc32 for r in queries.op1_token_ids(spark, str(tmp_path)).collect()) == sorted(zlib.crc32(np.array(x, "<u4").tobytes()) for a, b, x in want if a and b != 4)
 
 
 def test_chat_round_trip(spark):
@@ -523,20 +507,55 @@ def test_near_copies_cost_pairs_in_proportion(spark, monkeypatch):
     assert sum(sent) < 30_000, sent
 
 
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    """Shares by weight; what is above a limit is shared again among the others until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    out, left, free = {}, sum(sizes.values()), set(names)
+    while True:
+        share = left / sum(weight[s] for s in free) if free else 0
+        above = {s for s in free if weight[s] * share > most * sizes[s]}
+        if not above:
+            return out | {s: weight[s] * share for s in free}
+        for s in above:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        free -= above
+
+
+def test_mixing_targets(spark):
+    r = random.Random(2)
+    for n in (1, 2, 7, 300):
+        sizes = {None if k == 3 else f"s{k}\u00e9"[: 1 + k % 5] + str(k): r.choice([0, 1, 10, 1000, 10**6]) for k in range(n)}
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = brute_targets(sizes)
+        assert len(got) == n and all(abs(x.target - want[x.source]) <= 1e-9 * (1 + want[x.source]) for x in got)
+
+
 def test_mixing(spark):
     r = random.Random(3)
     rows = [(i, prose(i, r.randrange(0, 60)) if i % 50 else None, ["a", "b", "c", None][min(3, i % 7)]) for i in range(1500)]
-    got = mixing.mixed(docs(spark, rows), chunk=64).collect()
-    again = mixing.mixed(docs(spark, rows).repartition(7), chunk=64).collect()
-    assert {(x.doc_id, x.taken) for x in got} == {(x.doc_id, x.taken) for x in again} and len(got) == len(rows)
-    size = {i: len((t or "").split()) for i, t, _ in rows}
-    for source in ("a", "b", "c", None):
+    rows += [(None, prose(5, 30), "a")] + [(3, prose(6, 30), "b")] * 40 + [(4, "x " * 5000, "c")]
+    tagged = docs(spark, rows).selectExpr("*", "1 AS h", "2 AS copies", "3 AS size", "4 AS _copy")
+    got = mixing.mixed(tagged, chunk=64).collect()
+    again = mixing.mixed(tagged.repartition(7), chunk=64).collect()
+    assert sorted((repr(x.doc_id), x.taken) for x in got) == sorted((repr(x.doc_id), x.taken) for x in again) and len(got) == len(rows)
+    size = lambda t: len((t or "").split())
+    sizes = {s: sum(size(t) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    want = brute_targets(sizes)
+    for source in sizes:
         own = [x for x in got if x.source == source]
-        assert own[0].source_size == sum(size[i] for i, _, s in rows if s == source)
-        assert abs(sum(x.taken for x in own) - own[0].target) <= 60
-        assert all(x.size == size[x.doc_id] and x.taken <= 3 * x.size for x in own)
-    assert abs(sum({x.source: x.target for x in got}.values()) - sum(size.values())) < 1e-6
-    assert mixing.mixed(docs(spark, rows).limit(0)).count() == 0
+        assert sorted(x.size for x in own) == sorted(size(t) for _, t, x in rows if x == source)
+        assert all(x.source_size == sizes[source] and abs(x.target - want[source]) < 1e-6 and x.taken == x.copies * x.size <= 3 * x.size for x in own)
+        assert abs(sum(x.taken for x in own) - want[source]) <= (5000 if source == "c" else 60)
+    taken = mixing.mix(tagged, chunk=64)
+    assert taken.columns == tagged.columns
+    count = lambda xs: {k: xs.count(k) for k in set(xs)}
+    copies = {}
+    for x in got:
+        copies[repr((x.doc_id, x.source, x.size))] = copies.get(repr((x.doc_id, x.source, x.size)), 0) + x.copies
+    assert count([repr((x.doc_id, x.source, size(x.text))) for x in taken.collect()]) == {k: v for k, v in copies.items() if v}
+    assert mixing.mixed(tagged.limit(0)).count() == mixing.mix(tagged.limit(0)).count() == 0
 
 
 def test_pipeline_stages():
