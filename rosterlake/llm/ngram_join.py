@@ -479,7 +479,8 @@ def classes_of(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
     smallest = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min(row).alias("m"))
     named = smallest.join(roots, smallest["cls"] == roots["node"], "left").select("cls", "m", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("m").alias("first"))
+    named = common.written(named, "class-roots")
+    least = common.written(named.groupBy("root").agg(F.min("m").alias("first")), "components-first")
     named = common.written(named.join(least, "root").select(F.col("cls").alias("c"), F.col("first.doc_id").alias("component"), F.col("first.h").alias("keeper_h")), "named")
     light = sketches.select("doc_id", "h", "n", "cls")
     out = light.where("cls IS NOT NULL").join(named, F.col("cls") == F.col("c")).drop("c")
