@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages: each takes all documents that the one before kept."""
+"""A corpus pipeline of five stages: each takes all documents that the one before kept.
+
+Rows are judged by their own text, so null and repeated ids are as good as any: a toxic or leaked row goes, whatever its id,
+and of rows in one class of near duplicates one stays (of ties, that of the smallest hash). Texts without words stay until
+the mix, which takes none of their words. Columns of documents pass through all stages but the last; empty tables give
+empty results.
+"""
 
 from __future__ import annotations
 

@@ -93,7 +93,7 @@ BOUND = {
     "K9_upsert_log": (("customer",), lambda t: upserted(t)[1], "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'created' WHEN c_custkey % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM customer WHERE c_custkey % 2 = 0"),
     # HR calculations
     "W01_employment_window": (("employees",), lambda t: derive.employment_window(t["employees"], AS_OF), "SELECT employee_id, hire_date AS window_start, coalesce(termination_date, DATE '2024-06-30') AS window_end FROM employees"),
-    "W02_month_spine": (("region",), lambda t: derive.month_spine(t["region"].sparkSession, AS_OF), "SELECT CAST(m AS DATE) AS month_start, last_day(CAST(m AS DATE)) AS month_end FROM (SELECT unnest(generate_series(TIMESTAMP '2021-01-01', TIMESTAMP '2024-06-30', INTERVAL 1 MONTH)) AS m)"),
+    "W02_month_spine": (("orders",), lambda t: derive.month_spine(t["orders"], "o_orderdate"), "SELECT CAST(m AS DATE) AS month_start, last_day(CAST(m AS DATE)) AS month_end FROM (SELECT unnest(generate_series(CAST(make_date(CAST(year(d) - 3 AS INT), 1, 1) AS TIMESTAMP), CAST(d AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM (SELECT CAST(max(o_orderdate) AS DATE) AS d FROM orders))"),
     "W03_prorated_pay": (("employees",), lambda t: derive.prorated_pay(t["employees"], date(2019, 6, 30)).groupBy("month_start").agg(F.count(F.lit(1)).alias("people"), F.sum("days_employed").alias("days"), F.sum("payable").cast("decimal(18,2)").alias("payable")), "WITH m AS (SELECT CAST(m AS DATE) AS month_start, last_day(CAST(m AS DATE)) AS month_end FROM (SELECT unnest(generate_series(TIMESTAMP '2016-01-01', TIMESTAMP '2019-06-30', INTERVAL 1 MONTH)) AS m)), d AS (SELECT month_start, annual_salary, date_diff('day', greatest(hire_date, month_start), least(month_end, coalesce(termination_date, DATE '2019-06-30'), DATE '2019-06-30')) + 1 AS days, day(month_end) AS len FROM employees JOIN m ON hire_date <= month_end AND coalesce(termination_date, DATE '2019-06-30') >= month_start) SELECT month_start, count(*) AS people, CAST(sum(days) AS BIGINT) AS days, CAST(sum(sign(annual_salary) * ((CAST(abs(annual_salary) * 100 AS HUGEINT) * days * 2 + 12 * len) // (24 * len))) / 100.0 AS DECIMAL(18,2)) AS payable FROM d WHERE days > 0 GROUP BY 1"),
     "W04_overtime_pay": (("payroll", "employees"), lambda t: t["payroll"].join(t["employees"], "employee_id").groupBy("employee_id").agg(F.round(F.sum(derive.overtime_pay(c("payroll_id") % 9, c("base_salary"), (c("annual_salary") / 12).cast("double"), c("annual_salary"))), 0).alias("pay")), "SELECT employee_id, round(sum(CASE WHEN annual_salary = 0 THEN 1.0 ELSE CAST(base_salary AS DOUBLE) / (CAST(annual_salary AS DOUBLE) / 12) END * (payroll_id % 9) * (CAST(annual_salary AS DOUBLE) / 52 / 37.5) * 1.5), 0) AS pay FROM payroll JOIN employees USING (employee_id) GROUP BY 1"),
     "W05_payroll_lines": (("payroll",), lambda t: derive.payroll_lines(t["payroll"].select("payroll_id", "pay_period_start", "base_salary", (c("base_salary") * 0).cast("decimal(12,2)").alias("overtime_pay"))).groupBy("pay_period_start").agg(*[F.sum(x).cast("decimal(18,2)").alias(x) for x in ("bonus", "pension_contribution", "tax_amount", "deductions", "gross_pay", "net_pay")]), "SELECT pay_period_start, " + ", ".join(f"CAST(sum(round(CAST(base_salary AS DECIMAL(18,6)) * CAST({r} AS DECIMAL(4,2)), 2)) AS DECIMAL(18,2)) AS {n}" for n, r in (("bonus", 0.03), ("pension_contribution", 0.05), ("tax_amount", 0.2), ("deductions", 0.25), ("gross_pay", 1.03), ("net_pay", 0.78))) + " FROM payroll GROUP BY 1"),
@@ -111,10 +111,12 @@ BOUND = {
     "W20_pick_manager": (("employees",), lambda t: derive.pick_manager(t["employees"]), "WITH m AS (SELECT employee_id AS mid, department_id AS d FROM employees WHERE is_manager AND is_active) SELECT e.employee_id, coalesce((SELECT min(mid) FROM m WHERE m.d = e.department_id AND mid <> e.employee_id), (SELECT min(mid) FROM m WHERE mid <> e.employee_id)) AS manager_id FROM employees AS e"),
     "W21_leave_days": (("leave_requests",), lambda t: t["leave_requests"].select("leave_id", derive.leave_days(c("requested_days"), c("available_days")).alias("days")), "SELECT leave_id, greatest(least(requested_days, available_days), 0) AS days FROM leave_requests"),
     "W22_time_to_hire": (("recruitment",), lambda t: derive.time_to_hire(t["recruitment"]).select("recruitment_id", "closing_date", "days_to_hire"), "SELECT recruitment_id, least(closing_date, hire_date) AS closing_date, CAST(date_diff('day', opening_date, hire_date) AS INT) AS days_to_hire FROM recruitment"),
-    "W23_hierarchy_levels": (("employees",), lambda t: derive.hierarchy_levels(t["employees"], scratch(t["employees"].sparkSession)), "WITH RECURSIVE h AS (SELECT employee_id, 0 AS level FROM employees WHERE manager_id IS NULL UNION ALL SELECT e.employee_id, h.level + 1 FROM employees AS e JOIN h ON e.manager_id = h.employee_id WHERE h.level < 4) SELECT employee_id, CAST(level AS INT) AS level FROM h"),
+    "W23_hierarchy_levels": (("employees",), lambda t: derive.hierarchy_levels(t["employees"], scratch(t["employees"].sparkSession)), "WITH RECURSIVE h AS (SELECT employee_id, 0 AS level FROM employees WHERE manager_id IS NULL UNION ALL SELECT e.employee_id, h.level + 1 FROM employees AS e JOIN h ON e.manager_id = h.employee_id) SELECT employee_id, CAST(level AS INT) AS level FROM h"),
     "W24_unknown_values": (("training", "orders"), lambda t: derive.unknown_values(t["training"], "course_category", t["orders"].select(c("o_orderstatus").alias("category")).distinct(), "category").groupBy("course_category").agg(F.count(F.lit(1)).alias("n")), "SELECT course_category, count(*) AS n FROM training WHERE course_category NOT IN (SELECT o_orderstatus FROM orders) GROUP BY 1"),
-    "W25_hires_to_employees": (("recruitment", "job_roles"), lambda t: derive.hires_to_employees(t["recruitment"], t["job_roles"]).select("recruitment_id", "employee_number", "is_manager", "currency"), "SELECT recruitment_id, 'EMP' || lpad(CAST(recruitment_id + 1 AS VARCHAR), 6, '0') AS employee_number, coalesce(grade = 'Manager', false) AS is_manager, 'GBP' AS currency FROM recruitment LEFT JOIN job_roles USING (role_id) WHERE recruitment_status = 'Filled'"),
+    "W25_hires_to_employees": (("recruitment", "job_roles", "employees"), lambda t: derive.hires_to_employees(t["recruitment"], t["job_roles"], t["employees"]).select("recruitment_id", "employee_number", "is_manager", "currency", "manager_id"), "WITH m AS (SELECT department_id, min(employee_id) AS own FROM employees WHERE is_manager AND is_active GROUP BY 1) SELECT recruitment_id, 'EMP' || lpad(CAST(recruitment_id + 1 AS VARCHAR), 6, '0') AS employee_number, coalesce(grade = 'Manager', false) AS is_manager, 'GBP' AS currency, coalesce(own, (SELECT min(own) FROM m)) AS manager_id FROM recruitment LEFT JOIN job_roles USING (role_id) LEFT JOIN m USING (department_id) WHERE recruitment_status = 'Filled'"),
     "W26_transfer_options": (("employees", "locations"), lambda t: derive.transfer_options(t["employees"], t["locations"], "location_id", "location_id"), "SELECT employee_id, e.location_id, l.location_id AS new_location_id FROM employees AS e JOIN locations AS l ON e.location_id IS DISTINCT FROM l.location_id"),
+    "W26_department_options": (("employees", "departments"), lambda t: derive.transfer_options(t["employees"], t["departments"], "department_id", "department_id"), "SELECT employee_id, e.department_id, d.department_id AS new_department_id FROM employees AS e JOIN departments AS d ON e.department_id IS DISTINCT FROM d.department_id"),
+    "W26_other_manager": (("employees",), lambda t: derive.other_manager(t["employees"]), "SELECT e.employee_id, (SELECT min(m.employee_id) FROM employees AS m WHERE m.is_manager AND m.is_active AND m.employee_id <> e.employee_id AND m.employee_id IS DISTINCT FROM e.manager_id) AS new_manager_id FROM employees AS e"),
     "W27_eligibility": (("employees",), lambda t: derive.eligible(t["employees"], F.lit(date(2018, 6, 30)), 180).select("employee_id"), "SELECT employee_id FROM employees WHERE date_diff('day', hire_date, DATE '2018-06-30') >= 180 AND (termination_date IS NULL OR DATE '2018-06-30' <= termination_date) AND NOT is_manager"),
 }
 

@@ -21,10 +21,11 @@ def employment_window(employees: DataFrame, as_of: date) -> DataFrame:
     return employees.select("employee_id", F.col("hire_date").alias("window_start"), F.coalesce("termination_date", F.lit(as_of)).alias("window_end"))
 
 
-def month_spine(spark, as_of: date, years: int = 3) -> DataFrame:
-    """month_start, month_end from January of the year `years` before to as_of."""
-    start = date(as_of.year - years, 1, 1)
-    months = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(as_of), F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
+def month_spine(rows: DataFrame, at: str, years: int = 3) -> DataFrame:
+    """month_start, month_end from January of the year `years` before the last date of rows to that date."""
+    last = rows.agg(F.max(F.col(at).cast("date")).alias("last")).where("last IS NOT NULL")
+    first = F.make_date(F.year("last") - years, F.lit(1), F.lit(1))
+    months = last.select(F.explode(F.sequence(first, F.col("last"), F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
     return months.select("month_start", F.last_day("month_start").alias("month_end"))
 
 
@@ -154,12 +155,23 @@ def survey_theme(growth: Column, manager: Column, wellbeing: Column, balance: Co
 
 
 def unique_emails(people: DataFrame, name: str = "name", key: str = "employee_id", domain: str = "example.com") -> DataFrame:
-    """Adds first_name, last_name and email; a taken address gets the next number."""
+    """Adds first_name, last_name and email; a taken address gets the next number that no other person's name ends in.
+
+    Names that differ in final digits alone share their numbers: `a.b2` is not given to the second `a.b` where someone's
+    name makes it. The first of a name, by key, has it without a number.
+    """
     first, last = split_name(F.col(name))
     base = F.concat_ws(".", only_alnum(first), only_alnum(last))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(key))
-    rows = people.withColumns({"first_name": first, "last_name": last, "_base": base}).withColumn("_n", n)
-    return rows.withColumn("email", F.concat(F.col("_base"), F.when(F.col("_n") > 1, F.col("_n").cast("string")).otherwise(""), F.lit("@" + domain))).drop("_base", "_n")
+    rows = people.withColumns({"first_name": first, "last_name": last, "_base": base, "_stem": F.regexp_replace(base, "[0-9]+$", "")})
+    number = F.regexp_extract("_base", "([1-9][0-9]{0,8})$", 1)
+    own = F.when((number != "") & (F.concat("_stem", number) == F.col("_base")), number.cast("int"))
+    taken = rows.select(F.col("_stem").alias("_s"), own.alias("_own")).where("_own IS NOT NULL").groupBy("_s").agg(F.sort_array(F.collect_set("_own")).alias("_taken"))
+    again = F.row_number().over(Window.partitionBy("_stem", "_base").orderBy(key)) > 1
+    rows = rows.withColumn("_again", again.cast("int")).withColumn("_k", F.sum("_again").over(Window.partitionBy("_stem").orderBy("_base", key).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(taken, rows["_stem"] == taken["_s"], "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), (F.col("_k") + 1).cast("long"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    address = F.when(F.col("_again") == 1, F.concat("_stem", free.cast("string"))).otherwise(F.col("_base"))
+    return rows.withColumn("email", F.concat(address, F.lit("@" + domain))).drop("_base", "_stem", "_s", "_taken", "_again", "_k")
 
 
 def pick_manager(employees: DataFrame) -> DataFrame:
@@ -210,12 +222,20 @@ def unknown_values(df: DataFrame, column: str, lookup: DataFrame, name: str) ->
     return orphans(df, lookup, column, name)
 
 
-def hires_to_employees(recruitment: DataFrame, roles: DataFrame, first_number: int = 1) -> DataFrame:
-    """One employee row for each filled vacancy."""
+def manager_for(rows: DataFrame, employees: DataFrame) -> DataFrame:
+    """rows with manager_id: the active manager with the smallest id, of the row's department if there is one."""
+    managers = employees.where("is_manager AND is_active")
+    own = managers.groupBy(F.col("department_id").alias("_d")).agg(F.min("employee_id").alias("_own"))
+    overall = managers.agg(F.min("employee_id").alias("_any"))  # one row
+    return rows.join(own, rows["department_id"] == own["_d"], "left").crossJoin(F.broadcast(overall)).withColumn("manager_id", F.coalesce("_own", "_any")).drop("_d", "_own", "_any")
+
+
+def hires_to_employees(recruitment: DataFrame, roles: DataFrame, employees: DataFrame, first_number: int = 1) -> DataFrame:
+    """One employee row for each filled vacancy, with a manager among the employees."""
     hires = recruitment.where("recruitment_status = 'Filled'").join(roles.select("role_id", "grade"), "role_id", "left")
-    hires = unique_emails(hires, "candidate_name", "recruitment_id")
+    hires = manager_for(unique_emails(hires, "candidate_name", "recruitment_id"), employees)
     number = F.concat(F.lit("EMP"), F.lpad((F.col("recruitment_id") + first_number).cast("string"), 6, "0"))
-    return hires.select(F.col("recruitment_id"), number.alias("employee_number"), "email", "first_name", "last_name", "hire_date", "department_id", "role_id", F.coalesce(F.col("grade") == "Manager", F.lit(False)).alias("is_manager"), F.lit("Active").alias("employment_status"), F.lit(True).alias("is_active"), F.lit("GBP").alias("currency"))
+    return hires.select(F.col("recruitment_id"), number.alias("employee_number"), "email", "first_name", "last_name", "hire_date", "department_id", "role_id", "manager_id", F.coalesce(F.col("grade") == "Manager", F.lit(False)).alias("is_manager"), F.lit("Active").alias("employment_status"), F.lit(True).alias("is_active"), F.lit("GBP").alias("currency"))
 
 
 def transfer_options(employees: DataFrame, places: DataFrame, current: str, option: str) -> DataFrame:
@@ -224,6 +244,16 @@ def transfer_options(employees: DataFrame, places: DataFrame, current: str, opti
     return employees.select("employee_id", current).join(p, ~F.col(current).eqNullSafe(F.col(f"new_{option}")))
 
 
+def other_manager(employees: DataFrame) -> DataFrame:
+    """employee_id, new_manager_id: the active manager with the smallest id that is neither the current one nor the employee.
+
+    Three candidates are enough for everyone, so nobody is paired with all managers; null if there is none.
+    """
+    first = employees.where("is_manager AND is_active").select("employee_id").orderBy("employee_id").limit(3).agg(F.sort_array(F.collect_list("employee_id")).alias("_m"))
+    fits = F.filter("_m", lambda m: (m != F.col("employee_id")) & ~m.eqNullSafe(F.col("manager_id")))
+    return employees.crossJoin(F.broadcast(first)).select("employee_id", F.get(fits, F.lit(0)).alias("new_manager_id"))
+
+
 def eligible(employees: DataFrame, on: Column, days: int, managers: bool = False) -> DataFrame:
     """Employees that at a date have served the given days and are still employed."""
     ok = (F.date_diff(on, F.col("hire_date")) >= days) & (F.col("termination_date").isNull() | (on <= F.col("termination_date")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import upsert
 from ..sources.lake import FileSource, read_latest, read_manifest
@@ -38,11 +39,26 @@ def full_refresh(spark: SparkSession, tables: dict[str, DataFrame], as_of: date,
     return raw_pipeline(spark, **raw)
 
 
+def with_unit_ids(departments: DataFrame, units: DataFrame) -> DataFrame:
+    """Departments with business_unit_id in place of the unit's name; null where no unit has it."""
+    ids = units.select(F.col("unit_name").alias("_unit"), "business_unit_id")
+    return departments.join(ids, departments["business_unit"] == ids["_unit"], "left").drop("_unit", "business_unit")
+
+
 def refresh_reference(current: dict[str, DataFrame], incoming: dict[str, DataFrame], keys: dict[str, str]) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Checks the incoming reference tables, then upserts each; raises on any violation, before anything is changed."""
+    """Checks the incoming reference tables, then upserts each; raises on any violation, before anything is changed.
+
+    Departments name their business unit; where the stored table has business_unit_id, it is taken from the stored units.
+    """
     bad = check_reference(incoming).limit(20).collect()
     if bad:
         raise RuleFailure("; ".join(f"{r.dataset}.{r.field} {r.rule} {r.record_key}" for r in bad))
+    if "departments" in incoming and "business_unit_id" in current["departments"].columns:
+        units = current["business_units"]
+        names = units.join(incoming["departments"].select("business_unit").distinct(), units["unit_name"] == F.col("business_unit"), "right").where("business_unit_id IS NULL").limit(20).collect()
+        if names:
+            raise RuleFailure("business units without an id: " + ", ".join(str(r.business_unit) for r in names))
+        incoming = incoming | {"departments": with_unit_ids(incoming["departments"], units)}
     return {name: upsert(current[name], df, [keys[name]]) for name, df in incoming.items()}
 
 

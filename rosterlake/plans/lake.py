@@ -13,10 +13,22 @@ from ..functions import is_weekend, month_day
 from ..operators import latest_per_key
 
 
+def structural_errors(raw: DataFrame, schema: StructType) -> list[str]:
+    """What keeps raw rows from the declared schema: columns that are missing, or values that its types cannot hold."""
+    missing = [f"missing column {f.name}" for f in schema.fields if f.name not in raw.columns]
+    there = [f for f in schema.fields if f.name in raw.columns]
+    lost = lambda f: F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+    row = raw.agg(*[lost(f).alias(f.name) for f in there]).first() if there else {}
+    return missing + [f"{f.name} has values that are no {f.dataType.simpleString()}: {row[f.name]}" for f in there if row[f.name]]
+
+
 def bronze(raw: DataFrame, schema: StructType) -> DataFrame:
     """Casts to the declared schema and adds ingestion columns; other columns are kept as they are."""
     declared = {f.name: F.col(f.name).cast(f.dataType) for f in schema.fields}
-    return raw.withColumns(declared).withColumns({"_bronze_ingested_at": F.current_timestamp(), "_source_file": F.col("_metadata.file_path")})
+    added = {"_bronze_ingested_at": F.current_timestamp(), "_source_file": F.col("_metadata.file_path")}
+    if "_extracted_at_utc" in raw.columns:
+        added["_extraction_date"] = F.to_date("_extracted_at_utc")
+    return raw.withColumns(declared).withColumns(added)
 
 
 def write_bronze(df: DataFrame, path: str, batch: str = "batch_id") -> None:
@@ -33,10 +45,11 @@ def silver(df: DataFrame, key: str, order: Sequence[str], defaults: dict | None
     return out.na.fill(defaults) if defaults else out
 
 
-def dim_date(spark, start: date, end: date, holidays: Sequence[str] = (), year_starts: int = 4) -> DataFrame:
-    """A row for each day; the financial year starts with month year_starts and has the number of the year it starts in."""
+def dim_date(facts: DataFrame, at: str, holidays: Sequence[str] = (), year_starts: int = 4) -> DataFrame:
+    """A row for each day from the first to the last date of the facts; the financial year starts with month year_starts and has the number of the year it starts in."""
     d = F.col("date")
-    rows = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
+    bounds = facts.agg(F.min(F.col(at).cast("date")).alias("low"), F.max(F.col(at).cast("date")).alias("high")).where("low IS NOT NULL")
+    rows = bounds.select(F.explode(F.sequence("low", "high")).alias("date"))
     fy = F.year(d) - (F.month(d) < year_starts).cast("int")
     return rows.select(
         F.date_format(d, "yyyyMMdd").cast("int").alias("date_key"), "date", F.dayofmonth(d).alias("day"), F.weekofyear(d).alias("week"), F.month(d).alias("month"), F.quarter(d).alias("quarter"), F.year(d).alias("year"),
@@ -58,8 +71,21 @@ def scd2(history: DataFrame, key: str, at: str, tracked: Sequence[str]) -> DataF
     return rows.select(key, *[F.col(f"s.{c}").alias(c) for c in tracked], F.col(at).alias("effective_from"), to.alias("effective_to"), to.isNull().alias("is_current"), F.row_number().over(w).alias("version"))
 
 
+def scd2_merge(versions: DataFrame, changes: DataFrame, key: str, at: str, tracked: Sequence[str]) -> DataFrame:
+    """versions (from scd2) with later changes worked in; only the versions of changed keys are made anew.
+
+    Changes come after the rows that made the versions; an earlier one is placed among the versions, whose merged rows are gone.
+    """
+    keys = changes.select(F.col(key).alias("_k")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    again = versions.join(keys, same, "left_semi").select(key, *tracked, F.col("effective_from").alias(at))
+    return versions.join(keys, same, "left_anti").unionByName(scd2(again.unionByName(changes.select(key, *tracked, at)), key, at, tracked))
+
+
 def surrogate(*keys: str) -> Column:
-    return F.xxhash64(*keys)
+    """60 bits of a digest of the business key, the same in every run; a null part counts as empty."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def dimension(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
@@ -74,9 +100,74 @@ def point_in_time(facts: DataFrame, versions: DataFrame, key: str, at: str, colu
     return facts.join(v, valid, "left").drop("_k", "effective_from", "effective_to")
 
 
+#: Dimensions: table, business key, columns.
+DIMENSIONS = {
+    "employee": ("employees", ("employee_id",), ("employee_number", "email", "hire_date")),
+    "department": ("departments", ("department_id",), ("department_name", "business_unit", "cost_center")),
+    "location": ("locations", ("location_id",), ()),
+    "job_role": ("job_roles", ("role_id",), ("role_name", "grade")),
+    "manager": ("employees", ("employee_id",), ("employee_number", "department_id")),
+    "course": ("training", ("course_category",), ()),
+    "exit_reason": ("employee_exits", ("exit_type", "exit_reason"), ("voluntary_flag",)),
+}
+
+
+def gold_dimension(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    table, keys, columns = DIMENSIONS[name]
+    rows = tables[table].where("is_manager") if name == "manager" else tables[table]
+    return dimension(rows, keys, columns, name)
+
+
+#: Facts: table, own key, employee's key, date, measures.
+FACTS = {
+    "workforce": ("employees", "employee_id", "employee_id", "hire_date", ("annual_salary",)),
+    "payroll": ("payroll", "payroll_id", "employee_id", "pay_period_start", ("gross_pay", "net_pay")),
+    "attendance": ("attendance", "attendance_id", "employee_id", "work_date", ("clock_in_sec",)),
+    "performance": ("performance_reviews", "review_id", "employee_id", "review_date", ("overall_rating",)),
+    "recruitment": ("recruitment", "recruitment_id", "successful_employee_id", "hire_date", ()),
+    "training": ("training", "training_id", "employee_id", "start_date", ()),
+    "surveys": ("employee_surveys", "survey_id", "employee_id", "survey_date", ("engagement_score",)),
+    "attrition": ("employee_exits", "exit_event_id", "employee_id", "exit_date", ()),
+    "leave": ("leave_requests", "leave_id", "employee_id", "start_date", ("requested_days",)),
+    "promotions": ("promotions", "promotion_id", "employee_id", "promotion_date", ("new_salary",)),
+}
+
+
+def gold_fact(name: str, tables: dict[str, DataFrame], versions: DataFrame) -> DataFrame:
+    """fact_id, employee_key, department_key (of the version valid at the date), date_key, measures."""
+    table, own, who, at, measures = FACTS[name]
+    rows = tables[table].select(F.col(own).alias("fact_id"), F.col(who).alias("employee_id"), F.col(at).alias("at"), *measures)
+    rows = point_in_time(rows, versions, "employee_id", "at", ("new_department_id",)).withColumnRenamed("at_new_department_id", "department_id")
+    key = lambda c: F.when(F.col(c).isNotNull(), surrogate(c))
+    return rows.select("fact_id", key("employee_id").alias("employee_key"), key("department_id").alias("department_key"), F.date_format("at", "yyyyMMdd").cast("int").alias("date_key"), *measures)
+
+
 # Marts
 
 
+def movement(transfers: DataFrame, employees: DataFrame) -> DataFrame:
+    """department_id, year, arrivals and departures by transfer; one is left for the next by the same employee's order."""
+    order = Window.partitionBy("employee_id").orderBy("transfer_date", "transfer_id")
+    rows = transfers.withColumn("old", F.lag("new_department_id").over(order)).where(~F.col("new_department_id").eqNullSafe(F.col("old")))
+    ends = F.array(F.struct(F.col("new_department_id").alias("department_id"), F.lit(1).alias("arrived"), F.lit(0).alias("left")), F.struct(F.col("old").alias("department_id"), F.lit(0).alias("arrived"), F.lit(1).alias("left")))
+    out = rows.select(F.year("transfer_date").alias("year"), F.explode(ends).alias("x")).select("year", "x.*").where("department_id IS NOT NULL")
+    return out.groupBy("department_id", "year").agg(F.sum("arrived").alias("arrivals"), F.sum("left").alias("departures"))
+
+
+def working_time(attendance: DataFrame, employees: DataFrame, late_after: int = 9 * 3600, day_seconds: int = 27_000) -> DataFrame:
+    """By department: days worked, late starts, seconds worked and over time, utilisation (worked by contracted time)."""
+    rows = attendance.where("clock_in_sec IS NOT NULL AND clock_out_sec IS NOT NULL").join(employees.select("employee_id", "department_id"), "employee_id")
+    worked = F.pmod(F.col("clock_out_sec") - F.col("clock_in_sec"), F.lit(86400)).cast("long")
+    out = rows.withColumn("worked", worked).groupBy("department_id").agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("clock_in_sec") > late_after).alias("late"), F.sum("worked").alias("worked_seconds"), F.sum(F.greatest(F.col("worked") - day_seconds, F.lit(0).cast("long"))).alias("overtime_seconds"))
+    return out.withColumn("utilisation", F.round(F.col("worked_seconds") / (F.col("days") * day_seconds), 6))
+
+
+def hiring_time(recruitment: DataFrame) -> DataFrame:
+    """By department: hires, and mean and longest days from opening to hire."""
+    days = F.date_diff("hire_date", "opening_date")
+    return recruitment.where("recruitment_status = 'Filled'").groupBy("department_id").agg(F.count(F.lit(1)).alias("hires"), F.round(F.avg(days), 6).alias("mean_days"), F.max(days).alias("longest"))
+
+
 def headcount(employees: DataFrame, months: DataFrame) -> DataFrame:
     """month_start, headcount on its last day, hires and leavers in it: running sums of starts and ends, no range join."""
     starts = employees.select(F.trunc("hire_date", "month").alias("m"), F.lit(1).alias("hire"), F.lit(0).alias("leave"))
@@ -138,6 +229,36 @@ def lexicon_sentiment(texts: DataFrame, lexicon: DataFrame, key: str, text: str)
     return texts.select(key).join(hits, texts[key] == hits["k"], "left").select(key, F.coalesce("score", zero).alias("score"), F.coalesce("hits", zero).alias("hits"))
 
 
+def keywords(texts: DataFrame, key: str, text: str, k: int = 5, most: float = 0.5) -> DataFrame:
+    """key, rank, term: of each text the k most frequent terms that at most `most` of all texts have, rarer ones first in ties."""
+    words = texts.select(F.col(key).alias("k"), F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("term")).where("term <> ''")
+    counts = words.groupBy("k", "term").agg(F.count(F.lit(1)).alias("n"))
+    df = counts.groupBy(F.col("term").alias("t")).agg(F.count(F.lit(1)).alias("df"))
+    total = texts.agg(F.count_distinct(key).alias("total"))  # one row
+    rows = counts.join(df.crossJoin(F.broadcast(total)).where(F.col("df") <= F.col("total") * most), F.col("term") == F.col("t"))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "df", "term"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("k").alias(key), "rank", "term")
+
+
+def lexicon_labels(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    """key, label, hits: how many words of a text the lexicon (word, label) gives each label, such as an emotion or a theme."""
+    words = texts.select(F.col(key), F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("word"))
+    return words.join(lexicon, "word").groupBy(key, "label").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def topics(texts: DataFrame, key: str, text: str, k: int = 5, terms: int = 1000, seed: int = 1) -> DataFrame:
+    """key, topic: the heaviest of k topics that an online LDA model finds over the `terms` most frequent words."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = texts.select(key, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
+    vectors = CountVectorizer(inputCol="words", outputCol="features", vocabSize=terms, minDF=2).fit(words).transform(words)
+    mixed = LDA(k=k, maxIter=5, optimizer="online", seed=seed).fit(vectors).transform(vectors)
+    weights = vector_to_array("topicDistribution")
+    return mixed.select(key, (F.array_position(weights, F.array_max(weights)) - 1).cast("int").alias("topic"))
+
+
 def attrition_features(employees: DataFrame, attendance: DataFrame, as_of: date) -> DataFrame:
     """employee_id, tenure_days, salary, days, absences, label (1: left)."""
     seen = attendance.groupBy(F.col("employee_id").alias("e")).agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("status") == "Absent").alias("absences"))
@@ -175,6 +296,21 @@ def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "asset string, position int, column_name string, data_type string")
 
 
+def asset_report(tables: dict[str, DataFrame], results: DataFrame, uses: dict[str, tuple[str, ...]], lineage: dict[str, str]) -> DataFrame:
+    """asset, source, columns, row_count, checks and failed checks that use it: one row for each table."""
+    spark = results.sparkSession
+    about = spark.createDataFrame([(n, lineage.get(n), len(df.columns)) for n, df in tables.items()], "asset string, source string, columns int")
+    sizes = None
+    for n, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("a"), "row_count")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    used = spark.createDataFrame([(name, n) for name, names in uses.items() for n in names], "check_name string, used string")
+    checks = results.join(used, "check_name").groupBy("used").agg(F.count(F.lit(1)).alias("checks"), F.count_if(~F.col("passed")).alias("failed"))
+    zero = F.lit(0).cast("long")
+    out = about.join(sizes, about["asset"] == sizes["a"]).join(checks, about["asset"] == checks["used"], "left")
+    return out.select("asset", "source", "columns", "row_count", F.coalesce("checks", zero).alias("checks"), F.coalesce("failed", zero).alias("failed"))
+
+
 def shared_view(df: DataFrame, columns: Sequence[str], masked: Sequence[str] = (), row_filter: Column | None = None) -> DataFrame:
     """An approved product: some columns, some of them as hashes, some rows."""
     rows = df if row_filter is None else df.where(row_filter)

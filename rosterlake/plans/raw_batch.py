@@ -57,19 +57,19 @@ def table_result(df: DataFrame, entry, system: str, schema: str, source_rows: in
 
 
 def validate_batch(spark: SparkSession, root: str, manifest, system: str, schema: str, expected: list[str], source=None) -> DataFrame:
-    """Results of all tables, and a row for the batch's own errors, if any. A folder that cannot be read is an error row."""
-    rows, failed = [], [("(batch)", False, None, None, None, e)] if (e := batch_errors(manifest, system, schema, expected)) else []
+    """Results of all tables, and a row for the batch's own errors, if any.
+
+    A folder that is missing or cannot be read, by its schema or a broken page, is an error row of its table; the others go on.
+    """
+    done = [("(batch)", False, None, None, None, e)] if (e := batch_errors(manifest, system, schema, expected)) else []
     for t in manifest.tables:
         try:
             df = spark.read.option("basePath", f"{root}/{t.table_name}").parquet(t.output_path).drop("extraction_date", "batch_id", "extraction_id")
+            # One row for each table of the manifest.
+            done.append(tuple(table_result(df, t, system, schema, source.read(t.table_name).count() if source else None).first()))
         except Exception as x:  # noqa: BLE001  missing or broken files are a result, not a crash
-            failed.append((t.table_name, False, t.row_count, None, None, [f"cannot be read: {type(x).__name__}"]))
-            continue
-        rows.append(table_result(df, t, system, schema, source.read(t.table_name).count() if source else None))
-    out = spark.createDataFrame(failed, RESULT)
-    for r in rows:
-        out = out.unionByName(r)
-    return out
+            done.append((t.table_name, False, t.row_count, None, None, [f"cannot be read: {type(x).__name__}"]))
+    return spark.createDataFrame(done, RESULT)
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -19,12 +19,26 @@ REQUIRED = {
     "genders": ("gender_code", "gender_name"),
     "leave_types": ("leave_type_code", "leave_type_name", "description", "paid", "requires_approval"),
     "employment_types": ("employment_type_code", "employment_type_name", "description"),
-    "exit_reasons": ("exit_reason_code", "exit_reason_name", "voluntary", "reasons"),
+    "exit_reasons": ("exit_reason_code", "exit_reason_name", "voluntary", "weight", "reasons"),
     "training_categories": ("training_category_code", "training_category_name", "description"),
     "public_holidays": ("holiday_code", "holiday_name", "month_day", "country_code", "active"),
     "absence_reasons": ("absence_reason_code", "absence_reason_name", "description"),
 }
-UNIQUE = {name: tuple(f for f in fields if f.endswith(("_code", "_name")) and f != "country_code" or f == "month_day") for name, fields in REQUIRED.items()}
+# Fields without repeated values.
+UNIQUE = {
+    "business_units": ("unit_name",),
+    "departments": ("department_name", "cost_center"),
+    "locations": ("office_name",),
+    "job_roles": ("role_name",),
+    "attendance_statuses": ("attendance_status_code", "attendance_status_name"),
+    "genders": ("gender_code", "gender_name"),
+    "leave_types": ("leave_type_code", "leave_type_name"),
+    "employment_types": ("employment_type_code", "employment_type_name"),
+    "exit_reasons": ("exit_reason_code", "exit_reason_name"),
+    "training_categories": ("training_category_code", "training_category_name"),
+    "public_holidays": ("holiday_code", "holiday_name", "month_day"),
+    "absence_reasons": ("absence_reason_code", "absence_reason_name"),
+}
 BOOLEANS = ("paid", "requires_approval", "requires_clock_times", "absence_reason_required", "voluntary", "active")
 
 
@@ -108,7 +122,8 @@ def exit_reasons(df: DataFrame) -> DataFrame:
     }
     parts = [found(df, "exit_reasons", rule, "exit_reason_code", {"reasons": test}) for rule, test in tests.items()]
     if "weight" in df.columns:
-        parts.append(found(df.where("weight IS NOT NULL"), "exit_reasons", "D10 weight", "exit_reason_code", {"weight": F.col("weight") <= 0}))
+        weight = F.expr("try_cast(weight AS double)")
+        parts.append(found(df.where("weight IS NOT NULL"), "exit_reasons", "D10 weight", "exit_reason_code", {"weight": weight.isNull() | (weight <= 0)}))
     return union_all(parts)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -103,19 +104,55 @@ def read_manifest(spark: SparkSession, root: str, batch_id: str | None = None) -
     """The manifest of a batch, or the newest one; fails when required keys are missing."""
     rows = spark.read.schema(MANIFEST).json(root).withColumn("_time", F.col("_metadata.file_modification_time"))
     rows = rows.where(F.col("batch_id") == batch_id) if batch_id else rows
-    row = rows.orderBy(F.desc("_time"), F.desc("batch_id")).limit(1)
-    missing = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in MANIFEST_KEYS]))
-    fault = F.raise_error(F.concat(F.lit("the manifest lacks "), F.array_join(missing, ", "))).cast("string")
-    return row.withColumn("batch_id", F.when(F.size(missing) > 0, fault).otherwise(F.col("batch_id"))).drop("_time")
+    row = rows.orderBy(F.desc("_time"), F.desc("batch_id")).limit(1).drop("_time")
+    found = row.select(*[F.col(k).isNull().alias(k) for k in MANIFEST_KEYS]).first()  # one row
+    if found and (missing := [k for k in MANIFEST_KEYS if found[k]]):
+        raise ValueError("the manifest lacks " + ", ".join(missing))
+    return row
 
 
 def manifest_tables(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.explode("tables").alias("t")).select("t.*")
 
 
-def read_reference(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A reference table with a declared schema; malformed rows fail."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+# The reference sets and their fields.
+REFERENCE_SETS = {
+    "business_units": "unit_name string, description string",
+    "departments": "department_name string, cost_center string, business_unit string",
+    "locations": "country string, city string, office_name string, timezone string",
+    "job_roles": "role_name string, grade string, salary_band_min string, salary_band_max string",
+    "attendance_statuses": "attendance_status_code string, attendance_status_name string, weight string, requires_clock_times string, absence_reason_required string",
+    "genders": "gender_code string, gender_name string",
+    "leave_types": "leave_type_code string, leave_type_name string, description string, paid string, requires_approval string",
+    "employment_types": "employment_type_code string, employment_type_name string, description string",
+    "exit_reasons": "exit_reason_code string, exit_reason_name string, voluntary string, weight string, reasons array<string>",
+    "training_categories": "training_category_code string, training_category_name string, description string",
+    "public_holidays": "holiday_code string, holiday_name string, month_day string, country_code string, active string",
+    "absence_reasons": "absence_reason_code string, absence_reason_name string, description string",
+}
+
+
+def read_reference(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A reference set, a JSON list of objects at root/<name>.json, as text fields that the reference checks judge.
+
+    Raises for an unknown name, a missing or empty file, malformed JSON, and anything but a list of objects.
+    """
+    if name not in REFERENCE_SETS:
+        raise LookupError(f"unknown reference set {name}; there are: {', '.join(sorted(REFERENCE_SETS))}")
+    try:
+        text = spark.read.text(f"{root}/{name}.json", wholetext=True).where(F.trim("value") != "")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no reference set at {root}/{name}.json") from e
+    parts = text.select(F.from_json("value", "array<string>").alias("records"), F.ltrim("value").startswith("[").alias("is_list"))
+    seen = parts.agg(F.count(F.lit(1)).alias("n"), F.bool_and("is_list").alias("lists"), F.bool_or(F.col("records").isNull()).alias("broken"), F.bool_or(F.exists("records", lambda r: r.isNull() | ~F.ltrim(r).startswith("{"))).alias("others")).first()
+    for fault, said in ((not seen.n, "is empty"), (seen.lists is False, "is no list"), (seen.broken, "is malformed"), (seen.others, "holds records that are no objects")):
+        if fault:
+            raise ValueError(f"reference set {name} {said}")
+    return parts.select(F.explode("records").alias("r")).select(F.from_json("r", REFERENCE_SETS[name]).alias("r")).select("r.*")
+
+
+def read_references(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {name: read_reference(spark, root, name) for name in REFERENCE_SETS}
 
 
 SESSION = {"spark.sql.session.timeZone": "UTC", "spark.sql.parquet.mergeSchema": "false", "spark.sql.parquet.filterPushdown": "true", "spark.sql.sources.partitionOverwriteMode": "dynamic"}

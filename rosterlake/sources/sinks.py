@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .lake import MANIFEST, list_files, with_batch_ids
+from .lake import MANIFEST, list_files
 
 LINEAGE = ("_source_system", "_source_schema", "_source_table", "_batch_id", "_extraction_id", "_extracted_at_utc")
 PARTITIONS = ("extraction_date", "batch_id", "extraction_id")
@@ -57,24 +57,39 @@ def extract_batch(spark: SparkSession, source, root: str, tables: list[str], sys
 
 
 def publish_batch(spark: SparkSession, root: str, lake: str, manifest: dict, results: DataFrame) -> dict:
-    """Copies a valid batch to the lake, compares row counts, and writes the upload manifest last."""
+    """Copies a valid batch to the lake, compares rows, and writes the extraction manifest and then the upload manifest.
+
+    Of each table, the number of rows and the sum of their hashes must be those of the batch, and no file may be empty;
+    only the folders of this batch are read.
+    """
     bad = [r.table_name for r in results.where("NOT passed").select("table_name").collect()]
     if bad or manifest["failed_tables"]:
         raise RuntimeError(f"batch {manifest['batch_id']} is not valid: {', '.join(bad + list(manifest['failed_tables']))}")
+    files = None
     for t in manifest["tables"]:
         rows = spark.read.option("basePath", f"{root}/{t['table_name']}").parquet(t["output_path"])
         target = f"{lake}/raw/{t['table_name']}"
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(target)
-        copied = spark.read.parquet(target).where(F.col("_extraction_id") == t["extraction_id"]).count()
-        if copied != t["row_count"]:
-            raise RuntimeError(f"{t['table_name']}: {copied} of {t['row_count']} rows arrived")
-    files = with_batch_ids(list_files(spark, f"{lake}/raw")).where(F.col("batch_id") == manifest["batch_id"])
-    named = files.select(F.regexp_extract("path", r"/raw/([^/]+)/", 1).alias("table_name"), "path", F.col("length").alias("file_size_bytes"))
+        arrived = f"{target}/{t['output_path'].removeprefix(root + '/' + t['table_name'] + '/')}"
+        copied = fingerprint(spark.read.parquet(arrived))
+        if copied.n != t["row_count"] or copied != fingerprint(spark.read.parquet(t["output_path"])):
+            raise RuntimeError(f"{t['table_name']}: {copied.n} rows arrived, not the {t['row_count']} of the batch")
+        found = list_files(spark, arrived).withColumn("table_name", F.lit(t["table_name"]))
+        files = found if files is None else files.unionByName(found)
+    named = files.select("table_name", "path", F.col("length").alias("file_size_bytes"))
+    if not named.where("file_size_bytes = 0").isEmpty():
+        raise RuntimeError(f"batch {manifest['batch_id']}: an empty file arrived")
+    write_manifest(spark, f"{lake}/_manifests", manifest)
     upload = upload_manifest(named, manifest["batch_id"], manifest["source_system"], lake)
     upload.write.mode("append").json(f"{lake}/_uploads")
     return upload.first().asDict(recursive=True)
 
 
+def fingerprint(df: DataFrame):
+    """n and a sum over all rows that does not depend on their order."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("hashes")).first()
+
+
 def upload_manifest(files: DataFrame, batch_id: str, system: str, destination: str) -> DataFrame:
     """One row with the totals and the list of files of a batch."""
     got = files.agg(F.count(F.lit(1)).cast("int").alias("uploaded_files"), F.coalesce(F.sum("file_size_bytes"), F.lit(0)).cast("long").alias("uploaded_bytes"), F.sort_array(F.collect_list(F.struct("table_name", "path", "file_size_bytes"))).alias("files"))

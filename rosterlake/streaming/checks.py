@@ -42,6 +42,21 @@ def rules_on_stream(stream: DataFrame, name: str, rules: list[Rule], others: dic
     return q
 
 
+def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], order: list[str], op: str = "op") -> DataFrame:
+    """target after a feed of changes: of each key the last one counts; `D` deletes the row, anything else replaces or adds it."""
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), F.struct(*order)).alias("r")).select("r.*")
+    same = [target[k].eqNullSafe(last[k]) for k in keys]
+    return target.join(last, same, "left_anti").unionByName(last.where(F.col(op) != "D").select(*target.columns))
+
+
+def change_stream(stream: DataFrame, keys: list[str], order: list[str], load: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], checkpoint: str, op: str = "op") -> StreamingQuery:
+    """Applies a change feed, batch by batch, to a table that load reads and store writes anew."""
+    each = lambda batch, number: store(apply_changes(load(), batch, keys, order, op), number)
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def upsert_stream(stream: DataFrame, keys: list[str], order: list[str], load: Callable[[], DataFrame], store: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Merges the latest row of each key of every micro-batch into a table that load reads and store writes anew."""
 

@@ -10,3 +10,10 @@ def test_hierarchy_has_every_level(spark, tmp_path):
     assert {tuple(r) for r in derive.hierarchy_levels(people, f"{tmp_path}/all").collect()} == want
     assert {tuple(r) for r in derive.hierarchy_levels(people, f"{tmp_path}/some", depth=3).collect()} == {r for r in want if r[1] < 3}
     assert derive.hierarchy_levels(people.limit(0), f"{tmp_path}/none").count() == 0
+
+
+def test_emails_are_unique(spark):
+    people = spark.createDataFrame([(1, "A B"), (2, "A B"), (3, "A B2"), (4, "A B"), (5, "A B2"), (6, "A B02"), (7, "C D")], "employee_id long, name string")
+    got = {r.employee_id: r.email.split("@")[0] for r in derive.unique_emails(people).collect()}
+    assert len(set(got.values())) == 7 and (got[1], got[3], got[6], got[7]) == ("a.b", "a.b2", "a.b02", "c.d")
+    assert got[2] == "a.b3" and derive.unique_emails(people.limit(0)).count() == 0
