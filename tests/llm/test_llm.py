@@ -348,6 +348,26 @@ def test_top_k(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_top_k_of_odd_rows(spark):
+    r = np.random.default_rng(1)
+    rows = [(int(r.integers(0, 60)), np.round(r.normal(size=int(d)) + 9 * (i % 3), 2).tolist()) for i, d in enumerate(r.choice([3, 5], 200))]
+    rows += [rows[0]] * 3 + [(0, [0.5, 0.5, 0.5]), (0, [0.5, 0.5, 0.5]), (20, [9.0] * 7), (None, [1.0] * 3), (40, [])]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS x", "2 AS cell", "3 AS dim"))
+    usable = [(i, [math.floor(64 * c) for c in x]) for i, x in rows if i is not None and x]
+    want = []
+    for a, (i, x) in enumerate(usable):
+        if i % 20 == 0:
+            found = sorted((-sum(p * q for p, q in zip(x, y)), j) for b, (j, y) in enumerate(usable) if b != a and len(x) == len(y))[:7]
+            want += [(i, n + 1, j, -score) for n, (score, j) in enumerate(found)]
+    for shard, block in ((4096, 512), (16, 3)):
+        got = topk.top_k(v, v.where("vec_id % 20 = 0"), k=7, shard_rows=shard, block_queries=block)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    with pytest.raises(Exception, match="would not be exact"):
+        big = spark.createDataFrame([(1, [2**22])], "vec_id long, x array<long>")
+        topk.top_k(big, big).collect()
+
+
 def test_toxicity(spark):
     bad = ["scum", "idiot", "loser"]
     rows = [(i, prose(i, 60) + (" " + bad[i % 3] + " " + bad[(i + 1) % 3] if i % 4 == 0 else ""), "s") for i in range(400)] + [(1000, None, "s"), (1001, "", "s")]
@@ -558,7 +578,77 @@ def test_mixing(spark):
     assert mixing.mixed(tagged.limit(0)).count() == mixing.mix(tagged.limit(0)).count() == 0
 
 
-def test_pipeline_stages():
+def test_chat_of_odd_rows(spark):
+    r = random.Random(4)
+    bits = [r"\### Assistant: ", "</turn>", "<turn ", "<part>", "\\", "\n", "text ", "<turn user>", ">\n"]
+    rows = [(i % 7 if i % 5 else None, r.choice([None, 0, 1, 2, 2]), r.choice(["user", "assistant", None, "sys tem>\n"]), r.choice([None, "", "".join(r.choices(bits, k=6))])) for i in range(200)]
+    rows += [(9, 1, "assistant", "same")] * 3 + [(10, k, "assistant" if k % 2 else "user", "long " * 20) for k in range(3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS turns", "2 AS formatted", "3 AS starts", "4 AS marked")
+    got = {x.conv_id: x for x in chat.read_chats(chat.format_chats(turns)).collect()}
+    assert got.keys() == {x[0] for x in rows}
+    for key, x in got.items():
+        own = sorted(((t is not None, t or 0, role or "", chat_escape(text or ""), text or "") for k, t, role, text in rows if k == key))
+        assert [(t.role, t.text) for t in x.turns] == [(y[2], y[4]) for y in own]
+        assert list(x.loss_texts) == [y[4] for y in own if y[2] == "assistant"]
+    assert chat.format_chats(turns.limit(0)).count() == 0
+
+
+def chat_escape(text):
+    return re.sub(chat.CONTROL, r"\\\1", text)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Planted toxic, copied and leaked rows, null and repeated ids, against the same decisions made without Spark's help."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_ids"]
+    assert corpus_pipeline.ORACLE_SQL is None
+    bad, items = ["scum idiot", "idiot loser", "loser scum"], [prose(3000 + i, 30) for i in range(4)]
+    kinds, rows = {}, []
+
+    def add(key, text, kind, source="a"):
+        rows.append((key, text, "en", source, len(text or "")))
+        kinds.setdefault(kind, []).append(text)
+
+    for i in range(200):
+        add(i, prose(i, 60), "clean", "abc"[i % 3])
+        if i % 4 == 0:
+            add(1000 + i, f"{prose(4000 + i, 60)} {bad[i // 4 % 3]}", "toxic")
+    add(None, f"{prose(4999, 60)} scum idiot", "toxic")
+    add(5, f"{prose(4998, 60)} loser idiot", "toxic")  # the clean row of this id stays
+    for i in range(10):
+        base = prose(5000 + i, 100)
+        add(2000 + 2 * i, base, "clean")
+        add(2001 + 2 * i, base if i % 2 else base + " end", "copy")
+    add(None, prose(5000, 100), "copy")
+    add(2000, prose(5000, 100), "copy")  # repeated row
+    for i, item in enumerate(items):
+        add(3000 + i if i else None, f"{prose(6000 + i, 40)} {item} {prose(7000 + i, 40)}", "leaked")
+    add(4000, None, "empty")
+    add(4001, "", "empty")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, int(r[1] in kinds["toxic"])) for r in rows if r[0] is not None and r[0] != 5], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, str(tmp_path)), "stage")
+        seen.append(docs.collect())
+    assert all(x.__fields__ == ["doc_id", "text", "lang", "source", "n_chars"] for kept in seen[:4] for x in kept)
+    texts = lambda kept: sorted(x.text or "" for x in kept)
+    want = sorted(r[1] or "" for r in rows if r[1] not in kinds["toxic"])
+    assert texts(seen[0]) == want
+    brute = brute_components([(k, r[1], r[3]) for k, r in enumerate(rows) if r[1] not in kinds["toxic"]], 5, 80, 100)
+    assert len(seen[1]) == len({c for _, n, c in brute if n}) + sum(n == 0 for _, n, _ in brute)
+    assert texts(seen[1]) == sorted(kinds["clean"] + kinds["leaked"] + ["", ""])
+    assert texts(seen[2]) == sorted(kinds["clean"] + ["", ""])
+    sizes = {s: sum(len((x.text or "").split()) for x in seen[2] if x.source == s) for s in "abc"}
+    for s, target in brute_targets(sizes).items():
+        copies = [x.text for x in seen[3] if x.source == s]
+        assert abs(sum(len(t.split()) for t in copies) - target) <= 100 and all(copies.count(t) <= 3 for t in set(copies))
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    crc = lambda t: zlib.crc32(np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes())
+    assert sorted((x.doc_id, x.ids_crc32) for x in seen[4]) == sorted((x.doc_id, crc(x.text)) for x in seen[3])
+    again = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, seen[4]), key=repr)
