@@ -244,9 +244,9 @@ def test_html_scan():
 @pytest.mark.parametrize("piece", ['<a href="', "<a '", "<p x='", "<b", "</script", "<!--", "<![CDATA[", "<a \"\"", "<i>", "<p>", "<span hidden>x", "<li>", "&#1", "<div>", "<table><tr><td>", "<script>"])
 def test_html_takes_linear_time(piece):
     began = time.time()
-    html_text.main_text("<p>x</p>" + piece * (1_000_000 // len(piece)))
-    html_text.main_text("<p>x</p><div id=" + piece * (1_000_000 // len(piece)) + ">")
-    assert time.time() - began < 40
+    html_text.main_text("<p>x</p>" + piece * (300_000 // len(piece)))
+    html_text.main_text("<p>x</p><div id=" + piece * (300_000 // len(piece)) + ">")
+    assert time.time() - began < 20
 
 
 def without_menus(n):
@@ -511,7 +511,7 @@ def test_jaccard_of_odd_rows(spark):
 
 def test_near_copies_cost_pairs_in_proportion(spark, monkeypatch):
     base, rows = prose(77, 200).split(), []
-    for i in range(3000):
+    for i in range(1000):
         w, r = list(base), random.Random(i)
         w[r.randrange(len(w))] = f"edit{i}"
         rows.append((i, " ".join(w), "s"))
@@ -523,8 +523,8 @@ def test_near_copies_cost_pairs_in_proportion(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "compared", counting)
     got = ngram_join.jaccard_classes(docs(spark, rows), 3, 90, 100).collect()
-    assert len(got) == 3000 and {r.component_id for r in got} == {0}
-    assert sum(sent) < 30_000, sent
+    assert len(got) == 1000 and {r.component_id for r in got} == {0}
+    assert sum(sent) < 10_000, sent
 
 
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
@@ -582,7 +582,7 @@ def test_chat_of_odd_rows(spark):
     r = random.Random(4)
     bits = [r"\### Assistant: ", "</turn>", "<turn ", "<part>", "\\", "\n", "text ", "<turn user>", ">\n"]
     rows = [(i % 7 if i % 5 else None, r.choice([None, 0, 1, 2, 2]), r.choice(["user", "assistant", None, "sys tem>\n"]), r.choice([None, "", "".join(r.choices(bits, k=6))])) for i in range(200)]
-    rows += [(9, 1, "assistant", "same")] * 3 + [(10, k, "assistant" if k % 2 else "user", "long " * 20) for k in range(3000)]
+    rows += [(9, 1, "assistant", "same")] * 3 + [(10, k, "assistant" if k % 2 else "user", "long " * 20) for k in range(1000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS turns", "2 AS formatted", "3 AS starts", "4 AS marked")
     got = {x.conv_id: x for x in chat.read_chats(chat.format_chats(turns)).collect()}
     assert got.keys() == {x[0] for x in rows}
