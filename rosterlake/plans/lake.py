@@ -247,16 +247,24 @@ def lexicon_labels(texts: DataFrame, lexicon: DataFrame, key: str, text: str) ->
 
 
 def topics(texts: DataFrame, key: str, text: str, k: int = 5, terms: int = 1000, seed: int = 1) -> DataFrame:
-    """key, topic: the heaviest of k topics that an online LDA model finds over the `terms` most frequent words."""
+    """key, topic: the heaviest of k topics that an online LDA model finds over the `terms` most frequent words.
+
+    Only words of two texts or more count; a text without any (null or empty ones too) has a null topic, the first of equally
+    heavy ones goes. Without such words at all every topic is null.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     words = texts.select(key, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
+    frequent = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where("count >= 2")
+    if frequent.isEmpty():
+        return texts.select(key, F.lit(None).cast("int").alias("topic"))
     vectors = CountVectorizer(inputCol="words", outputCol="features", vocabSize=terms, minDF=2).fit(words).transform(words)
     mixed = LDA(k=k, maxIter=5, optimizer="online", seed=seed).fit(vectors).transform(vectors)
     weights = vector_to_array("topicDistribution")
-    return mixed.select(key, (F.array_position(weights, F.array_max(weights)) - 1).cast("int").alias("topic"))
+    heaviest = (F.array_position(weights, F.array_max(weights)) - 1).cast("int")
+    return mixed.select(key, F.when(F.array_max(weights) > 0, heaviest).alias("topic"))
 
 
 def attrition_features(employees: DataFrame, attendance: DataFrame, as_of: date) -> DataFrame:
