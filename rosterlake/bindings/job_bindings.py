@@ -333,6 +333,57 @@ def p10_model(t) -> DataFrame:
     return lake.attrition_risk(features, lake.attrition_model(features)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("risk"), 4).alias("risk"))
 
 
+MIDDLE, TURN = date(2024, 1, 16), date(1998, 7, 1)
+
+
+def p10_burnout(t) -> DataFrame:
+    return lake.burnout_features(t["employees"], t["attendance"], t["leave_requests"], t["employee_surveys"], MIDDLE)
+
+
+def p10_promotion(t) -> DataFrame:
+    return lake.promotion_features(t["employees"], t["promotions"], t["transfers"], t["leave_requests"], TURN)
+
+
+def p10_performance(t) -> DataFrame:
+    return lake.performance_features(t["employees"], t["performance_reviews"], t["attendance"], t["training"], MIDDLE)
+
+
+def p10_risk(t, make, columns) -> DataFrame:
+    features = make(t)
+    return lake.attrition_risk(features, lake.attrition_model(features, columns)).select("employee_id", "label", F.round("risk", 4).alias("risk"))
+
+
+def p10_ratings(t) -> DataFrame:
+    features = p10_performance(t)
+    return lake.expected(features, lake.rating_model(features)).select("employee_id", "label", F.round("expected", 4).alias("expected"))
+
+
+def p10_forecast(t) -> DataFrame:
+    pay = t["payroll"].join(t["employees"].select("employee_id", "department_id"), "employee_id")
+    return lake.trend_forecast(lake.monthly(pay, "department_id", "pay_period_start", c("gross_pay") / 1000), "department_id")
+
+
+BURNOUT = """WITH a AS (SELECT employee_id, count(*) AS days, count(*) FILTER (WHERE status = 'Absent') AS absences, round(coalesce(sum((clock_out_sec - clock_in_sec + 86400) % 86400), 0) / 3600, 6) AS hours FROM attendance WHERE work_date < DATE '2024-01-16' GROUP BY 1),
+l AS (SELECT employee_id, count(*) AS leaves FROM leave_requests WHERE start_date < DATE '2024-01-16' GROUP BY 1),
+w AS (SELECT employee_id, round(avg(CAST(wellbeing_score AS DOUBLE)) FILTER (WHERE survey_date < DATE '2024-01-16'), 6) AS wellbeing, round(avg(CAST(wellbeing_score AS DOUBLE)) FILTER (WHERE survey_date >= DATE '2024-01-16'), 6) AS later FROM employee_surveys GROUP BY 1)
+SELECT e.employee_id, coalesce(days, 0) AS days, coalesce(absences, 0) AS absences, coalesce(hours, 0) AS hours, coalesce(leaves, 0) AS leaves, coalesce(wellbeing, 2.5) AS wellbeing, CAST(later <= 2.5 AS INT) AS label
+FROM employees AS e LEFT JOIN a USING (employee_id) LEFT JOIN l USING (employee_id) JOIN w USING (employee_id) WHERE later IS NOT NULL"""
+PROMOTION = """WITH p AS (SELECT employee_id, count(*) FILTER (WHERE promotion_date < DATE '1998-07-01') AS promotions, count(*) FILTER (WHERE promotion_date >= DATE '1998-07-01') AS later FROM promotions GROUP BY 1),
+m AS (SELECT employee_id, count(*) AS transfers FROM transfers WHERE transfer_date < DATE '1998-07-01' GROUP BY 1),
+l AS (SELECT employee_id, count(*) AS leaves FROM leave_requests WHERE start_date < DATE '1998-07-01' GROUP BY 1)
+SELECT e.employee_id, CAST(date_diff('day', hire_date, DATE '1998-07-01') AS INT) AS tenure_days, CAST(annual_salary AS DOUBLE) AS salary, coalesce(promotions, 0) AS promotions, coalesce(transfers, 0) AS transfers, coalesce(leaves, 0) AS leaves, CAST(coalesce(later, 0) > 0 AS INT) AS label
+FROM employees AS e LEFT JOIN p USING (employee_id) LEFT JOIN m USING (employee_id) LEFT JOIN l USING (employee_id)"""
+PERFORMANCE = """WITH r AS (SELECT employee_id, round(avg(CAST(overall_rating AS DOUBLE)) FILTER (WHERE review_date < DATE '2024-01-16'), 6) AS rating, count(*) FILTER (WHERE review_date < DATE '2024-01-16') AS reviews, round(avg(CAST(overall_rating AS DOUBLE)) FILTER (WHERE review_date >= DATE '2024-01-16'), 6) AS label FROM performance_reviews GROUP BY 1),
+a AS (SELECT employee_id, count(*) FILTER (WHERE status = 'Absent') AS absences FROM attendance WHERE work_date < DATE '2024-01-16' GROUP BY 1),
+c AS (SELECT employee_id, count(*) AS courses FROM training WHERE completion_date < DATE '2024-01-16' GROUP BY 1)
+SELECT e.employee_id, rating, reviews, coalesce(absences, 0) AS absences, coalesce(courses, 0) AS courses, label
+FROM employees AS e JOIN r USING (employee_id) LEFT JOIN a USING (employee_id) LEFT JOIN c USING (employee_id) WHERE rating IS NOT NULL AND label IS NOT NULL"""
+FORECAST = """WITH s AS (SELECT department_id, year(pay_period_start) * 12 + month(pay_period_start) - 1 AS month, CAST(sum(gross_pay) AS DOUBLE) / 1000 AS value FROM payroll JOIN employees USING (employee_id) GROUP BY 1, 2),
+f AS (SELECT department_id, CASE WHEN count(*) > 1 THEN regr_slope(value, month) ELSE 0 END AS slope, avg(value) AS mean_value, avg(month) AS mean_month, max(month) AS last FROM s GROUP BY 1),
+x AS (SELECT *, last + k AS month FROM f, (VALUES (1), (2), (3)) AS n(k))
+SELECT department_id, make_date(month // 12, month % 12 + 1, 1) AS month_start, round(mean_value + slope * (month - mean_month), 3) AS forecast FROM x"""
+
+
 def facts(t) -> DataFrame:
     rows = lake.point_in_time(t["attendance"], scd(t), "employee_id", "work_date", ("new_department_id",))
     return rows.groupBy("at_new_department_id").agg(F.count(F.lit(1)).alias("n"), F.sum("attendance_id").alias("ids"))
@@ -429,6 +480,13 @@ BOUND = {
     "P09_sentiment": (("documents", "region"), p9_sentiment, r"SELECT doc_id, CAST(coalesce(sum(CASE w WHEN 'the' THEN 1 WHEN 'and' THEN -1 WHEN 'of' THEN 2 END), 0) AS BIGINT) AS score, count(*) FILTER (WHERE w IN ('the', 'and', 'of')) AS hits FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents) GROUP BY 1"),
     "P10_features": (("employees", "attendance"), lambda t: lake.attrition_features(t["employees"], t["attendance"], AS_OF), "WITH a AS (SELECT employee_id, count(*) AS days, count(*) FILTER (WHERE status = 'Absent') AS absences FROM attendance GROUP BY 1) SELECT e.employee_id, CAST(date_diff('day', hire_date, least(coalesce(termination_date, DATE '2024-06-30'), DATE '2024-06-30')) AS INT) AS tenure_days, CAST(annual_salary AS DOUBLE) AS salary, coalesce(days, 0) AS days, coalesce(absences, 0) AS absences, CAST(employment_status = 'Terminated' AS INT) AS label FROM employees AS e LEFT JOIN a USING (employee_id)"),
     "P10_model": (("employees", "attendance"), p10_model, None),
+    "P10_burnout_features": (("employees", "attendance", "leave_requests", "employee_surveys"), p10_burnout, BURNOUT),
+    "P10_promotion_features": (("employees", "promotions", "transfers", "leave_requests"), p10_promotion, PROMOTION),
+    "P10_performance_features": (("employees", "performance_reviews", "attendance", "training"), p10_performance, PERFORMANCE),
+    "P10_burnout_risk": (("employees", "attendance", "leave_requests", "employee_surveys"), lambda t: p10_risk(t, p10_burnout, lake.BURNOUT), None),
+    "P10_promotion_chance": (("employees", "promotions", "transfers", "leave_requests"), lambda t: p10_risk(t, p10_promotion, lake.PROMOTION), None),
+    "P10_expected_rating": (("employees", "performance_reviews", "attendance", "training"), p10_ratings, None),
+    "P10_payroll_forecast": (("payroll", "employees"), p10_forecast, FORECAST),
     "P11_catalogue": (("orders", "customer"), lambda t: lake.catalogue({"orders": t["orders"], "customer": t["customer"]}).groupBy("asset").agg(F.count(F.lit(1)).alias("columns"), F.min("column_name").alias("first")), "SELECT 'orders' AS asset, CAST(6 AS BIGINT) AS columns, 'o_custkey' AS first UNION ALL SELECT 'customer', 5, 'c_acctbal'"),
     "P13_shared_view": (("customer",), lambda t: lake.shared_view(t["customer"], ("c_custkey", "c_name", "c_nationkey"), ("c_name",), c("c_acctbal") > 0), "SELECT c_custkey, sha256(c_name) AS c_name, c_nationkey FROM customer WHERE c_acctbal > 0"),
 }

@@ -277,24 +277,120 @@ def attrition_features(employees: DataFrame, attendance: DataFrame, as_of: date)
 
 
 FEATURES = ("tenure_days", "salary", "days", "absences")
+BURNOUT = ("days", "absences", "hours", "leaves", "wellbeing")
+PROMOTION = ("tenure_days", "salary", "promotions", "transfers", "leaves")
+PERFORMANCE = ("rating", "reviews", "absences", "courses")
 
 
-def attrition_model(features: DataFrame) -> dict[str, float]:
-    """Coefficients of a logistic regression on the features, and its intercept under the name ''."""
-    from pyspark.ml.classification import LogisticRegression
+def with_history(employees: DataFrame, *parts: DataFrame) -> DataFrame:
+    """employees with the columns of parts, each of a row for an employee_id; a count that is missing is 0, a mean stays null."""
+    for part in parts:
+        rows = part.withColumnRenamed("employee_id", "_e")
+        employees = employees.join(rows, employees["employee_id"] == rows["_e"], "left").drop("_e")
+        employees = employees.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n, kind in part.dtypes if kind == "bigint"})
+    return employees
+
+
+def past(rows: DataFrame, at: str, since: date, *aggregates: Column) -> DataFrame:
+    """employee_id and the aggregates of an employee's rows before a day."""
+    return rows.where(F.col(at) < F.lit(since)).groupBy("employee_id").agg(*aggregates)
+
+
+def mean_of(column: str) -> Column:
+    return F.round(F.avg(F.col(column).cast("double")), 6)
+
+
+def burnout_features(employees: DataFrame, attendance: DataFrame, leave: DataFrame, surveys: DataFrame, since: date, low: float = 2.5) -> DataFrame:
+    """employee_id, BURNOUT, label (1: mean wellbeing of the surveys from `since` on is at most `low`).
+
+    Features come from before `since`; employees without a later survey have no label and no row. Without an earlier survey
+    wellbeing is `low`; a row with a missing clock time adds no hours.
+    """
+    count = F.count(F.lit(1))
+    worked = F.pmod(F.col("clock_out_sec") - F.col("clock_in_sec"), F.lit(86400))
+    seen = past(attendance, "work_date", since, count.alias("days"), F.count_if(F.col("status") == "Absent").alias("absences"), F.round(F.coalesce(F.sum(worked), F.lit(0)) / 3600, 6).alias("hours"))
+    before = past(surveys, "survey_date", since, mean_of("wellbeing_score").alias("wellbeing"))
+    later = surveys.where(F.col("survey_date") >= F.lit(since)).groupBy("employee_id").agg(mean_of("wellbeing_score").alias("later"))
+    rows = with_history(employees.select("employee_id"), seen, past(leave, "start_date", since, count.alias("leaves")), before, later).where("later IS NOT NULL")
+    return rows.select("employee_id", "days", "absences", F.coalesce("hours", F.lit(0.0)).alias("hours"), "leaves", F.coalesce("wellbeing", F.lit(low)).alias("wellbeing"), (F.col("later") <= low).cast("int").alias("label"))
+
+
+def promotion_features(employees: DataFrame, promotions: DataFrame, transfers: DataFrame, leave: DataFrame, since: date) -> DataFrame:
+    """employee_id, PROMOTION, label (1: promoted on `since` or later); tenure is negative for those hired later."""
+    count = F.count(F.lit(1))
+    parts = (past(promotions, "promotion_date", since, count.alias("promotions")), past(transfers, "transfer_date", since, count.alias("transfers")), past(leave, "start_date", since, count.alias("leaves")))
+    later = promotions.where(F.col("promotion_date") >= F.lit(since)).groupBy("employee_id").agg(count.alias("later"))
+    rows = with_history(employees.select("employee_id", "hire_date", "annual_salary"), *parts, later)
+    return rows.select("employee_id", F.date_diff(F.lit(since), "hire_date").alias("tenure_days"), F.col("annual_salary").cast("double").alias("salary"), "promotions", "transfers", "leaves", (F.col("later") > 0).cast("int").alias("label"))
+
+
+def performance_features(employees: DataFrame, reviews: DataFrame, attendance: DataFrame, training: DataFrame, since: date) -> DataFrame:
+    """employee_id, PERFORMANCE, label (mean rating of the reviews from `since` on) of employees with reviews before and after."""
+    count = F.count(F.lit(1))
+    before = past(reviews, "review_date", since, mean_of("overall_rating").alias("rating"), count.alias("reviews"))
+    later = reviews.where(F.col("review_date") >= F.lit(since)).groupBy("employee_id").agg(mean_of("overall_rating").alias("label"))
+    parts = (before, past(attendance, "work_date", since, F.count_if(F.col("status") == "Absent").alias("absences")), past(training, "completion_date", since, count.alias("courses")), later)
+    return with_history(employees.select("employee_id"), *parts).where("rating IS NOT NULL AND label IS NOT NULL").select("employee_id", *PERFORMANCE, "label")
+
+
+def complete(features: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows that a model can learn from, as a vector and a label."""
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
-    model = LogisticRegression(maxIter=20).fit(rows)
-    return dict(zip(FEATURES, map(float, model.coefficients))) | {"": float(model.intercept)}
+    rows = features.dropna(subset=[*columns, "label"])
+    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows)
 
 
-def attrition_risk(features: DataFrame, model: dict[str, float]) -> DataFrame:
-    """features with risk, the model's probability, as a plain expression."""
+def attrition_model(features: DataFrame, columns: Sequence[str] = FEATURES) -> dict[str, float]:
+    """Coefficients of a logistic regression of label (0, 1) on the columns, and its intercept under the name ''.
+
+    Rows with a null are left out; without any row that is whole, Spark raises an error.
+    """
+    from pyspark.ml.classification import LogisticRegression
+
+    model = LogisticRegression(maxIter=20).fit(complete(features, columns))
+    return dict(zip(columns, map(float, model.coefficients))) | {"": float(model.intercept)}
+
+
+def rating_model(features: DataFrame, columns: Sequence[str] = PERFORMANCE) -> dict[str, float]:
+    """The same of a linear regression of a number."""
+    from pyspark.ml.regression import LinearRegression
+
+    model = LinearRegression(regParam=1e-6).fit(complete(features, columns))
+    return dict(zip(columns, map(float, model.coefficients))) | {"": float(model.intercept)}
+
+
+def expected(features: DataFrame, model: dict[str, float], name: str = "expected") -> DataFrame:
+    """features with a linear model's value, as a plain expression; null where a feature is null."""
     score = F.lit(model[""])
-    for name in FEATURES:
-        score = score + F.col(name) * model[name]
-    return features.withColumn("risk", 1 / (1 + F.exp(-score)))
+    for c, weight in model.items():
+        if c:
+            score = score + F.col(c) * weight
+    return features.withColumn(name, score)
+
+
+def attrition_risk(features: DataFrame, model: dict[str, float]) -> DataFrame:
+    """features with risk, a logistic model's probability."""
+    return expected(features, model, "risk").withColumn("risk", 1 / (1 + F.exp(-F.col("risk"))))
+
+
+def monthly(rows: DataFrame, key: str, at: str, value: Column) -> DataFrame:
+    """key, month (months since the year 0), value summed; rows without a date are left out."""
+    month = F.year(at) * 12 + F.month(at) - 1
+    return rows.where(F.col(at).isNotNull()).groupBy(key, month.alias("month")).agg(F.sum(value).alias("value"))
+
+
+def trend_forecast(series: DataFrame, key: str, ahead: int = 3) -> DataFrame:
+    """key, month_start, forecast: the least-squares line of a key's months, drawn `ahead` months beyond its last one.
+
+    A key of one month keeps its value. Months without rows are not in the series, so they pull no line down.
+    """
+    value, month = F.col("value").cast("double"), F.col("month").cast("double")
+    fit = series.groupBy(key).agg(F.regr_slope(value, month).alias("slope"), F.avg(value).alias("mean_value"), F.avg(month).alias("mean_month"), F.max("month").alias("last"))
+    rows = fit.withColumn("month", F.explode(F.sequence(F.col("last") + 1, F.col("last") + ahead)))
+    start = F.make_date(F.floor(F.col("month") / 12).cast("int"), (F.col("month") % 12 + 1).cast("int"), F.lit(1))
+    rise = F.coalesce(F.nanvl("slope", F.lit(0.0)), F.lit(0.0)) * (F.col("month") - F.col("mean_month"))
+    return rows.select(key, start.alias("month_start"), F.round(F.col("mean_value") + rise, 3).alias("forecast"))
 
 
 def catalogue(tables: dict[str, DataFrame]) -> DataFrame:

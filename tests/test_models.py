@@ -1,6 +1,7 @@
-"""Models on small rows: topics of known groups, attrition on rows that were held out."""
+"""Models on small rows: topics of known groups, risks and ratings of rows that were held out, features and trends of odd rows."""
 
 import random
+from datetime import date
 
 from rosterlake.plans import lake
 
@@ -34,3 +35,36 @@ def test_attrition_of_held_out_rows(spark):
     risk = {r.employee_id: (r.label, r.risk) for r in lake.attrition_risk(features.where("employee_id >= 200"), model).collect()}
     right = sum((p >= 0.5) == bool(label) for label, p in risk.values())
     assert len(risk) == 200 and right >= 190
+
+
+def test_ratings_of_held_out_rows(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        rating, absences = rng.uniform(1, 5), rng.randint(0, 9)
+        rows.append((i, rating, rng.randint(1, 6), absences, rng.randint(0, 4), 0.5 + 0.8 * rating - 0.05 * absences + rng.uniform(-0.05, 0.05)))
+    features = spark.createDataFrame([*rows, (300, None, 1, 0, 0, 2.0)], "employee_id long, rating double, reviews long, absences long, courses long, label double")
+    model = lake.rating_model(features.where("employee_id < 150 OR employee_id = 300"))
+    got = {r.employee_id: r for r in lake.expected(features, model).collect()}
+    assert max(abs(got[i].expected - got[i].label) for i in range(150, 300)) < 0.1
+    assert got[300].expected is None
+
+
+def test_features_take_nothing_from_later(spark):
+    """Rows of the first half alone give the features, those of the second half the label."""
+    since = date(2024, 1, 16)
+    early, late = date(2024, 1, 10), date(2024, 1, 16)
+    employees = spark.createDataFrame([(1,), (2,), (3,), (None,)], "employee_id int")
+    attendance = spark.createDataFrame([(1, early, "Present", 0, 7200), (1, early, "Absent", None, None), (1, late, "Absent", 0, 3600), (None, early, "Present", 0, 3600)], "employee_id int, work_date date, status string, clock_in_sec int, clock_out_sec int")
+    leave = spark.createDataFrame([(2, early), (2, late)], "employee_id int, start_date date")
+    surveys = spark.createDataFrame([(1, early, 4.0), (1, late, 2.0), (2, late, 5.0), (3, early, 1.0)], "employee_id int, survey_date date, wellbeing_score double")
+    got = sorted(tuple(r) for r in lake.burnout_features(employees, attendance, leave, surveys, since).collect())
+    assert got == [(1, 2, 1, 2.0, 0, 4.0, 1), (2, 0, 0, 0.0, 1, 2.5, 0)]
+    assert lake.burnout_features(employees, attendance.limit(0), leave.limit(0), surveys.limit(0), since).count() == 0
+
+
+def test_trends(spark):
+    rows = [(1, date(2023, 11, 5), 10.0), (1, date(2023, 11, 6), 2.0), (1, date(2023, 12, 1), 14.0), (2, date(2024, 3, 1), 7.0), (2, None, 9.0), (None, date(2024, 1, 1), 1.0)]
+    series = lake.monthly(spark.createDataFrame(rows, "k int, at date, v double"), "k", "at", lake.F.col("v"))
+    got = {tuple(r) for r in lake.trend_forecast(series, "k", 2).collect()}
+    assert got == {(1, date(2024, 1, 1), 16.0), (1, date(2024, 2, 1), 18.0), (2, date(2024, 4, 1), 7.0), (2, date(2024, 5, 1), 7.0), (None, date(2024, 2, 1), 1.0), (None, date(2024, 3, 1), 1.0)}

@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = [
     "Q2_run_rules_fused", "Q3_summary", "R31_employee_current_role_and_salary", "D10_reasons", "J3_anti_join", "N1_latest_per_key", "K6_K7_L2_publish", "K8_report", "K9_upsert", "S10_reference_sets",
     "V01_manifest_keys", "V01_V14_validate_batch", "V02_V12_failing_batches", "V14_summary_and_gate", "L1_validate", "L3_full_refresh", "L4_reference_refresh", "W03_prorated_pay", "W15_apply_events", "W25_hires_to_employees", "W26_other_manager",
-    "P04_scd2", "P04_scd2_incremental", "P05_dim_manager", "P06_fact_surveys", "P07_headcount", "P07_movement", "P07_working_time", "P09_keywords", "P11_assets", "P12_stream_windows", "P12_stream_upsert",
+    "P04_scd2", "P04_scd2_incremental", "P05_dim_manager", "P06_fact_surveys", "P07_headcount", "P07_movement", "P07_working_time", "P09_keywords", "P10_burnout_features", "P10_promotion_features", "P10_performance_features", "P10_payroll_forecast", "P11_assets", "P12_stream_windows", "P12_stream_upsert",
 ]
 
 
