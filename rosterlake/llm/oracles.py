@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import centroids, licenses
 
 CHAT = r"""
 WITH t AS (
@@ -96,5 +96,67 @@ def license_sql() -> str:
     return LICENSES.replace("{templates}", ", ".join(map(row, range(len(index.sets)))))
 
 
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS place FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT k.*, s.first IS NOT NULL AND s.first <> doc_id AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+# The checksum of each different word is the fold of its bytes over crc32's table of 256 values, which is made by its rule.
+RESAMPLING = r"""
+WITH w AS MATERIALIZED (
+  SELECT 's' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 't', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+u AS MATERIALIZED (SELECT side, id, unnest(w) AS word FROM w),
+table_ AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, step: xor(c >> 1, (c & 1) * 3988292384), i)) AS t),
+crc AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS INT), 2))::BIGINT), lambda c, b: xor(c >> 8, t[CAST(1 + (xor(c, b) & 255) AS INT)]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM u), table_),
+f AS MATERIALIZED (SELECT side, id, bucket FROM u JOIN crc USING (word)),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 's') AS s, count(*) FILTER (WHERE side = 't') AS t FROM f GROUP BY bucket),
+total AS (SELECT count(*) FILTER (WHERE side = 's') AS s, count(*) FILTER (WHERE side = 't') AS t FROM f),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(n.t + 1 AS DOUBLE) * (total.s + 10000) / (CAST(n.s + 1 AS DOUBLE) * (total.t + 10000)))) AS BIGINT) AS gain FROM n, total),
+d AS (SELECT id AS doc_id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM f JOIN g USING (bucket) WHERE side = 's' GROUP BY id),
+x AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 20)
+SELECT x.*, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+START = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS k, x FROM v) WHERE k < {count})"""
+ASSIGN = """,
+a{i} AS MATERIALIZED (
+  SELECT vec_id, x, k, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS r FROM (
+      SELECT v.vec_id, v.x, c.k, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT) AS d FROM v, c{i} AS c)) WHERE r = 1)"""
+MOVE = """,
+m{j} AS (SELECT k, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(range(1, 65)) AS i, unnest(x) AS y FROM a{i}) GROUP BY k, i),
+c{j} AS MATERIALIZED (
+  SELECT k, coalesce(n.x, c{i}.x) AS x FROM c{i} LEFT JOIN (SELECT k, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM m{j} GROUP BY k) AS n USING (k))"""
+END = """
+SELECT vec_id, CAST(k AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{i} JOIN c{i} AS c USING (k)"""
+
+
+def centroid_sql() -> str:
+    """All rounds, one after the other."""
+    text = START.format(scale=centroids.SCALE, seed=centroids.SEED, count=centroids.CENTROIDS)
+    for i in range(centroids.ROUNDS):
+        text += ASSIGN.format(i=i) + MOVE.format(i=i, j=i + 1)
+    return text + ASSIGN.format(i=centroids.ROUNDS) + END.format(i=centroids.ROUNDS)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT, "op3_warc": WARC, "op6_top_k": TOP_K, "op8_license_scan": license_sql(), "op9_ngram_jaccard": JACCARD}
+    return {"op2_chat_formatting": CHAT, "op3_warc": WARC, "op6_top_k": TOP_K, "op8_license_scan": license_sql(), "op9_ngram_jaccard": JACCARD, "op11_line_dedup": LINES, "op12_importance_resampling": RESAMPLING, "op13_centroids": centroid_sql()}

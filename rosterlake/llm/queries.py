@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, html_text, licenses, mixing, ngram_join, token_ids, topk, toxicity, warc
+from . import centroids, chat, common, decontaminate, html_text, licenses, line_dedup, mixing, ngram_join, resample, token_ids, topk, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -74,6 +74,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches are inserted, so that the second one meets the filters of the first."""
+    docs = common.table(spark, sf_dir, "documents")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    index = line_dedup.empty(spark, line_dedup.shards_for(docs.count()), dict(docs.dtypes)["doc_id"])
+    for k in range(2):
+        index = line_dedup.insert(index, docs.where(half == k))
+    return line_dedup.clean(docs, index).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(centroids.whole_vectors(common.table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_ids, op2_chat_formatting, op3_warc, op4_decontamination, op5_html_extraction, op6_top_k, op7_toxicity, op8_license_scan, op9_ngram_jaccard, op10_mixing)
+    found = (op1_token_ids, op2_chat_formatting, op3_warc, op4_decontamination, op5_html_extraction, op6_top_k, op7_toxicity, op8_license_scan, op9_ngram_jaccard, op10_mixing, op11_line_dedup, op12_importance_resampling, op13_centroids)
     return {f.__name__: f for f in found}
