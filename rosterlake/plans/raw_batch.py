@@ -66,7 +66,7 @@ def validate_batch(spark: SparkSession, root: str, manifest, system: str, schema
         try:
             df = spark.read.option("basePath", f"{root}/{t.table_name}").parquet(t.output_path).drop("extraction_date", "batch_id", "extraction_id")
             # One row for each table of the manifest.
-            done.append(tuple(table_result(df, t, system, schema, source.read(t.table_name).count() if source else None).first()))
+            done.append(tuple(table_result(df, t, system, schema, source.count(t.table_name) if source else None).first()))
         except Exception as x:  # noqa: BLE001  missing or broken files are a result, not a crash
             done.append((t.table_name, False, t.row_count, None, None, [f"cannot be read: {type(x).__name__}"]))
     return spark.createDataFrame(done, RESULT)
