@@ -1,3 +1,4 @@
 """Generic operators on DataFrames."""
+from .bucketed import BucketedTable  # noqa: F401
 from .core import *  # noqa: F403
 from .upsert import upsert  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import upsert
+from ..operators import BucketedTable, upsert
 from ..plans.rules import Rule, run_rules
 
 
@@ -67,3 +67,10 @@ def upsert_stream(stream: DataFrame, keys: list[str], order: list[str], load: Ca
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def merge_stream(stream: DataFrame, table: BucketedTable, checkpoint: str, op: str | None = None) -> StreamingQuery:
+    """Merges every micro-batch into a table of buckets, by its number: only the buckets with changes are rewritten."""
+    q = stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number, op) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
