@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import history, star
+from ..plans import hierarchy, history, star
 from ..sources import jdbc
 from ..sources import lake as sources
 from . import views
-from .job_bindings import key_sql
+from .job_bindings import key_sql, scratch
 
 c = F.col
 
@@ -145,8 +145,31 @@ def star_sql(name: str) -> str:
  FROM (SELECT g.*, v.held_on AS effective_from FROM g ASOF LEFT JOIN v ON g.employee_id = v.employee_id AND g.held_on >= v.held_on) AS g"""
 
 
+#: Customers in chains of 100: the first has no manager, one that does not exist, or one 40 further down, which is a cycle.
+CHAINS = "SELECT CAST(c_custkey AS INT) AS employee_id, CAST(CASE WHEN c_custkey % 100 > 0 THEN c_custkey - 1 WHEN c_custkey % 300 = 100 THEN -1 - c_custkey WHEN c_custkey % 300 = 200 THEN c_custkey + 40 END AS INT) AS manager_id FROM customer"
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    return hierarchy.reporting_lines(rows, scratch(rows.sparkSession))
+
+
+#: By all pairs of an employee and someone above.
+LINES = """WITH RECURSIVE p AS ({rows}),
+r AS (SELECT employee_id, manager_id AS above FROM p WHERE manager_id IN (SELECT employee_id FROM p) UNION SELECT r.employee_id, p.manager_id FROM r JOIN p ON p.employee_id = r.above WHERE p.manager_id IN (SELECT employee_id FROM p)),
+loops AS (SELECT employee_id AS member FROM r WHERE employee_id = above),
+loop AS (SELECT l.member, min(r.above) AS cycle_id FROM loops AS l JOIN r ON r.employee_id = l.member GROUP BY 1),
+above AS (SELECT r.employee_id, count(*) AS level, min(r.above) FILTER (WHERE p.manager_id IS NULL OR p.manager_id NOT IN (SELECT employee_id FROM p)) AS top, min(loop.cycle_id) AS cycle_id FROM r JOIN p ON p.employee_id = r.above LEFT JOIN loop ON loop.member = r.above GROUP BY 1),
+below AS (SELECT above, count(*) AS n FROM r GROUP BY 1), direct AS (SELECT manager_id, count(*) AS n FROM p WHERE manager_id IS NOT NULL GROUP BY 1)
+SELECT p.employee_id, CAST(CASE WHEN a.cycle_id IS NULL THEN coalesce(a.level, 0) END AS INT) AS level, CASE WHEN a.cycle_id IS NULL THEN coalesce(a.top, p.employee_id) END AS top,
+ CASE WHEN loop.member IS NOT NULL THEN 'cycle' WHEN a.cycle_id IS NOT NULL THEN 'below cycle' WHEN p.manager_id IS NULL THEN 'root' WHEN a.employee_id IS NULL THEN 'missing' WHEN t.manager_id IS NULL THEN 'reports' ELSE 'below missing' END AS status,
+ a.cycle_id, coalesce(direct.n, 0) AS direct_reports, CASE WHEN loop.member IS NULL THEN coalesce(below.n, 0) END AS all_reports
+FROM p LEFT JOIN above AS a USING (employee_id) LEFT JOIN loop ON loop.member = p.employee_id LEFT JOIN p AS t ON t.employee_id = a.top LEFT JOIN below ON below.above = p.employee_id LEFT JOIN direct ON direct.manager_id = p.employee_id"""
+
+
 BOUND = {f"P04_late_{n}": ((view,), lambda t, n=n: late(t, n), late_sql_of(n)) for n, (view, *_) in HISTORIES.items()}
 BOUND |= {
+    "W23_reporting_lines": (("employees",), lambda t: lines(t["employees"]), LINES.format(rows="SELECT employee_id, manager_id FROM employees")),
+    "W23_chains_and_cycles": (("customer",), lambda t: lines(t["customer"].sparkSession.sql(CHAINS)), LINES.format(rows=CHAINS)),
     "P04_timeline": (PEOPLE, timeline, TIMELINE + " SELECT employee_id, department_id, location_id, manager_id, role_id, annual_salary, held_on AS effective_from, effective_to, effective_to IS NULL AS is_current, CAST(version AS INT) AS version FROM v"),
     "P05_dim_employee_history": ((*PEOPLE, "departments", "job_roles"), employee_history, TIMELINE + f" SELECT {key_sql('v.employee_id', 'held_on')} AS employee_version_key, v.employee_id, employee_number, hire_date, v.department_id, department_name, business_unit, v.location_id, v.manager_id, v.role_id, role_name, grade, v.annual_salary, held_on AS effective_from, effective_to, effective_to IS NULL AS is_current, CAST(version AS INT) AS version FROM v LEFT JOIN employees AS e ON v.employee_id = e.employee_id LEFT JOIN departments AS d ON v.department_id = d.department_id LEFT JOIN job_roles AS r ON v.role_id = r.role_id"),
 }
