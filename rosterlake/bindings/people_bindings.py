@@ -7,8 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import forecast, lake, survival
+from ..plans import conform, forecast, lake, lineage, phrases, sharing, survival
 from . import views
+from .job_bindings import scratch
 
 AS_OF = date(2024, 6, 30)
 c = F.col
@@ -87,7 +88,70 @@ e AS (SELECT * FROM h WHERE t = len(x))"""
 FORECAST = SMOOTHED + " SELECT department_id, make_date((first + t + k - 1) // 12, (first + t + k - 1) % 12 + 1, 1) AS month_start, round(level + k * trend + season[(t + k - 1) % 12 + 1], 3) AS forecast FROM e, (SELECT unnest(range(1, 7)) AS k)"
 ERRORS = SMOOTHED + " SELECT department_id, CAST(made AS BIGINT) AS forecasts, round(off / made, 3) AS mean_error, round(sqrt(square / made), 3) AS root_mean_square FROM e"
 
+#: Names of nations as people write them: as they are, in other case and spacing, a letter missing, a letter wrong, doubled, or something else.
+SPELT = """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN n_name WHEN 1 THEN '  ' || lower(replace(n_name, '_', ' - ')) WHEN 2 THEN substr(n_name, 1, 3) || substr(n_name, 5)
+ WHEN 3 THEN substr(n_name, 1, 2) || 'x' || substr(n_name, 4) WHEN 4 THEN upper(n_name) || substr(n_name, length(n_name), 1) WHEN 5 THEN 'unheard of ' || CAST(c_custkey AS VARCHAR(12)) END AS spelt FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def spelt(t) -> DataFrame:
+    rows = t["customer"].sparkSession.sql(SPELT)
+    return conform.conformed(rows, "spelt", t["nation"], "n_name", "n_nationkey", "nation_code").select("c_custkey", "nation_code", "distance")
+
+
+#: Every value with every name.
+SPELLINGS = "WITH x AS (" + SPELT + r"""), v AS (SELECT DISTINCT spelt, trim(regexp_replace(lower(spelt), '[\s_-]+', ' ', 'g')) AS t FROM x WHERE spelt IS NOT NULL),
+m AS (SELECT spelt, n_nationkey, levenshtein(t, trim(regexp_replace(lower(n_name), '[\s_-]+', ' ', 'g'))) AS d, t FROM v, nation),
+b AS (SELECT spelt, n_nationkey, d, row_number() OVER (PARTITION BY spelt ORDER BY d, n_nationkey) AS k FROM m WHERE d <= (length(t) + 1) // 4)
+SELECT c_custkey, n_nationkey AS nation_code, CAST(d AS INT) AS distance FROM x LEFT JOIN b ON x.spelt = b.spelt AND k = 1"""
+
+
+def working_lineage(t) -> DataFrame:
+    """What lateness by department is made of: a view of events, a view of customers, joined and aggregated."""
+    report = lake.working_time(t["attendance"], t["employees"]).select("department_id", "days", "late", "utilisation")
+    return lineage.checked_lineage(report, {"events": t["events"], "customer": t["customer"]})
+
+
+WORKING = """WITH e AS (SELECT count(*) AS rows, count(ts) AS ts, count(event_id) AS event_id, count(event_type) AS event_type, count(user_id) AS user_id FROM events), c AS (SELECT count(*) AS rows, count(c_nationkey) AS c_nationkey, count(c_custkey) AS c_custkey FROM customer)
+SELECT v.output, v.source, v.source_column, v.role, CASE v.source WHEN 'events' THEN e.rows ELSE c.rows END AS rows,
+ CASE v.source_column WHEN 'ts' THEN e.ts WHEN 'event_id' THEN e.event_id WHEN 'event_type' THEN e.event_type WHEN 'user_id' THEN e.user_id WHEN 'c_nationkey' THEN c.c_nationkey ELSE c.c_custkey END AS filled
+FROM e, c, (VALUES ('department_id', 'customer', 'c_nationkey', 'value'), ('late', 'events', 'ts', 'value'), ('late', 'events', 'event_type', 'value'),
+ ('utilisation', 'events', 'ts', 'value'), ('utilisation', 'events', 'event_id', 'value'), ('utilisation', 'events', 'event_type', 'value'),
+ (NULL, 'events', 'ts', 'rows'), (NULL, 'events', 'event_id', 'rows'), (NULL, 'events', 'event_type', 'rows'), (NULL, 'events', 'user_id', 'rows'), (NULL, 'customer', 'c_custkey', 'rows'), (NULL, 'customer', 'c_nationkey', 'rows')) AS v(output, source, source_column, role)"""
+
+#: A key for these queries; a real one comes from where secrets are kept.
+KEY = b"key of the tests"
+
+
+def keyed(t) -> DataFrame:
+    return sharing.safe_view(t["customer"], ("c_custkey", "c_name", "c_nationkey"), ("c_name",), KEY, c("c_acctbal") > 0)
+
+
+KEYED = "SELECT c_custkey, sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode(c_name)))) AS c_name, c_nationkey FROM customer WHERE c_acctbal > 0".format(
+    outer=bytes(b ^ 0x5C for b in KEY.ljust(64, b"\0")).hex(), inner=bytes(b ^ 0x36 for b in KEY.ljust(64, b"\0")).hex()
+)
+
+
+def cells(t) -> DataFrame:
+    rows = t["employees"].select("department_id", "role_id")
+    return sharing.safe_counts(rows, "department_id", "role_id", 4, scratch(rows.sparkSession))
+
+
+NEAR = r"""WITH w AS (SELECT conv_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT conv_id, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]}), recursive := true) FROM w WHERE len(w) > 1)"""
+COLLOCATIONS = NEAR + """, n AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2), x AS (SELECT n.*, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) AS na, CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) AS nb, CAST(sum(n) OVER () AS DOUBLE) AS t FROM n)
+SELECT a, b, n, round(2 * (n * ln(n * t / (na * nb)) + CASE WHEN na > n THEN (na - n) * ln((na - n) * t / (na * (t - nb))) ELSE 0 END + CASE WHEN nb > n THEN (nb - n) * ln((nb - n) * t / ((t - na) * nb)) ELSE 0 END + CASE WHEN t - na - nb + n > 0 THEN (t - na - nb + n) * ln((t - na - nb + n) * t / ((t - na) * (t - nb))) ELSE 0 END), 4) AS likelihood_ratio FROM x WHERE n >= 5"""
+KEYPHRASES = NEAR + """, f AS (SELECT conv_id, a, b, count(*) AS tf FROM p GROUP BY ALL), d AS (SELECT a, b, count(*) AS df FROM f GROUP BY ALL), t AS (SELECT count(DISTINCT conv_id) AS t FROM conversations),
+g AS (SELECT conv_id, list({'w': -round(tf * ln(t / df), 6), 'a': a, 'b': b} ORDER BY -round(tf * ln(t / df), 6), a, b) AS l FROM f JOIN d USING (a, b), t WHERE df <= t * 0.5 GROUP BY 1),
+k AS (SELECT conv_id, list_reduce(list_transform(l, lambda x: [x]), lambda s, x: CASE WHEN len(s) < 3 AND len(list_filter(s, lambda y: y.a IN (x[1].a, x[1].b) OR y.b IN (x[1].a, x[1].b))) = 0 THEN list_concat(s, x) ELSE s END) AS s FROM g)
+SELECT conv_id, CAST(i AS INT) AS rank, s[i].a || ' ' || s[i].b AS phrase, -s[i].w AS weight FROM (SELECT conv_id, s, unnest(range(1, len(s) + 1)) AS i FROM k)"""
+
 BOUND = {
+    "P02_fuzzy_conformity": (("customer", "nation"), spelt, SPELLINGS),
+    "P09_collocations": (("conversations",), lambda t: phrases.collocations(t["conversations"], "conv_id", "text").withColumn("likelihood_ratio", F.round("likelihood_ratio", 4)), COLLOCATIONS),
+    "P09_keyphrases": (("conversations",), lambda t: phrases.keyphrases(t["conversations"], "conv_id", "text"), KEYPHRASES),
+    "P11_column_lineage": (("events", "customer", "attendance", "employees"), working_lineage, WORKING),
+    "P13_keyed_tokens": (("customer",), keyed, KEYED),
+    "P13_safe_counts": (("employees",), cells, None),
     "P10_survival_curve": (("employees",), lambda t: curve(tenure(t)), CURVE_ROWS.format(rows=TENURE)),
     "P10_survival_compared": (("employees",), lambda t: compare(tenure(t)), COMPARE.format(rows=TENURE)),
     "P10_vacancy_curve": (("recruitment",), lambda t: curve(vacancies(t)), CURVE_ROWS.format(rows=VACANCIES)),

@@ -42,16 +42,17 @@ def median_time(curve: DataFrame, group: str) -> DataFrame:
 
 
 def compared(durations: DataFrame, group: str) -> DataFrame:
-    """group, observed events, and those expected if all groups had one hazard (as in a log-rank test)."""
+    """group, observed events, and those expected if all groups had one hazard (as in a log-rank test).
+
+    Each row is expected to have as many events as the common hazard has added up to by its own time, so days are joined by
+    equality and no group meets days that it has no row on.
+    """
     own = counts(durations, group)
-    every = counts(durations.withColumn(group, F.lit(0)), group).where("events > 0").select(F.col("time").alias("t"), F.col("events").alias("d"), F.col("at_risk").alias("n"))
-    # At a day of any event a group's risk is that of its own next day: union and look ahead, no range condition.
-    marks = own.select(group).distinct().crossJoin(F.broadcast(every)).select(group, F.col("t").alias("time"), "d", "n")  # groups times days
-    both = own.select(group, "time", "at_risk", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("n")).unionByName(marks.withColumn("at_risk", F.lit(None).cast("long")))
-    ahead = Window.partitionBy(group).orderBy("time", F.desc_nulls_last("d")).rowsBetween(0, Window.unboundedFollowing)
-    risk = F.coalesce(F.first("at_risk", ignorenulls=True).over(ahead), F.lit(0))
-    expected = both.withColumn("risk", risk).where("d IS NOT NULL").groupBy(group).agg(F.sum(F.col("d") * F.col("risk") / F.col("n")).alias("expected"))
-    return own.groupBy(group).agg(F.sum("events").alias("observed")).join(expected, group, "left").select(group, "observed", F.coalesce("expected", F.lit(0.0)).alias("expected"))
+    days = own.groupBy("time").agg(F.sum("events").alias("d"), F.sum(F.col("events") + F.col("censored")).alias("n"))
+    down, up = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.desc("time"), F.asc("time")))  # a row for each day
+    hazard = days.withColumn("n", F.sum("n").over(down)).select(F.col("time").alias("t"), F.sum(F.col("d") / F.col("n")).over(up).alias("hazard"))
+    rows = own.join(hazard, own["time"] == hazard["t"])
+    return rows.groupBy(group).agg(F.sum("events").alias("observed"), F.sum((F.col("events") + F.col("censored")) * F.col("hazard")).alias("expected"))
 
 
 def hazard_model(durations: DataFrame, columns: Sequence[str]):
