@@ -40,7 +40,8 @@ def opening(role: Column) -> Column:
 def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """turns (conv_id, turn, role, text) -> conv_id, formatted, loss_spans array<struct<start: long, length: long>>."""
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("text", escaped(F.col("text"))).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))  # by the texts as they are: escaping comes after
+    rows = rows.groupBy("conv_id").agg(F.transform(sorted_, lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
     starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
     rows = rows.withColumn("starts", starts)
     upto = lambda k: F.coalesce(F.get("starts", k + 1), F.size("turns"))

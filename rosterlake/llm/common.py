@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z, and nothing else.
@@ -53,3 +53,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8
 
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
+
+
+def hash_of(df: DataFrame, *without: str) -> Column:
+    """A hash of a row's columns; maps, which Spark's hashes do not take, as JSON, of their sorted entries where keys can be sorted."""
+
+    def value(f):
+        column, kind = df[f"`{f.name}`"], f.dataType.simpleString()
+        if kind.startswith("map<") and "map<" not in kind[4:]:
+            return F.to_json(F.array_sort(F.map_entries(column)))
+        return F.to_json(column) if "map<" in kind else column
+
+    return F.xxhash64(*[value(f) for f in df.schema.fields if f.name not in without])

@@ -116,9 +116,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
 
 
 def row_hash(docs: DataFrame) -> Column:
-    """Of the columns that a mix looks at, then of all others but maps, which have no hash."""
-    others = [docs[f"`{f.name}`"] for f in docs.schema.fields if f.name not in ("doc_id", "text", "source") and "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["source"].cast("string"), *others)
+    """Of the columns that a mix looks at, then of all others."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["source"].cast("string"), common.hash_of(docs, "doc_id", "text", "source"))
 
 
 def dealt(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, chunk: int) -> DataFrame:

@@ -25,7 +25,7 @@ ones; linked sets differ by at most (den - num) / (den + num) of their summed si
 - Pairs with only frequent signatures in common, groups of near copies: each bucket elects as its hub the class that has
   most company in all buckets. Each class is compared with its hubs, and what is linked so far makes parts. A hub whose
   members are all of one part is done, which is the rule for near copies. In another, the members outside its largest part
-  meet those of other parts, and are compared where r + r' and the difference of their distances to the hub in frequent
+  meet those of other parts, never two that both have more rare shingles than half the limit, and are compared where r + r' and the difference of their distances to the hub in frequent
   shingles (the triangle inequality) come to no more than the limit. So a group of near copies costs a few comparisons for
   each member, not all pairs, and no connection between different texts is lost.
 Sizes of buckets, hubs and ends of buckets come from aggregates with partial results, written and joined back, so Spark can
@@ -453,11 +453,24 @@ def pairs_by_hub(members: DataFrame, stars: DataFrame, roots: DataFrame, plan: P
     parts = near.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
     parts = common.written(parts.where("parts > 1").select(F.col("hub").alias("h"), F.col("main.part").alias("main")), "hub-parts")
     near = common.written(near.join(parts, F.col("hub") == F.col("h")).drop("h"), "open-hubs")
-    x = near.where("part <> main").select("hub", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("low").alias("u"), F.col("some").alias("s"), F.col("part").alias("p"))
-    y = near.select(F.col("hub").alias("h"), F.col("cls").alias("b"), "n", "r", F.col("low").alias("v"), F.col("some").alias("t"), F.col("part").alias("o"), (F.col("part") == F.col("main")).alias("in_main"))
-    most = limit(plan, F.col("m"), F.col("n"))
-    fits = (F.col("in_main") | (F.col("a") < F.col("b"))) & (F.col("p") != F.col("o")) & (F.col("q") + F.col("r") + F.greatest(F.lit(0), F.col("u") - F.col("v") - 2 * F.col("t"), F.col("v") - F.col("u") - 2 * F.col("s")) <= most) & near_in_size(plan, F.col("m"), F.col("n"))
-    return x.join(y, (F.col("hub") == F.col("h")) & fits).select("a", "b").distinct()
+    apart = F.greatest(F.lit(0), F.col("u") - F.col("v") - 2 * F.col("t"), F.col("v") - F.col("u") - 2 * F.col("s"))
+    fits = (~F.col("again") | (F.col("a") < F.col("b"))) & (F.col("p") != F.col("o")) & (F.col("q") + F.col("r") + apart <= limit(plan, F.col("m"), F.col("n"))) & near_in_size(plan, F.col("m"), F.col("n"))
+    (x, y), (v, w) = meeting(near, plan)
+    same = F.col("hub") == F.col("h")
+    return x.join(y, same & fits).unionByName(v.join(w, same & fits)).select("a", "b").distinct()
+
+
+def meeting(near: DataFrame, plan: Plan) -> list[tuple[DataFrame, DataFrame]]:
+    """The members of hubs that meet, as pairs of sides.
+
+    Of two linked members one has rare shingles for half the limit at most, by the most generous partner's size. So members
+    with more than that never meet each other, and those of the main part meet none of their own part.
+    """
+    near = near.withColumn("few", 2 * F.col("r") <= limit(plan, F.col("n"), F.col("n") * plan.den / plan.num))
+    out, few = F.col("part") != F.col("main"), F.col("few")
+    one = lambda rows: rows.select("hub", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("low").alias("u"), F.col("some").alias("s"), F.col("part").alias("p"))
+    other = lambda rows: rows.select(F.col("hub").alias("h"), F.col("cls").alias("b"), "n", "r", F.col("low").alias("v"), F.col("some").alias("t"), F.col("part").alias("o"), (few & out).alias("again"))
+    return [(one(near.where(out & few)), other(near)), (one(near.where(~out & few)), other(near.where(out & ~few)))]
 
 
 def classes_of(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -497,8 +510,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class: that of the smallest id (nulls last), then of the smallest hash of id and text.
 
-    Rows are told apart by id and text, so a row with a null or repeated id goes or stays for its own text; of wholly equal
-    ids and texts one row stays. Texts without words have no class: all of them stay.
+    Rows are told apart by id and text, so a row with a null or repeated id goes or stays for its own text; of equal ids and
+    texts the row with the smallest hash of all its columns stays, whatever the order of the rows. Texts without words have no class: all of them stay.
     """
     key, h = F.coalesce(docs[doc_id].cast("long"), F.lit(0)), F.xxhash64(docs[doc_id].cast("long"), docs[text].cast("string"))
     found = classes_of(docs.select(docs[doc_id].cast("long").alias("doc_id"), h.alias("h"), docs[text].cast("string").alias("text")), size, num, den)
@@ -506,5 +519,6 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int
     rows = found.where("cls IS NOT NULL").groupBy(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("h").alias("_h")).agg(F.max(keeps).alias("_keeps"), F.count(F.lit(1)).alias("_n"))
     marked = common.written(rows.where("NOT _keeps OR _n > 1"), "marked-rows")
     same = (key == F.col("_key")) & (h == F.col("_h"))
-    once = docs.join(marked.where("_keeps"), same, "left_semi").dropDuplicates([doc_id, text])
+    once = docs.join(marked.where("_keeps"), same, "left_semi").groupBy(key.alias("_key"), h.alias("_h"))
+    once = once.agg(F.min_by(F.struct(*[docs[f"`{c}`"] for c in docs.columns]), common.hash_of(docs)).alias("_row")).select("_row.*")
     return docs.join(marked, same, "left_anti").unionByName(once)

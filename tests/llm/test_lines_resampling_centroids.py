@@ -235,3 +235,68 @@ def test_clusters(spark):
     large = spark.createDataFrame([(1, [1e9])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         centroids.cluster(centroids.whole_vectors(large, size=1)).collect()
+
+
+# Rows that earlier operators choose among
+
+
+def test_chat_ties_by_the_texts_themselves(spark):
+    from rosterlake.llm import chat
+
+    rows = [(1, 0, "user", "A"), (1, 0, "user", "<turn x"), (1, 0, "user", "\\<turn y"), (1, 1, "assistant", "b"), (1, 1, "assistant", "</turn>")]
+    got = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))).first()
+    assert [t.text for t in got.turns] == ["<turn x", "A", "\\<turn y", "</turn>", "b"] and got.loss_texts == ["</turn>", "b"]
+
+
+def test_defined_rows_for_any_order(spark):
+    from rosterlake.llm import mixing, ngram_join
+
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, s, {"k": s, "j": "x"}, [{"n": k}]) for k, s in enumerate("abcd")] * 2 + [(2, text, "z", None, None), (3, "other words than those of the first text", "q", {}, [])]
+    kind = "doc_id long, text string, source string, tags map<string,string>, nested array<map<string,int>>"
+    kept, mixes = set(), set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame(rows, kind).repartition(seed + 1)
+        out = ngram_join.drop_near_duplicates(frame)
+        assert out.columns == ["doc_id", "text", "source", "tags", "nested"]
+        got = out.collect()
+        assert sorted(r.doc_id for r in got) == [1, 3]
+        kept.add(next(r.source for r in got if r.doc_id == 1))
+        mixes.add(str(sorted((r.doc_id, r.source, str(sorted((r.tags or {}).items())), str(r.nested)) for r in mixing.mix(frame).collect())))
+    assert len(kept) == 1 and len(mixes) == 1
+    alike = [(1, "one two three", "s", {"k": str(k)}, None) for k in range(3)]  # they differ in a map alone
+    taken = mixing.mix(spark.createDataFrame(alike, kind), most=1).collect()
+    assert sorted(r.tags["k"] for r in taken) == ["0", "1", "2"]
+
+
+def test_boilerplate_costs_no_pairs(spark, monkeypatch):
+    """Texts that share 190 of 202 words, no two of them linked: they have one hub, and none meets another."""
+    from rosterlake.llm import ngram_join
+
+    shared = [f"common{k}" for k in range(190)]
+    rows = []
+    for i in range(1500):
+        words = list(shared)
+        for k in range(12):
+            words.insert(random.Random(i * 12 + k).randrange(len(words)), f"own{i}x{k}")
+        rows.append((i, " ".join(words)))
+    sent, compared = [], ngram_join.compared
+
+    def counting(pairs, *more):
+        sent.append(pairs.count())
+        return compared(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "compared", counting)
+    met, meeting = [], ngram_join.meeting
+
+    def candidates(near, plan):
+        sides = meeting(near, plan)
+        met.append(near.count())
+        met.extend(x.join(y, x["hub"] == y["h"]).count() for x, y in sides)
+        return sides
+
+    monkeypatch.setattr(ngram_join, "meeting", candidates)
+    got = ngram_join.jaccard_classes(docs(spark, rows), 3, 90, 100).collect()
+    assert len({r.component_id for r in got}) == 1500
+    assert met[0] >= 1400 and sum(sent) <= 10 * 1500 and sum(met) <= 10 * 1500, (sent, met)
