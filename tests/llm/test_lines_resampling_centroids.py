@@ -277,10 +277,8 @@ def test_boilerplate_costs_no_pairs(spark, monkeypatch):
     shared = [f"common{k}" for k in range(190)]
     rows = []
     for i in range(1500):
-        words = list(shared)
-        for k in range(12):
-            words.insert(random.Random(i * 12 + k).randrange(len(words)), f"own{i}x{k}")
-        rows.append((i, " ".join(words)))
+        at = random.Random(i).randrange(len(shared))
+        rows.append((i, " ".join([*shared[:at], *(f"own{i}x{k}" for k in range(12)), *shared[at:]])))
     sent, compared = [], ngram_join.compared
 
     def counting(pairs, *more):
