@@ -201,7 +201,8 @@ def time_to_hire(rows: DataFrame) -> DataFrame:
 def hierarchy_levels(employees: DataFrame, folder: str, depth: int | None = None) -> DataFrame:
     """employee_id, level (0 without a manager) down to the last level, or `depth` levels if given.
 
-    Each level is one join on the manager, written to the shared folder. Employee ids are unique.
+    Each level is one join on the manager, written to the shared folder. Employee ids are unique. Whoever is on or below a
+    cycle, or below a manager who is no employee, has no level and no row; hierarchy.reporting_lines names them all.
     """
     spark = employees.sparkSession
     people = employees.select("employee_id", "manager_id")

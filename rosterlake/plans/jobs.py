@@ -13,12 +13,12 @@ from ..sources.sinks import extract_batch, publish_batch, write_report
 from .fused import run_fused
 from .raw_batch import require_valid, validate_batch
 from .reference_rules import check_reference
-from .rules import RuleFailure, gate
+from .rules import Rule, RuleFailure, gate, run_rules
 
 
-def validate(tables: dict[str, DataFrame], as_of: date, report: str) -> DataFrame:
-    """Runs the rules, writes the report, then raises if a critical rule failed."""
-    results = run_fused(tables, as_of)
+def validate(tables: dict[str, DataFrame], as_of: date, report: str, rules: list[Rule] | None = None) -> DataFrame:
+    """Runs the rules (all 41 if none are named), writes the report, then raises if a critical rule failed."""
+    results = run_fused(tables, as_of) if rules is None else run_rules(rules, tables)
     write_report(results, report)
     kept = results.sparkSession.read.schema(results.schema).json(f"{report}/json")
     gate(kept)
@@ -34,8 +34,9 @@ def raw_pipeline(spark: SparkSession, source: FileSource, root: str, lake: str,
     return publish_batch(spark, root, lake, manifest, results)
 
 
-def full_refresh(spark: SparkSession, tables: dict[str, DataFrame], as_of: date, report: str, **raw) -> dict:
-    validate(tables, as_of, report)
+def full_refresh(spark: SparkSession, checked: dict[str, DataFrame], as_of: date, report: str, rules: list[Rule] | None = None, **raw) -> dict:
+    """Rules on the checked tables and their report, the gate, then extract, validation and publishing; a failed rule leaves nothing extracted."""
+    validate(checked, as_of, report, rules)
     return raw_pipeline(spark, **raw)
 
 
