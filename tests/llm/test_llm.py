@@ -587,16 +587,12 @@ def test_chat_of_odd_rows(spark):
     got = {x.conv_id: x for x in chat.read_chats(chat.format_chats(turns)).collect()}
     assert got.keys() == {x[0] for x in rows}
     for key, x in got.items():
-        own = sorted(((t is not None, t or 0, role or "", chat_escape(text or ""), text or "") for k, t, role, text in rows if k == key))
-        assert [(t.role, t.text) for t in x.turns] == [(y[2], y[4]) for y in own]
-        assert list(x.loss_texts) == [y[4] for y in own if y[2] == "assistant"]
+        own = sorted(((t is not None, t or 0, role or "", text or "") for k, t, role, text in rows if k == key))
+        assert [(t.role, t.text) for t in x.turns] == [(y[2], y[3]) for y in own]
+        assert list(x.loss_texts) == [y[3] for y in own if y[2] == "assistant"]
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
-def chat_escape(text):
-    return re.sub(chat.CONTROL, r"\\\1", text)
-
-
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Planted toxic, copied and leaked rows, null and repeated ids, against the same decisions made without Spark's help."""
     import corpus_pipeline
