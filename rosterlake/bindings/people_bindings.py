@@ -46,7 +46,7 @@ k AS (SELECT a.department_id, a.time, a.at_risk, a.events, a.censored, product(1
 CURVE_ROWS = CURVE + " SELECT department_id, time, at_risk, events, censored, round(survival, 6) AS survival, round(survival * sqrt(spread), 6) AS error FROM k"
 COMPARE = CURVE + """, a AS (SELECT time, sum(events) AS d, (SELECT count(*) FROM s WHERE s.time >= d.time) AS n FROM d GROUP BY time HAVING sum(events) > 0),
 e AS (SELECT g.department_id, sum(a.d * (SELECT count(*) FROM s WHERE s.department_id = g.department_id AND s.time >= a.time) / a.n) AS expected FROM (SELECT DISTINCT department_id FROM s) AS g, a GROUP BY 1)
-SELECT department_id, CAST(sum(events) AS BIGINT) AS observed, round(any_value(expected), 6) AS expected, min(time) FILTER (WHERE survival <= 0.5) AS median FROM k JOIN e USING (department_id) GROUP BY 1"""
+SELECT department_id, CAST(sum(events) AS BIGINT) AS observed, round(any_value(expected), 6) AS expected, min(time) FILTER (WHERE round(survival, 12) <= 0.5) AS median FROM k JOIN e USING (department_id) GROUP BY 1"""
 
 
 def hazard(t) -> DataFrame:

@@ -37,8 +37,11 @@ def kaplan_meier(durations: DataFrame, group: str) -> DataFrame:
 
 
 def median_time(curve: DataFrame, group: str) -> DataFrame:
-    """group, median: the first day on which at most half are left; null where more than half are to the end."""
-    return curve.groupBy(group).agg(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median"))
+    """group, median: the first day on which at most half are left; null where more than half are to the end.
+
+    Exactly half is half, whatever a product of doubles has lost: shares are compared to 12 digits.
+    """
+    return curve.groupBy(group).agg(F.min(F.when(F.round("survival", 12) <= 0.5, F.col("time"))).alias("median"))
 
 
 def compared(durations: DataFrame, group: str) -> DataFrame:
