@@ -1,25 +1,33 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, in lower case. Every n-gram of a test item is looked up in all documents, whole,
-and is a seed wherever it stands, however frequent: a limit would lose items that leaked often, and edited copies of them.
-Around the seeds the passage is aligned with the item, word by word (match 2, mismatch and gap -1). `score` is the best
-local alignment divided by that of the item with itself; from `threshold` on the passage is a leak. What is left on either
-side of a leak is aligned again, so each copy in a document gives a row. Two upper bounds on the score, the item's words in
-any stretch as long as an alignment can be and the words that passage and item share, spare most alignments and lose none.
+Words are runs of letters and digits, in lower case. A passage is aligned with a test item word by word (match 2, mismatch
+and gap -1). `score` is the best local alignment divided by that of the item with itself; from `threshold` on the passage is
+a leak. What is left on either side of a leak is aligned again, so each copy in a document gives a row.
 
-The test set is taken in blocks of a bounded number of words (a longer item is a block of its own), each broadcast once; a
-block is one pass over the documents, so any size of test set works. Documents are not shuffled, and each row is judged by its own text.
+Seeds are pairs of words that stand side by side or with one word between, in the item and in the document alike. They
+lose no leak: of L words of an item a leak of score t has m matches and at most 2m - 2tL errors, so at most m - tL of its
+m - 1 neighbouring matches are two or more errors apart, and at least tL - 1 of them are seeds, each with a first word of
+its own in the item. So each item may leave out all but one of that many of its L - 1 first words. Those left out are the
+frequent ones: all documents are counted first, and each item keeps the first words whose pairs are rarest. A phrase that
+stands in many documents opens a passage only where an item has nothing rarer.
 
-Null or empty texts have no leaks; items that are null or have fewer than n words have no seeds and match nothing, nor do
-items with a null id. Rows with a null doc_id take part and are dropped like any other; repeated rows give repeated results,
-items of one id are items of their own. Other columns are not read, whatever their names. Empty tables give no rows.
+Two upper bounds on the score, the item's words in any stretch as long as an alignment can be and the words that passage
+and item share, spare most alignments and lose none.
+
+The test set is taken in blocks of a bounded number of words (a longer item is a block of its own). A block is broadcast, as
+the small side of the join by seeds, and takes two passes over the documents: counts, then passages. Documents are not
+shuffled, and each row is judged by its own text.
+
+Null or empty texts have no leaks; items that are null, have fewer than `least` words or a null id match nothing. Rows with
+a null doc_id take part and are dropped like any other; repeated rows give repeated results, items of one id are items of
+their own. Ties in frequency go to the earlier word. Other columns are not read, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from math import ceil
 
@@ -31,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N, THRESHOLD = 3, 0.5
+LEAST, THRESHOLD = 3, 0.5
 BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, -1, 1
 WORDS = re.compile(r"[^\W_]+")
@@ -42,38 +50,51 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of test items: word numbers, and the items of each gram, as sorted arrays."""
+    """A block of test items: word numbers, and the items of each pair, as sorted arrays."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], n: int, threshold: float):
-        self.n, self.threshold, self.words = n, threshold, {}
+    def __init__(self, items: list[tuple[int, list[str]]], threshold: float):
+        self.threshold, self.words = threshold, {}
         self.names = [i for i, _ in items]
         self.ids = [np.array([self.words.setdefault(w, len(self.words)) for w in ws], np.int64) for _, ws in items]
         self.counts = [Counter(ids.tolist()) for ids in self.ids]
-        self.base = np.uint64(len(self.words) + 1)
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.base = np.int64(len(self.words) + 1)
+        own = [self.pairs(ids) for ids in self.ids]
+        self.index([(at, code, np.full(len(at), k)) for k, (at, code) in enumerate(own)])
+
+    def index(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Keeps these pairs (places, codes and numbers of items), and no others, as seeds."""
+        at, code, item = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+        order = np.lexsort((at, item, code))
+        self.at, self.item = at[order], item[order]
+        self.codes, first = np.unique(code[order], return_index=True)
+        self.first = np.append(first, len(order))
+        reach = np.array([len(ids) + self.slack(k) for k, ids in enumerate(self.ids)], np.int64)
+        self.reach = np.maximum.reduceat(reach[self.item], first) if len(first) else first
+
+    def keep_rare(self, frequency: np.ndarray) -> None:
+        """Leaves each item only as many first words as no leak can do without, those of the rarest pairs."""
+        found = []
         for k, ids in enumerate(self.ids):
-            for at, g in enumerate(self.grams(ids)[1].tolist()):
-                where[g].append((k, at))
-        self.codes = np.array(sorted(where), np.uint64)
-        self.places = [where[g] for g in self.codes.tolist()]
-        self.reach = np.array([max(len(self.ids[k]) + self.slack(k) for k, _ in p) for p in self.places], np.int64)
+            at, code = self.pairs(ids)
+            total = np.bincount(at, frequency[np.searchsorted(self.codes, code)], len(ids) - 1)
+            kept = np.argsort(total, kind="stable")[: len(ids) - max(1, ceil(self.threshold * len(ids) - 1 - 1e-9))]
+            rare = np.isin(at, kept)
+            found.append((at[rare], code[rare], np.full(rare.sum(), k)))
+        self.index(found)
 
     def slack(self, k: int) -> int:
         """Words beyond an item's own length that an alignment of the threshold's score may take."""
         return ceil((1 - self.threshold) * MATCH * len(self.ids[k]) / GAP)
 
-    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of grams of the items' words alone, and their codes.
-
-        Codes may be equal for unlike grams of a large block, as they wrap around; that adds a seed, and alignment decides.
-        """
-        k = max(0, len(ids) - self.n + 1)
-        code, known = np.zeros(k, np.uint64), np.ones(k, bool)
-        for j in range(self.n if k else 0):
-            code = code * self.base + ids[j : j + k].astype(np.uint64)
-            known &= ids[j : j + k] >= 0
-        at = np.flatnonzero(known)
-        return at, code[at]
+    def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of first words and the codes of pairs of the items' words, side by side or one apart."""
+        places, codes = [], []
+        for apart in (1, 2):
+            a, b = ids[:-apart], ids[apart:]
+            at = np.flatnonzero((a >= 0) & (b >= 0))
+            places.append(at)
+            codes.append(a[at] * self.base + b[at])
+        return np.concatenate(places), np.concatenate(codes)
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The words of a text as numbers, -1 for a word of no item."""
@@ -81,8 +102,8 @@ class Items:
         return np.array([get(w, -1) for w in words_of(text)], np.int64)
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document and numbers of the grams that stand there."""
-        at, code = self.grams(ids)
+        """Places in a document and numbers of the seeds that stand there."""
+        at, code = self.pairs(ids)
         if not len(at) or not len(self.codes):
             return at[:0], at[:0]
         k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
@@ -90,17 +111,18 @@ class Items:
         return at[same], k[same]
 
     def passages(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """The parts of a document around any gram."""
+        """The parts of a document around any seed."""
         at, k = self.hits(ids)
         reach = self.reach[k] if len(at) else at
         return merged(list(zip(np.maximum(at - reach, 0).tolist(), np.minimum(at + reach, len(ids)).tolist())))
 
     def leaks(self, ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """Item, score, start and end of each leak in a passage."""
-        spans = defaultdict(list)
+        spans = defaultdict(set)
         for p, code in zip(*(x.tolist() for x in self.hits(ids))):
-            for k, at in self.places[code]:
-                spans[k].append((max(0, p - at - self.slack(k)), min(len(ids), p - at + len(self.ids[k]) + self.slack(k))))
+            here = slice(self.first[code], self.first[code + 1])
+            for k, at in zip(self.item[here].tolist(), self.at[here].tolist()):
+                spans[k].add((max(0, p - at - self.slack(k)), min(len(ids), p - at + len(self.ids[k]) + self.slack(k))))
         for k, parts in spans.items():
             for a, b in merged(parts):
                 for score, first, end in leaks_in(self.ids[k], self.counts[k], ids, a, b, self.threshold):
@@ -122,7 +144,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -133,7 +155,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def passages(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
-    """doc_id, start, words (numbers, -1 for a word of no item): the parts of documents around any gram."""
+    """doc_id, start, words (numbers, -1 for a word of no item): the parts of documents around any seed."""
     schema = "doc_id long, start long, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,27 +219,54 @@ def aligned(found: DataFrame, shared) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
-def item_blocks(benchmark: DataFrame, n: int, threshold: float, block_words: int, item_id: str, text: str) -> Iterator[Broadcast]:
-    """Reads the test set row by row and broadcasts it, a block of at most block_words words or one item at a time."""
+def seed_counts(docs: DataFrame, shared: Broadcast, text: str) -> np.ndarray:
+    """How often each pair of the block stands in all documents: counted in tasks, summed by pair, two pairs a word at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        total = np.zeros(len(items.codes), np.int64)
+        for batch in common.small_batches(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                np.add.at(total, items.hits(items.numbers(t))[1], 1)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["seed", "n"])
+
+    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    frequency = np.zeros(len(shared.value.codes), np.int64)
+    got = sums.toArrow()
+    frequency[got.column("seed").to_numpy()] = got.column("n").to_numpy()
+    return frequency
+
+
+def item_blocks(docs: DataFrame, benchmark: DataFrame, least: int, threshold: float, block_words: int, text: str, item_id: str, item_text: str) -> Iterator[Broadcast]:
+    """Reads the test set row by row and broadcasts it with its rare seeds, a block of at most block_words words or one item at a time."""
     send = benchmark.sparkSession.sparkContext.broadcast
+
+    def block(held: list[tuple[int, list[str]]]) -> Broadcast:
+        items = Items(held, threshold)
+        shared = send(items)
+        items.keep_rare(seed_counts(docs, shared, text))
+        shared.unpersist()
+        return send(items)
+
     held, words = [], 0
-    for i, t in benchmark.select(F.col(item_id).cast("long"), F.col(text).cast("string")).where(F.col(item_id).isNotNull()).orderBy(item_id, text).toLocalIterator():
+    for i, t in benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).where(F.col(item_id).isNotNull()).orderBy(item_id, item_text).toLocalIterator():
         ws = words_of(t)
-        if len(ws) < n:
+        if len(ws) < least:
             continue
         if held and words + len(ws) > block_words:
-            yield send(Items(held, n, threshold))
+            yield block(held)
             held, words = [], 0
         held.append((i, ws))
         words += len(ws)
     if held:
-        yield send(Items(held, n, threshold))
+        yield block(held)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each passage of docs that aligns with a test item."""
     out = []
-    for shared in item_blocks(benchmark, n, threshold, block_words, item_id, item_text):
+    for shared in item_blocks(docs, benchmark, least, threshold, block_words, text, item_id, item_text):
         found = common.written(passages(docs, shared, doc_id, text), "passages")
         out.append(aligned(found, shared))
     if not out:
@@ -225,11 +274,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: flo
     return reduce(DataFrame.unionByName, out)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows whose own text holds a leak, whatever their ids."""
-    for shared in item_blocks(benchmark, n, threshold, block_words, item_id, item_text):
-        docs = docs.where(~leaking(shared)(docs[text].cast("string")))
-    return docs
+    kept = docs
+    for shared in item_blocks(docs, benchmark, least, threshold, block_words, text, item_id, item_text):
+        kept = kept.where(~leaking(shared)(kept[text].cast("string")))
+    return kept
 
 
 def leaking(shared):
