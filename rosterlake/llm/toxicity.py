@@ -8,8 +8,9 @@ when P(grade >= 1) reaches one half.
 
 It is fitted on a bounded sample: at most SAMPLE labelled documents of each class, those with the smallest hash of their
 id. Features are counted and chosen in Spark, and only the chosen ones of the sample reach the driver. Labels tell toxic
-from not; the grades 1 to GRADES of toxic documents are equal parts of their order by the number of features that speak
-for toxic. Whole texts are read. Scoring passes over all documents once, without a shuffle, and judges each row by its own text.
+from not; the grades 1 to GRADES of toxic documents are equal parts of their order by a held-out score: the sample is dealt
+into two halves, and each is scored by a model of toxic or not that was fitted on the other half. Where a half lacks one of
+the classes all toxic documents are of grade 1. Whole texts are read. Scoring passes over all documents once, without a shuffle, and judges each row by its own text.
 
 Nulls: null or empty texts have severity 0 and grade 0; null labels are no labels; null ids are scored. A document with
 labels of both kinds counts as toxic. Repeated rows are scored alike, and rows of one id apart from each other. Without labels
@@ -93,17 +94,32 @@ def chosen(rows: DataFrame) -> DataFrame:
     return counts.where(F.col("bad") + F.col("good") >= LEAST).select("feature", odds.alias("odds"), apart.alias("apart")).where((F.abs("odds") >= float(np.log(TIMES))) & (F.col("apart") >= APART)).select("feature", "odds")
 
 
-def fit(toxic: np.ndarray, rows: list[np.ndarray], names: np.ndarray, odds: np.ndarray, grades: int = GRADES, rounds: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Model:
-    """Full-batch gradient steps (Adam) on the likelihood of the observed grades; both classes weigh alike.
+def held_out_grades(toxic: np.ndarray, rows: list[np.ndarray], size: int, grades: int = GRADES) -> np.ndarray:
+    """0 for documents that are not toxic; for toxic ones 1 to grades, in the order of their scores by the other half's model."""
+    half = np.zeros(len(rows), np.int64)
+    for side in (toxic, ~toxic):
+        half[side] = np.arange(side.sum()) % 2
+    scores = np.zeros(len(rows))
+    for h in (0, 1):
+        known = np.flatnonzero(half != h)
+        if len(set(toxic[known].tolist())) < 2:
+            return toxic.astype(np.int64)
+        w, theta = fit(toxic[known].astype(np.int64), [rows[i] for i in known], size)
+        for i in np.flatnonzero(half == h):
+            scores[i] = w[rows[i]].sum() - theta[0]
+    grade = np.zeros(len(rows), np.int64)
+    order = np.flatnonzero(toxic)[np.argsort(scores[toxic], kind="stable")]
+    grade[order] = 1 + np.arange(len(order)) * grades // len(order)
+    return np.searchsorted(np.unique(grade), grade)  # few documents may leave grades empty
+
 
-    rows hold places in names, the chosen features.
+def fit(grade: np.ndarray, rows: list[np.ndarray], size: int, rounds: int = 500, rate: float = 0.1, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by full-batch gradient steps (Adam) on the likelihood of the grades; both classes weigh alike.
+
+    rows hold numbers of features below size; grades are 0 to their maximum, each with a document.
     """
     n, at = len(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows)
-    size, each = len(names), np.arange(n)
-    grade = np.zeros(n, np.int64)
-    order = np.flatnonzero(toxic)[np.argsort(np.bincount(at, odds[flat] > 0, n)[toxic], kind="stable")]
-    grade[order] = 1 + np.arange(len(order)) * grades // len(order)
+    flat, each, toxic = np.concatenate(rows), np.arange(n), grade > 0
     grades = int(grade.max())
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     w, theta = np.zeros(size), np.arange(grades, dtype=float)
@@ -124,8 +140,7 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], names: np.ndarray, odds: np.n
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
         theta -= rate * (mt / a) / (np.sqrt(vt / b) + 1e-8)
         theta = np.maximum.accumulate(np.maximum(theta, 1e-3))  # a text without features is of grade 0
-    strong = np.abs(w) > 1e-3
-    return Model(dict(zip(names[strong].tolist(), w[strong].tolist())), theta)
+    return w, theta
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model | None:
@@ -134,10 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model | Non
     if not classes.some or classes.all:
         return None
     # Features with LEAST documents or more of the bounded sample, far fewer than its words.
-    found = sorted((r.feature & (2**64 - 1), r.odds) for r in chosen(rows).collect())
+    found = sorted(r.feature & (2**64 - 1) for r in chosen(rows).select("feature").collect())
     if not found:
         return None
-    names, odds = np.array([x for x, _ in found], np.uint64), np.array([x for _, x in found])
+    names = np.array(found, np.uint64)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "features"):
@@ -146,7 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model | Non
 
     # One row for each document of the bounded sample, chosen features only.
     got = sorted((r.toxic, bytes(r.places)) for r in rows.mapInArrow(places, "toxic boolean, places binary").collect())
-    return fit(np.array([t for t, _ in got], bool), [np.frombuffer(x, "<i4").astype(np.int64) for _, x in got], names, odds)
+    toxic, places_of = np.array([t for t, _ in got], bool), [np.frombuffer(x, "<i4").astype(np.int64) for _, x in got]
+    w, theta = fit(held_out_grades(toxic, places_of, len(names)), places_of, len(names))
+    strong = np.abs(w) > 1e-3
+    return Model(dict(zip(names[strong].tolist(), w[strong].tolist())), theta)
 
 
 class Scorer:

@@ -439,6 +439,50 @@ def test_toxic_rows(spark):
     assert (np.diff(model.thresholds) >= 0).all() and model.grades(np.array([-50.0, 50.0])).sum(axis=1).round().tolist() == [0, len(model.thresholds)]
 
 
+def ordinal_loss(grade, rows, w, theta):
+    """The plain likelihood of a cumulative-link model, both classes weighing alike."""
+    toxic, loss = sum(g > 0 for g in grade), 0.0
+    for g, features in zip(grade, rows):
+        score = sum(w[k] for k in features)
+        reached = [1.0] + [1 / (1 + math.exp(t - score)) for t in theta] + [0.0]
+        loss -= math.log(max(reached[g] - reached[g + 1], 1e-9)) * 0.5 / (toxic if g else len(grade) - toxic)
+    return loss + 5e-7 * sum(x * x for x in w)
+
+
+def test_ordinal_fit_against_plain_likelihood():
+    r = random.Random(8)
+    rows = [sorted(k for k in range(4) if r.random() < 0.5) for _ in range(150)]
+    grade = [min(3, max(0, sum(k < 2 for k in x) + r.choice([-1, 0, 0, 1]))) for x in rows]
+    w, theta = toxicity.fit(np.array(grade), [np.array(x, np.int64) for x in rows], 4, rounds=3000, rate=0.02)
+    assert sorted(theta) == theta.tolist()
+    best, step, at = ordinal_loss(grade, rows, [0.0] * 4, [0.1, 1.0, 2.0]), 0.5, [0.0] * 4 + [0.1, 1.0, 2.0]
+    while step > 1e-3:  # a search by steps of each number in turn, with the same bound on thresholds
+        moved = False
+        for k in range(7):
+            for sign in (step, -step):
+                to = at[:k] + [at[k] + sign] + at[k + 1 :]
+                if 1e-3 <= to[4] <= to[5] <= to[6] and (loss := ordinal_loss(grade, rows, to[:4], to[4:])) < best:
+                    at, best, moved = to, loss, True
+        step = step if moved else step / 2
+    assert abs(ordinal_loss(grade, rows, w, theta) - best) < 1e-3
+    assert np.abs(np.array(at) - np.concatenate([w, theta])).max() < 0.1
+
+
+def test_grades_are_held_out():
+    """Toxic documents with the stronger feature have the higher grades, and no document's own label counts for its grade."""
+    r = random.Random(3)
+    toxic = np.array([i % 2 == 0 for i in range(400)])
+    rows = [np.array([0] if t and i % 4 == 0 and r.random() < 0.95 else [1] if r.random() < (0.7 if t else 0.3) else [], np.int64) for i, t in enumerate(toxic)]
+    grade = toxicity.held_out_grades(toxic, rows, 2)
+    assert set(grade[~toxic]) == {0} and sorted(set(grade[toxic])) == [1, 2, 3]
+    strong = np.array([0 in x for x in rows])
+    assert grade[toxic & strong].mean() > grade[toxic & ~strong].mean() + 0.5
+    # A feature that one toxic document alone has is unknown to the other half's model and adds nothing.
+    alone = rows[:-2] + [np.array([2], np.int64)] + rows[-1:]
+    assert toxicity.held_out_grades(toxic, alone, 3)[-2] == 1
+    assert toxicity.held_out_grades(np.array([True, False]), [np.array([0]), np.array([1])], 2).tolist() == [1, 0]
+
+
 def test_licenses(spark):
     rows = [(1, "a\nReleased under the MIT License.\nb MIT\nlicense", "s"), (2, None, "s"), (3, "License the Apache License", "s"), (4, "Licensed under the Apache License, Version 2.0!", "s"), (None, "x", "s")]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
