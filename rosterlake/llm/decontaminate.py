@@ -7,9 +7,10 @@ a leak. What is left on either side of a leak is aligned again, so each copy in
 Seeds are pairs of words that stand side by side or with one word between, in the item and in the document alike. They
 lose no leak: of L words of an item a leak of score t has m matches and at most 2m - 2tL errors, so at most m - tL of its
 m - 1 neighbouring matches are two or more errors apart, and at least tL - 1 of them are seeds, each with a first word of
-its own in the item. So each item may leave out all but one of that many of its L - 1 first words. Those left out are the
-frequent ones: all documents are counted first, and each item keeps the first words whose pairs are rarest. A phrase that
-stands in many documents opens a passage only where an item has nothing rarer.
+its own in the item. So each item may leave out all but two of that many of its L - 1 first words, and two seeds with unlike
+first words, no farther apart than an alignment is long, open a passage (one seed, where that number is one). Those left out
+are the frequent ones: all documents are counted first, and each item keeps the first words whose pairs are rarest. A phrase
+that stands in many documents opens a passage only where an item has nothing rarer.
 
 Two upper bounds on the score, the item's words in any stretch as long as an alignment can be and the words that passage
 and item share, spare most alignments and lose none.
@@ -29,7 +30,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,10 @@ class Items:
         self.ids = [np.array([self.words.setdefault(w, len(self.words)) for w in ws], np.int64) for _, ws in items]
         self.counts = [Counter(ids.tolist()) for ids in self.ids]
         self.base = np.int64(len(self.words) + 1)
+        sizes = np.array([len(ids) for ids in self.ids], np.int64)
+        # m matches and x mismatches and gaps score 2m - x >= 2 * threshold * L and take m + x words of a passage at most.
+        self.width = np.ceil((MATCH + 1) * sizes - threshold * MATCH * sizes).astype(np.int64)
+        self.sure = np.maximum(1, np.ceil(threshold * sizes - 1 - 1e-9)).astype(np.int64)  # seeds that each leak has
         own = [self.pairs(ids) for ids in self.ids]
         self.index([(at, code, np.full(len(at), k)) for k, (at, code) in enumerate(own)])
 
@@ -68,8 +72,6 @@ class Items:
         self.at, self.item = at[order], item[order]
         self.codes, first = np.unique(code[order], return_index=True)
         self.first = np.append(first, len(order))
-        reach = np.array([len(ids) + self.slack(k) for k, ids in enumerate(self.ids)], np.int64)
-        self.reach = np.maximum.reduceat(reach[self.item], first) if len(first) else first
 
     def keep_rare(self, frequency: np.ndarray) -> None:
         """Leaves each item only as many first words as no leak can do without, those of the rarest pairs."""
@@ -77,15 +79,11 @@ class Items:
         for k, ids in enumerate(self.ids):
             at, code = self.pairs(ids)
             total = np.bincount(at, frequency[np.searchsorted(self.codes, code)], len(ids) - 1)
-            kept = np.argsort(total, kind="stable")[: len(ids) - max(1, ceil(self.threshold * len(ids) - 1 - 1e-9))]
+            kept = np.argsort(total, kind="stable")[: len(ids) - self.sure[k] + min(1, self.sure[k] - 1)]
             rare = np.isin(at, kept)
             found.append((at[rare], code[rare], np.full(rare.sum(), k)))
         self.index(found)
 
-    def slack(self, k: int) -> int:
-        """Words beyond an item's own length that an alignment of the threshold's score may take."""
-        return ceil((1 - self.threshold) * MATCH * len(self.ids[k]) / GAP)
-
     def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of first words and the codes of pairs of the items' words, side by side or one apart."""
         places, codes = [], []
@@ -110,22 +108,34 @@ class Items:
         same = self.codes[k] == code
         return at[same], k[same]
 
-    def passages(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """The parts of a document around any seed."""
+    def opened(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and items of the seeds that open a passage."""
         at, k = self.hits(ids)
-        reach = self.reach[k] if len(at) else at
-        return merged(list(zip(np.maximum(at - reach, 0).tolist(), np.minimum(at + reach, len(ids)).tolist())))
+        many = self.first[k + 1] - self.first[k]
+        place = np.repeat(self.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        at, item, word = np.repeat(at, many), self.item[place], self.at[place]
+        order = np.lexsort((at, item))
+        at, item, word = at[order], item[order], word[order]
+        # Between two seeds of a leak with unlike first words some neighbours are unlike, and lie within the leak.
+        near = (item[1:] == item[:-1]) & (word[1:] != word[:-1]) & (at[1:] - at[:-1] <= self.width[item[1:]])
+        opens = self.sure[item] == 1
+        opens[1:] |= near
+        opens[:-1] |= near
+        return at[opens], item[opens]
+
+    def passages(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """The parts of a document around the seeds that open one."""
+        at, item = self.opened(ids)
+        return merged(zip(np.maximum(at - self.width[item], 0).tolist(), np.minimum(at + self.width[item], len(ids)).tolist()))
 
     def leaks(self, ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """Item, score, start and end of each leak in a passage."""
-        spans = defaultdict(set)
-        for p, code in zip(*(x.tolist() for x in self.hits(ids))):
-            here = slice(self.first[code], self.first[code + 1])
-            for k, at in zip(self.item[here].tolist(), self.at[here].tolist()):
-                spans[k].add((max(0, p - at - self.slack(k)), min(len(ids), p - at + len(self.ids[k]) + self.slack(k))))
+        spans = defaultdict(list)
+        for p, k in zip(*(x.tolist() for x in self.opened(ids))):
+            spans[k].append((max(0, p - int(self.width[k])), min(len(ids), p + int(self.width[k]))))
         for k, parts in spans.items():
             for a, b in merged(parts):
-                for score, first, end in leaks_in(self.ids[k], self.counts[k], ids, a, b, self.threshold):
+                for score, first, end in leaks_in(self.ids[k], self.counts[k], ids, a, b, self.threshold, int(self.width[k])):
                     yield self.names[k], score / (MATCH * len(self.ids[k])), first, end
 
 
@@ -155,7 +165,7 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def passages(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
-    """doc_id, start, words (numbers, -1 for a word of no item): the parts of documents around any seed."""
+    """doc_id, start, words (numbers, -1 for a word of no item): the parts of documents around the seeds that open one."""
     schema = "doc_id long, start long, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +193,9 @@ def dense(passage: np.ndarray, words: np.ndarray, width: int, least: float) -> l
     return list(zip(starts[np.append(0, apart + 1)].tolist(), (starts[np.append(apart, len(starts) - 1)] + width).tolist()))
 
 
-def leaks_in(item: np.ndarray, counts: Counter, ids: np.ndarray, a: int, b: int, threshold: float) -> Iterator[tuple[int, int, int]]:
+def leaks_in(item: np.ndarray, counts: Counter, ids: np.ndarray, a: int, b: int, threshold: float, width: int) -> Iterator[tuple[int, int, int]]:
     """Score, start and end of the leaks of an item in ids[a:b]; none overlaps another."""
     most = MATCH * len(item)
-    # m matches and x mismatches and gaps score 2m - x >= threshold * most and take m + x words of a passage at most.
-    width = ceil((MATCH + 1) * len(item) - threshold * most)
     left = [(a, b)]
     while left:
         a, b = left.pop()
@@ -226,8 +234,9 @@ def seed_counts(docs: DataFrame, shared: Broadcast, text: str) -> np.ndarray:
         items = shared.value
         total = np.zeros(len(items.codes), np.int64)
         for batch in common.small_batches(batches, "text"):
-            for t in batch.column("text").to_pylist():
-                np.add.at(total, items.hits(items.numbers(t))[1], 1)
+            found = [items.hits(items.numbers(t))[1] for t in batch.column("text").to_pylist()]
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=len(total))
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["seed", "n"])
 
