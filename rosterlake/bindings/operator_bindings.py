@@ -107,13 +107,13 @@ BOUND = {
     "W15_apply_events": (("employees", "promotions", "transfers", "employee_exits", "job_roles"), lambda t: derive.apply_events(t["employees"], t["promotions"], t["transfers"], t["employee_exits"], t["job_roles"]).select("employee_id", "role_id", "annual_salary", "is_manager", "department_id", "manager_id", "termination_date", "is_active"), "WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY promotion_date DESC, promotion_id DESC) AS k FROM promotions) WHERE k = 1), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY transfer_date DESC, transfer_id DESC) AS k FROM transfers) WHERE k = 1) SELECT e.employee_id, coalesce(p.new_role_id, e.role_id) AS role_id, coalesce(p.new_salary, e.annual_salary) AS annual_salary, coalesce(r.grade = 'Manager', e.is_manager) AS is_manager, coalesce(m.new_department_id, e.department_id) AS department_id, CASE WHEN m.employee_id IS NULL THEN e.manager_id ELSE m.new_manager_id END AS manager_id, coalesce(x.exit_date, e.termination_date) AS termination_date, CASE WHEN x.employee_id IS NULL THEN e.is_active ELSE false END AS is_active FROM employees AS e LEFT JOIN p USING (employee_id) LEFT JOIN m ON m.employee_id = e.employee_id LEFT JOIN employee_exits AS x ON x.employee_id = e.employee_id LEFT JOIN job_roles AS r ON r.role_id = p.new_role_id"),
     "W17_sentiment": (("employee_surveys",), lambda t: t["employee_surveys"].select("survey_id", derive.survey_sentiment(c("satisfaction_score")).alias("label"), derive.feedback_tone(c("satisfaction_score")).alias("tone")), "SELECT survey_id, CASE WHEN satisfaction_score >= 3.5 THEN 'Positive' ELSE 'Neutral' END AS label, CASE WHEN satisfaction_score >= 4.5 THEN 'high' WHEN satisfaction_score >= 3.5 THEN 'positive' ELSE 'development' END AS tone FROM employee_surveys"),
     "W18_survey_theme": (("employee_surveys",), lambda t: t["employee_surveys"].select("survey_id", derive.survey_theme(*(c(x) for x in ("career_growth_score", "manager_support_score", "wellbeing_score", "work_life_balance_score", "engagement_score", "satisfaction_score"))).alias("theme")), "SELECT survey_id, CASE WHEN career_growth_score < 3 THEN 'growth' WHEN manager_support_score < 3 THEN 'manager' WHEN wellbeing_score < 3 OR work_life_balance_score < 3 THEN 'wellbeing' WHEN (engagement_score + satisfaction_score) / 2 >= 4 THEN 'positive' WHEN (engagement_score + satisfaction_score) / 2 >= 3.25 THEN 'neutral' ELSE 'development' END AS theme FROM employee_surveys"),
-    "W19_unique_emails": (("recruitment",), lambda t: derive.unique_emails(t["recruitment"], "candidate_name", "recruitment_id").select("recruitment_id", "first_name", "last_name", "email"), "WITH b AS (SELECT recruitment_id, string_split(candidate_name, ' ') AS w FROM recruitment), n AS (SELECT recruitment_id, w[1] AS first_name, w[-1] AS last_name, lower(w[1] || '.' || w[-1]) AS base, row_number() OVER (PARTITION BY lower(w[1] || '.' || w[-1]) ORDER BY recruitment_id) AS k FROM b) SELECT recruitment_id, first_name, last_name, base || CASE WHEN k > 1 THEN CAST(k AS VARCHAR) ELSE '' END || '@example.com' AS email FROM n"),
+    "W19_unique_emails": (("recruitment",), lambda t: derive.unique_emails(t["recruitment"], scratch(t["recruitment"].sparkSession), "candidate_name", "recruitment_id").select("recruitment_id", "first_name", "last_name", "email"), "WITH b AS (SELECT recruitment_id, string_split(candidate_name, ' ') AS w FROM recruitment), n AS (SELECT recruitment_id, w[1] AS first_name, w[-1] AS last_name, lower(w[1] || '.' || w[-1]) AS base, row_number() OVER (PARTITION BY lower(w[1] || '.' || w[-1]) ORDER BY recruitment_id) AS k FROM b) SELECT recruitment_id, first_name, last_name, base || CASE WHEN k > 1 THEN CAST(k AS VARCHAR) ELSE '' END || '@example.com' AS email FROM n"),
     "W20_pick_manager": (("employees",), lambda t: derive.pick_manager(t["employees"]), "WITH m AS (SELECT employee_id AS mid, department_id AS d FROM employees WHERE is_manager AND is_active) SELECT e.employee_id, coalesce((SELECT min(mid) FROM m WHERE m.d = e.department_id AND mid <> e.employee_id), (SELECT min(mid) FROM m WHERE mid <> e.employee_id)) AS manager_id FROM employees AS e"),
     "W21_leave_days": (("leave_requests",), lambda t: t["leave_requests"].select("leave_id", derive.leave_days(c("requested_days"), c("available_days")).alias("days")), "SELECT leave_id, greatest(least(requested_days, available_days), 0) AS days FROM leave_requests"),
     "W22_time_to_hire": (("recruitment",), lambda t: derive.time_to_hire(t["recruitment"]).select("recruitment_id", "closing_date", "days_to_hire"), "SELECT recruitment_id, least(closing_date, hire_date) AS closing_date, CAST(date_diff('day', opening_date, hire_date) AS INT) AS days_to_hire FROM recruitment"),
     "W23_hierarchy_levels": (("employees",), lambda t: derive.hierarchy_levels(t["employees"], scratch(t["employees"].sparkSession)), "WITH RECURSIVE h AS (SELECT employee_id, 0 AS level FROM employees WHERE manager_id IS NULL UNION ALL SELECT e.employee_id, h.level + 1 FROM employees AS e JOIN h ON e.manager_id = h.employee_id) SELECT employee_id, CAST(level AS INT) AS level FROM h"),
     "W24_unknown_values": (("training", "orders"), lambda t: derive.unknown_values(t["training"], "course_category", t["orders"].select(c("o_orderstatus").alias("category")).distinct(), "category").groupBy("course_category").agg(F.count(F.lit(1)).alias("n")), "SELECT course_category, count(*) AS n FROM training WHERE course_category NOT IN (SELECT o_orderstatus FROM orders) GROUP BY 1"),
-    "W25_hires_to_employees": (("recruitment", "job_roles", "employees"), lambda t: derive.hires_to_employees(t["recruitment"], t["job_roles"], t["employees"]).select("recruitment_id", "employee_number", "is_manager", "currency", "manager_id"), "WITH m AS (SELECT department_id, min(employee_id) AS own FROM employees WHERE is_manager AND is_active GROUP BY 1) SELECT recruitment_id, 'EMP' || lpad(CAST(recruitment_id + 1 AS VARCHAR), 6, '0') AS employee_number, coalesce(grade = 'Manager', false) AS is_manager, 'GBP' AS currency, coalesce(own, (SELECT min(own) FROM m)) AS manager_id FROM recruitment LEFT JOIN job_roles USING (role_id) LEFT JOIN m USING (department_id) WHERE recruitment_status = 'Filled'"),
+    "W25_hires_to_employees": (("recruitment", "job_roles", "employees"), lambda t: derive.hires_to_employees(t["recruitment"], t["job_roles"], t["employees"], scratch(t["recruitment"].sparkSession)).select("recruitment_id", "employee_number", "is_manager", "currency", "manager_id"), "WITH m AS (SELECT department_id, min(employee_id) AS own FROM employees WHERE is_manager AND is_active GROUP BY 1) SELECT recruitment_id, 'EMP' || lpad(CAST(recruitment_id + 1 AS VARCHAR), 6, '0') AS employee_number, coalesce(grade = 'Manager', false) AS is_manager, 'GBP' AS currency, coalesce(own, (SELECT min(own) FROM m)) AS manager_id FROM recruitment LEFT JOIN job_roles USING (role_id) LEFT JOIN m USING (department_id) WHERE recruitment_status = 'Filled'"),
     "W26_transfer_options": (("employees", "locations"), lambda t: derive.transfer_options(t["employees"], t["locations"], "location_id", "location_id"), "SELECT employee_id, e.location_id, l.location_id AS new_location_id FROM employees AS e JOIN locations AS l ON e.location_id IS DISTINCT FROM l.location_id"),
     "W26_department_options": (("employees", "departments"), lambda t: derive.transfer_options(t["employees"], t["departments"], "department_id", "department_id"), "SELECT employee_id, e.department_id, d.department_id AS new_department_id FROM employees AS e JOIN departments AS d ON e.department_id IS DISTINCT FROM d.department_id"),
     "W26_other_manager": (("employees",), lambda t: derive.other_manager(t["employees"]), "SELECT e.employee_id, (SELECT min(m.employee_id) FROM employees AS m WHERE m.is_manager AND m.is_active AND m.employee_id <> e.employee_id AND m.employee_id IS DISTINCT FROM e.manager_id) AS new_manager_id FROM employees AS e"),

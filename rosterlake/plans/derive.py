@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clamp, first_true, is_weekend, month_day, only_alnum, round_half_even, round_half_up, split_name
-from ..operators import latest_per_key, orphans
+from ..operators import latest_per_key, orphans, ranked
 
 DEC = "decimal(12,2)"
 # Fixed values of pay and ratings.
@@ -154,24 +154,28 @@ def survey_theme(growth: Column, manager: Column, wellbeing: Column, balance: Co
     return first_true([(growth < 3, "growth"), (manager < 3, "manager"), ((wellbeing < 3) | (balance < 3), "wellbeing"), (mean >= 4, "positive"), (mean >= 3.25, "neutral")], "development")
 
 
-def unique_emails(people: DataFrame, name: str = "name", key: str = "employee_id", domain: str = "example.com") -> DataFrame:
+def unique_emails(people: DataFrame, folder: str, name: str = "name", key: str = "employee_id", domain: str = "example.com") -> DataFrame:
     """Adds first_name, last_name and email; a taken address gets the next number that no other person's name ends in.
 
     Names that differ in final digits alone share their numbers: `a.b2` is not given to the second `a.b` where someone's
-    name makes it. The first of a name, by key, has it without a number.
+    name makes it. The first of a name, by key, has it without a number. The numbers of a stem are the places of its repeats
+    in one order with the numbers that names end in, each of which moves later repeats by one; so nothing is collected for
+    a stem, and one that all names share, as names without Latin letters do, is counted over many tasks.
     """
     first, last = split_name(F.col(name))
     base = F.concat_ws(".", only_alnum(first), only_alnum(last))
     rows = people.withColumns({"first_name": first, "last_name": last, "_base": base, "_stem": F.regexp_replace(base, "[0-9]+$", "")})
     number = F.regexp_extract("_base", "([1-9][0-9]{0,8})$", 1)
-    own = F.when((number != "") & (F.concat("_stem", number) == F.col("_base")), number.cast("int"))
-    taken = rows.select(F.col("_stem").alias("_s"), own.alias("_own")).where("_own IS NOT NULL").groupBy("_s").agg(F.sort_array(F.collect_set("_own")).alias("_taken"))
-    again = F.row_number().over(Window.partitionBy("_stem", "_base").orderBy(key)) > 1
-    rows = rows.withColumn("_again", again.cast("int")).withColumn("_k", F.sum("_again").over(Window.partitionBy("_stem").orderBy("_base", key).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(taken, rows["_stem"] == taken["_s"], "left")
-    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), (F.col("_k") + 1).cast("long"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
-    address = F.when(F.col("_again") == 1, F.concat("_stem", free.cast("string"))).otherwise(F.col("_base"))
-    return rows.withColumn("email", F.concat(address, F.lit("@" + domain))).drop("_base", "_stem", "_s", "_taken", "_again", "_k")
+    own = F.when((number != "") & (F.concat("_stem", number) == F.col("_base")), number.cast("long"))
+    named = ranked(rows, ["_stem", "_base"], [key], folder, "_n")
+    again = ranked(named.where("_n > 1").drop("_n"), ["_stem"], ["_base", key], folder, "_k")
+    taken = ranked(rows.select("_stem", own.alias("_own")).where("_own > 1").distinct(), ["_stem"], ["_own"], folder, "_j")
+    # Repeats begin with 2, so repeat k has k + 1 at first; j numbers up to a taken one leave own - j free below it.
+    both = again.withColumns({"_at": F.col("_k") + 1, "_is_taken": F.lit(0)})
+    both = both.unionByName(taken.select("_stem", (F.col("_own") - F.col("_j")).alias("_at"), F.lit(1).alias("_is_taken")), allowMissingColumns=True)
+    placed = ranked(both, ["_stem"], ["_at", "_is_taken"], folder, "_place").where("_is_taken = 0")
+    addresses = named.where("_n = 1").withColumn("_a", F.col("_base")).unionByName(placed.withColumn("_a", F.concat("_stem", (F.col("_place") + 1).cast("string"))), allowMissingColumns=True)
+    return addresses.select(*people.columns, "first_name", "last_name", F.concat("_a", F.lit("@" + domain)).alias("email"))
 
 
 def pick_manager(employees: DataFrame) -> DataFrame:
@@ -231,10 +235,10 @@ def manager_for(rows: DataFrame, employees: DataFrame) -> DataFrame:
     return rows.join(own, rows["department_id"] == own["_d"], "left").crossJoin(F.broadcast(overall)).withColumn("manager_id", F.coalesce("_own", "_any")).drop("_d", "_own", "_any")
 
 
-def hires_to_employees(recruitment: DataFrame, roles: DataFrame, employees: DataFrame, first_number: int = 1) -> DataFrame:
+def hires_to_employees(recruitment: DataFrame, roles: DataFrame, employees: DataFrame, folder: str, first_number: int = 1) -> DataFrame:
     """One employee row for each filled vacancy, with a manager among the employees."""
     hires = recruitment.where("recruitment_status = 'Filled'").join(roles.select("role_id", "grade"), "role_id", "left")
-    hires = manager_for(unique_emails(hires, "candidate_name", "recruitment_id"), employees)
+    hires = manager_for(unique_emails(hires, folder, "candidate_name", "recruitment_id"), employees)
     number = F.concat(F.lit("EMP"), F.lpad((F.col("recruitment_id") + first_number).cast("string"), 6, "0"))
     return hires.select(F.col("recruitment_id"), number.alias("employee_number"), "email", "first_name", "last_name", "hire_date", "department_id", "role_id", "manager_id", F.coalesce(F.col("grade") == "Manager", F.lit(False)).alias("is_manager"), F.lit("Active").alias("employment_status"), F.lit(True).alias("is_active"), F.lit("GBP").alias("currency"))
 
