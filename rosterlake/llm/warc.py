@@ -49,10 +49,15 @@ def http_message(key: Column, payload: Column) -> Column:
     return F.concat(F.lit(f"HTTP/1.1 200 OK\r\n{KEY_HEADER}: "), key, F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), octets(payload), F.lit("\r\n\r\n"), payload)
 
 
-def in_files(rows: DataFrame, size: Column, key: str) -> DataFrame:
-    """Deals rows out so that a file holds about FILE_MB of records, the largest record apart."""
+def in_files(rows: DataFrame, size: Column) -> DataFrame:
+    """Deals rows out so that a file holds about FILE_MB of records, the largest record apart.
+
+    Rows of one key are dealt by their other columns, and wholly equal ones by the task they come from, so that no file holds
+    all of them. None of it depends on the order of rows, so a task that runs again deals alike.
+    """
     total = rows.agg(F.sum(size)).first()[0] or 0
-    return rows.repartition(max(1, -(-int(total) // (FILE_MB << 20))), F.xxhash64(key))
+    files = max(1, -(-int(total) // (FILE_MB << 20)))
+    return rows.withColumn("_task", F.spark_partition_id()).repartition(files, F.xxhash64(*rows.columns, "_task")).drop("_task")
 
 
 def write_arc(pages: DataFrame, path: str, version: int, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "20240101000000") -> None:
@@ -61,7 +66,7 @@ def write_arc(pages: DataFrame, path: str, version: int, key: str = "page_id", u
     address = F.regexp_replace(F.regexp_replace(F.coalesce("u", F.lit("urn:none")), " ", "%20"), r"[\x00-\x20\x7f]", "%20")
     address = F.when(address == "", "urn:none").otherwise(address)
     message = http_message(F.col("k"), F.col("p"))
-    rows = in_files(pages, F.octet_length("p") + 300, "k").select(address.alias("a"), message.alias("m"))
+    rows = in_files(pages, F.octet_length("p") + 300).select(address.alias("a"), message.alias("m"))
     middle = " 0.0.0.0 " + date + " text/html " + ("200 - - 0 legacy.arc " if version == 2 else "")
     record = F.concat("a", F.lit(middle), octets(F.col("m")), F.lit("\n"), "m")
     block = f"{version} 0 Archive\n{ARC_FIELDS[version]}\n"

@@ -109,6 +109,21 @@ def test_warc_of_odd_rows(spark):
     assert warc.read_warc(spark, f"{p}/none-warc").count() == 0
 
 
+def test_warc_deals_rows_of_one_key(spark, monkeypatch):
+    """Rows without a key, and equal ones, lie in many files of about the wanted size."""
+    monkeypatch.setattr(warc, "FILE_MB", 1)
+    unlike = spark.range(600).selectExpr("CAST(NULL AS LONG) AS page_id", "'u' AS url", "repeat(concat('unlike ', id), 600) AS html")
+    equal = spark.range(0, 600, 1, 12).selectExpr("7L AS page_id", "'u' AS url", "repeat('equal ', 700) AS html")
+    for pages in (unlike, equal):
+        p = common.scratch_path(spark, "warc")
+        warc.write_arc(pages, f"{p}/arc", 2)
+        sizes = warc.read_arc(spark, f"{p}/arc").groupBy("path").count().collect()
+        assert len(sizes) > 1 and max(r["count"] for r in sizes) <= 450 and sum(r["count"] for r in sizes) == 600
+        warc.convert_arc(spark, f"{p}/warc", f"{p}/arc")
+        got = warc.read_warc(spark, f"{p}/warc", with_payload=True)
+        assert got.groupBy("key", "payload").count().exceptAll(pages.groupBy("page_id", "html").count()).isEmpty() and got.count() == 600
+
+
 def test_warc_copies_bytes(spark, tmp_path):
     body = b"HTTP/1.1 200 OK\r\nX-Page-Id: 3\r\n\r\n\xff\xfe\x00\n\x80" + bytes(range(256)) * 9000
     block = b"1 0 Archive\n" + warc.ARC_FIELDS[1].encode() + b"\n"
