@@ -13,10 +13,11 @@ from .job_bindings import scratch
 c = F.col
 
 
-def arriving(rows: DataFrame, path: str, files: int = 3) -> DataFrame:
-    """A stream of rows, mixed, one file for each micro-batch."""
-    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def arriving(rows: DataFrame, path: str, batches: int = 3) -> DataFrame:
+    """A stream of rows, mixed, over some micro-batches; each has files for a share of the tasks that read the rows."""
+    width = -(-rows.rdd.getNumPartitions() // batches)
+    rows.repartition(batches * width, F.xxhash64(*rows.columns)).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", width).parquet(path)
 
 
 def events(spark, sf_dir) -> DataFrame:

@@ -1,26 +1,27 @@
 """Rules over streams whose rows meet in other batches than their own: orphans, duplicates, pairs that differ.
 
-Each rule turns rows into statements (rule, kind, key, salt, side, what). One stateful operator keeps, for each rule and key,
-what it needs of the past, and sends changes of the number of open violations: +1 where one appears, -1 where a row that
-arrives later mends it. Their sum is, after every batch, what the batch rule gives for all rows so far, whatever the order of
-arrival, so no watermark decides when a missing parent is missing. State is bounded by the number of keys (pairs: and of
-different values a key has), not of rows.
+Each rule turns rows into statements (rule, kind, key, salt, side, what). A streaming aggregate keeps how many there are of
+each, by side, and sends after every micro-batch the counts of what that batch touched. Counts only grow, so the largest of
+each are what holds now, and `open_violations` is, after every batch, what the batch rule gives for all rows so far, whatever
+the order of arrival, so no watermark decides when a missing parent is missing; `violation_changes` gives, by batch, +1 where
+a violation appeared and -1 where a row that arrived later mended it. State is bounded by the number of keys (pairs: and of
+different values a key has), not of rows, and statements are summed in their own tasks before they are sent to the state.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from contextlib import contextmanager
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 STATEMENT = ("rule", "kind", "key", "salt", "side", "what")
-CHANGE = "rule string, key string, delta long"
+#: Counts by side of what a micro-batch touched.
+CHANGE = "rule string, kind string, key string, salt int, what string, n0 long, n1 long, batch long"
+KEY = ("rule", "kind", "key", "salt")
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -32,11 +33,12 @@ def statement(rows: DataFrame, rule: str, kind: str, keys: Sequence[str], side:
 
 
 def orphan_statements(rule: str, children: DataFrame, parents: DataFrame, key: str, parent_key: str, salts: int = 1) -> DataFrame:
-    """Children without a parent. A null key has none and is counted without state.
+    """Children without a parent. A null key has none.
 
     salts: over how many groups the children of a frequent parent are dealt; parents stand in each of them.
     """
-    found = statement(children.where(F.col(key).isNotNull()), rule, "orphans", [key], 1, salt=F.pmod(F.xxhash64(*children.columns), F.lit(salts)).cast("int"))
+    dealt = F.pmod(F.xxhash64(*children.columns), F.lit(salts)).cast("int") if salts > 1 else None
+    found = statement(children.where(F.col(key).isNotNull()), rule, "orphans", [key], 1, salt=dealt)
     lost = statement(children.where(F.col(key).isNull()), rule, "always", [key], 1, salt=F.lit(0))
     there = statement(parents.where(F.col(parent_key).isNotNull()), rule, "orphans", [parent_key], 0, salt=F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return reduce(DataFrame.unionByName, (found, lost, there))
@@ -54,55 +56,9 @@ def mismatch_statements(rule: str, left: DataFrame, right: DataFrame, key: str,
     return one.unionByName(statement(right.where(F.col(right_key).isNotNull()), rule, "mismatches", [right_key], 1, value([b for _, b in pairs])))
 
 
-def open_pairs(seen: dict[tuple[int, str], int]) -> int:
-    """Pairs that differ, of rows counted by side and values."""
-    left, right = (Counter({w: n for (side, w), n in seen.items() if side == s}) for s in (0, 1))
-    return sum(left.values()) * sum(right.values()) - sum(n * right[w] for w, n in left.items())
-
-
-class Ledger(StatefulProcessor):
-    """Open violations of each rule and key."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "parents long, others long")
-        self.values = handle.getMapState("values", "side int, what string", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rule, kind, name, _ = key
-        new: Counter = Counter()
-        for part in rows:
-            for (side, what), n in part.groupby(["side", "what"]).size().items():
-                new[int(side), what] += int(n)
-        change = self.paired(new) if kind == "mismatches" else self.counted(kind, new)
-        if change:
-            yield pd.DataFrame({"rule": [rule], "key": [name], "delta": [change]})
-
-    def counted(self, kind: str, new: Counter) -> int:
-        parents, others = self.counts.get() or (0, 0)
-        more = sum(n for (side, _), n in new.items() if side == 0)
-        children = sum(n for (side, _), n in new.items() if side == 1)
-        self.counts.update((parents + more, others + children))
-        if kind == "duplicates":
-            return int(parents + more > 1) - int(parents > 1)
-        if parents:
-            return 0
-        return -others if more else children
-
-    def paired(self, new: Counter) -> int:
-        seen = {(int(k[0]), k[1]): int(v[0]) for k, v in self.values.iterator()}
-        before = open_pairs(seen)
-        for k, n in new.items():
-            seen[k] = seen.get(k, 0) + n
-            self.values.updateValue(k, (seen[k],))
-        return open_pairs(seen) - before
-
-    def close(self) -> None:
-        pass
-
-
 @contextmanager
 def state_store(spark: SparkSession):
-    """The state store that processors need, for queries that start meanwhile."""
+    """The state store that keeps its rows on disk, for queries that start meanwhile."""
     before = spark.conf.get(PROVIDER[0])
     spark.conf.set(*PROVIDER)
     try:
@@ -111,21 +67,49 @@ def state_store(spark: SparkSession):
         spark.conf.set(PROVIDER[0], before)
 
 
-def violations_of(statements: DataFrame) -> DataFrame:
-    """The stream of changes (rule, key, delta) of a stream of statements."""
-    always = statements.where("kind = 'always'").select("rule", "key", F.lit(1).cast("long").alias("delta"))
-    kept = statements.where("kind <> 'always'").groupBy("rule", "kind", "key", "salt")
-    return kept.transformWithStateInPandas(Ledger(), CHANGE, "Append", "None").unionByName(always)
+def counts_of(statements: DataFrame) -> DataFrame:
+    """n0, n1: the statements of each side, by rule, kind, key, salt and value."""
+    side = lambda k: F.sum((F.col("side") == k).cast("long")).alias(f"n{k}")
+    return statements.groupBy(*KEY, "what").agg(side(0), side(1))
 
 
 def run_stateful_rules(statements: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends the changes of everything that is there to Parquet files, once each, and ends."""
-    with state_store(statements.sparkSession):
-        q = violations_of(statements).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
+    """Adds the counts that each micro-batch of everything that is there changed, as `out/batch=<number>`, and ends; a repeated batch replaces its own."""
+    spark = statements.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with state_store(spark):
+        q = counts_of(statements).writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
     return q
 
 
+def violations(n0: Column, n1: Column, same: Column) -> Column:
+    """Open violations of a rule and key with n0 and n1 statements, of which `same` pairs have equal values."""
+    kind, zero = F.col("kind"), F.lit(0).cast("long")
+    return F.when(kind == "orphans", F.when(n0 > 0, zero).otherwise(n1)).when(kind == "duplicates", (n0 > 1).cast("long")).when(kind == "mismatches", n0 * n1 - same).otherwise(n1)
+
+
 def open_violations(changes: DataFrame) -> DataFrame:
     """rule, key, violations that are open now."""
-    return changes.groupBy("rule", "key").agg(F.sum("delta").alias("violations")).where("violations > 0")
+    now = changes.groupBy(*KEY, "what").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
+    sums = now.groupBy(*KEY).agg(*[F.sum(x).alias(n) for n, x in (("n0", F.col("n0")), ("n1", F.col("n1")), ("same", F.col("n0") * F.col("n1")))])
+    found = sums.select("rule", "key", violations(F.col("n0"), F.col("n1"), F.col("same")).alias("v")).where("v > 0")
+    return found.groupBy("rule", "key").agg(F.sum("v").alias("violations"))
+
+
+def violation_changes(changes: DataFrame) -> DataFrame:
+    """rule, key, batch, delta: by how much each micro-batch changed the number of open violations."""
+    value, zero = Window.partitionBy(*KEY, "what").orderBy("batch"), F.lit(0).cast("long")
+    step = lambda x: x - F.coalesce(F.lag(x).over(value), zero)
+    steps = changes.select(*KEY, "batch", step(F.col("n0")).alias("n0"), step(F.col("n1")).alias("n1"), step(F.col("n0") * F.col("n1")).alias("same"))
+    sums = steps.groupBy(*KEY, "batch").agg(*[F.sum(n).alias(n) for n in ("n0", "n1", "same")])
+    name = Window.partitionBy(*KEY).orderBy("batch")
+    so_far = sums.withColumns({n: F.sum(n).over(name.rowsBetween(Window.unboundedPreceding, 0)) for n in ("n0", "n1", "same")})
+    after = so_far.withColumn("v", violations(F.col("n0"), F.col("n1"), F.col("same")))
+    deltas = after.select("rule", "key", "batch", (F.col("v") - F.coalesce(F.lag("v").over(name), zero)).alias("delta"))
+    return deltas.groupBy("rule", "key", "batch").agg(F.sum("delta").alias("delta")).where("delta <> 0")

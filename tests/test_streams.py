@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from rosterlake import streaming
+from rosterlake.bindings import stream_bindings
 from rosterlake.operators import BucketedTable
 
 ROW = "k long, at long, v string, op string"
@@ -112,3 +113,41 @@ def test_rules_across_batches(spark, tmp_path):
         seen = lambda rows: [x for i in range(part + 1) for x in rows[i::3]]
         there = [x for i in range(1, part + 1) for x in parents[::-1][i::3]]
         assert got == {k: n for k, n in expected(seen(children), there, seen(left), seen(right)).items() if n}
+
+
+def test_changes_by_batch_and_no_call_for_each_key(spark, tmp_path):
+    """+1 and -1 by batch add up to what is open; statements are summed before the state, without Python."""
+    r = random.Random(5)
+    children, parents = [(r.choice([None, *range(9)]),) for _ in range(45)], [(p,) for p in (8, 6, 4, 2, 0, 0)]
+    left, right = ([(r.randrange(4), r.choice(["a", "b", None])) for _ in range(n)] for n in (18, 12))
+    want, before = Counter(), Counter()
+    for part in range(3):
+        read = {}
+        for name, rows, kind in (("children", children, "c int"), ("parents", parents, "p int"), ("left", left, "k int, v string"), ("right", right, "k2 int, w string")):
+            spark.createDataFrame(rows[part::3], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+            read[name] = spark.readStream.schema(kind).parquet(f"{tmp_path}/{name}")
+        whole = streaming.orphan_statements("orphans", read["children"], read["parents"], "c", "p", salts=2).unionByName(streaming.duplicate_statements("duplicates", read["children"], ["c"]))
+        whole = whole.unionByName(streaming.mismatch_statements("pairs", read["left"], read["right"], "k", "k2", [("v", "w")]))
+        streaming.run_stateful_rules(whole, f"{tmp_path}/out", f"{tmp_path}/check")
+        seen = lambda rows: [x for i in range(part + 1) for x in rows[i::3]]
+        there = {p for (p,) in seen(parents)}
+        now = Counter({("orphans", c): n for c, n in Counter(c for (c,) in seen(children)).items() if c not in there})
+        now.update({("duplicates", c): 1 for c, n in Counter(c for (c,) in seen(children)).items() if n > 1})
+        now.update(("pairs", a) for a, u in seen(left) for b, v in seen(right) if a == b and u != v)
+        want.update({(*k, part): now[k] - before[k] for k in now.keys() | before.keys() if now[k] != before[k]})
+        before = now
+    changes = spark.read.schema(streaming.CHANGE).parquet(f"{tmp_path}/out")
+    key = F.get_json_object("key", "$.k0").cast("int")
+    assert {(x.rule, x.k, x.batch): x.delta for x in streaming.violation_changes(changes).withColumn("k", key).collect()} == dict(want) and min(want.values()) < 0
+    assert {(x.rule, x.k): x.violations for x in streaming.open_violations(changes).withColumn("k", key).collect()} == dict(before)
+    plan = streaming.counts_of(streaming.duplicate_statements("d", spark.range(9), ["id"]))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "Pandas" not in plan and "Python" not in plan
+
+
+def test_arriving_in_as_many_files_as_rows_have_tasks(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8)
+    stream = stream_bindings.arriving(rows, f"{tmp_path}/in")
+    assert len([f for f in os.listdir(f"{tmp_path}/in") if f.startswith("part-")]) == 9
+    sizes = []
+    stream.writeStream.foreachBatch(lambda batch, number: sizes.append(batch.count())).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) == 3 and sum(sizes) == 4000
