@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql.readwriter import DataFrameWriter
+
 from rosterlake.plans.hierarchy import reporting_lines
 
 
@@ -56,3 +58,18 @@ def test_deep_chain_and_cycles(spark, tmp_path):
 
 def test_nobody(spark, tmp_path):
     assert reporting_lines(spark.createDataFrame([], "employee_id int, manager_id int"), str(tmp_path)).count() == 0
+
+
+def test_no_join_passes_through_the_driver(spark, tmp_path, monkeypatch):
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def kept(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    manager = {e: e - 1 if e else None for e in range(12)} | {20: 21, 21: 20, 22: 20, 30: 99}
+    check(spark, manager, tmp_path / "a")
+    rows = reporting_lines(spark.createDataFrame(list(manager.items()), "employee_id int, manager_id int"), str(tmp_path / "b"))
+    plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans) and all("SortMergeJoin" in p for p in plans)
