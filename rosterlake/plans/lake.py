@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from datetime import date
 
@@ -246,21 +247,37 @@ def lexicon_labels(texts: DataFrame, lexicon: DataFrame, key: str, text: str) ->
     return words.join(lexicon, "word").groupBy(key, "label").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as it is, worked out once, in the session's checkpoint folder; a local one where Spark is local and none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-scratch-"))
+    return df.checkpoint()
+
+
 def topics(texts: DataFrame, key: str, text: str, k: int = 5, terms: int = 1000, seed: int = 1) -> DataFrame:
     """key, topic: the heaviest of k topics that an online LDA model finds over the `terms` most frequent words.
 
-    Only words of two texts or more count; a text without any (null or empty ones too) has a null topic, the first of equally
-    heavy ones goes. Without such words at all every topic is null.
+    Only words of two texts or more count, of equally frequent ones the smaller goes first; a text without any (null or empty
+    ones too) has a null topic, the first of equally heavy ones goes. Without such words at all every topic is null. Words are
+    split twice, for their counts and for vectors; these are checkpointed in their partitions and order, as the model's
+    samples depend on both.
     """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
-    words = texts.select(key, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
-    frequent = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where("count >= 2")
-    if frequent.isEmpty():
+    words = texts.select(key, F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "").alias("words"))
+    found = words.select(F.monotonically_increasing_id().alias("row"), "words").select("row", F.explode("words").alias("word"))
+    frequent = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
+    vocabulary = [r.word for r in frequent.orderBy(F.desc("n"), "word").limit(terms).select("word").collect()]
+    if not vocabulary:
         return texts.select(key, F.lit(None).cast("int").alias("topic"))
-    vectors = CountVectorizer(inputCol="words", outputCol="features", vocabSize=terms, minDF=2).fit(words).transform(words)
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
+    vectors = checkpointed(counted.transform(words).select(key, "features"))
     mixed = LDA(k=k, maxIter=5, optimizer="online", seed=seed).fit(vectors).transform(vectors)
     weights = vector_to_array("topicDistribution")
     heaviest = (F.array_position(weights, F.array_max(weights)) - 1).cast("int")

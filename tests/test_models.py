@@ -3,6 +3,8 @@
 import random
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from rosterlake.plans import lake
 
 GROUPS = ("pay salary bonus pension tax payslip", "leave holiday absence rota shift overtime")
@@ -18,6 +20,21 @@ def test_topics_part_known_groups(spark):
     assert max(agree, 200 - agree) >= 190
 
 
+def test_topics_split_texts_twice_and_cut_ties_by_word(spark):
+    rng, split = random.Random(4), spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        split.add(1)
+        return text
+
+    rows = [(i, " ".join(rng.choices(GROUPS[i % 2].split(), k=9))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.udf(seen)("text"))
+    assert len(lake.topics(texts, "doc_id", "text", k=2).collect()) == 60
+    assert split.value == 2 * 60
+    ties = spark.createDataFrame([(0, "b c"), (1, "b"), (2, "a"), (3, "a c"), (4, "d d d")], "doc_id long, text string")
+    assert {r.doc_id for r in lake.topics(ties, "doc_id", "text", k=2, terms=1).collect() if r.topic is not None} == {2, 3}
+
+
 def test_topics_without_words(spark):
     texts = spark.createDataFrame([(1, None), (2, "alone"), (None, "")], "doc_id long, text string")
     assert {tuple(r) for r in lake.topics(texts, "doc_id", "text").collect()} == {(1, None), (2, None), (None, None)}
